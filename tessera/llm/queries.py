@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.packing import pack
 from tessera.llm.quality import COUNTS, quality_rules
 
 
@@ -43,5 +44,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base JOIN verdicts ON base.source IS NOT DISTINCT FROM verdicts.source
 """
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), tokenizer_file=tokenizer_file())
+
+
+QUERIES = {
+    "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op9_quality_rules": op9_quality_rules,
+}
 ORACLES: dict[str, str] = {"op9_quality_rules": OP9_SQL}
