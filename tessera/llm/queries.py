@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.quality import COUNTS, quality_rules
 
@@ -44,6 +45,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base JOIN verdicts ON base.source IS NOT DISTINCT FROM verdicts.source
 """
 
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -55,6 +60,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
     "op9_quality_rules": op9_quality_rules,
 }
