@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.minhash import near_duplicates
+from tessera.llm.mixing import mix_report
 from tessera.llm.packing import pack
 from tessera.llm.quality import COUNTS, quality_rules
 
@@ -49,6 +50,10 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_report(table(spark, folder, "documents"))
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -62,6 +67,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {"op9_quality_rules": OP9_SQL}
