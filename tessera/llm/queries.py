@@ -9,6 +9,7 @@ from tessera.llm.mixing import mix_report
 from tessera.llm.packing import pack
 from tessera.llm.quality import COUNTS, quality_rules
 from tessera.llm.substrings import repeats_report
+from tessera.llm.toxicity import toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_factorization_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats_report(table(spark, folder, "documents"))
 
@@ -72,6 +77,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op5_factorization_toxicity": op5_factorization_toxicity,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
