@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.html_text import main_text
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_report
 from tessera.llm.packing import pack
@@ -60,6 +61,10 @@ def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats_report(table(spark, folder, "documents"))
 
 
+def op7_host_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(table(spark, folder, "pages"))
+
+
 def op8_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(table(spark, folder, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
     "op5_factorization_toxicity": op5_factorization_toxicity,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_host_suffix_array": op7_host_suffix_array,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
