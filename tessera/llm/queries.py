@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.chat import perspectives
 from tessera.llm.html_text import main_text
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_report
+from tessera.llm.neighbours import nearest
 from tessera.llm.packing import pack
 from tessera.llm.quality import COUNTS, quality_rules
 from tessera.llm.substrings import repeats_report
+from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
 
 
@@ -49,6 +53,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM base JOIN verdicts ON base.source IS NOT DISTINCT FROM verdicts.source
 """
 
+def op1_trie_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), model_file=tokenizer_file("piece_bpe_32k.model"))
+
+
+def op2_projected_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
+    return perspectives(table(spark, folder, "conversations"))
+
+
+OP4_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS r0, coalesce(text, '') AS t0 FROM conversations),
+rows AS (
+  SELECT conv_id, turn, replace(replace(r0, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') AS role,
+    replace(replace(t0, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') AS said FROM t),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM rows WHERE role <> 'system'),
+seen AS (
+  SELECT rows.*, speaker, coalesce(turn // 256, 9223372036854775807) AS number,
+    '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user ' || role END || chr(10) AS head,
+    said || '<|im_end|>' AS tail
+  FROM rows JOIN speakers ON rows.conv_id IS NOT DISTINCT FROM speakers.conv_id),
+placed AS (
+  SELECT *, length(head) + coalesce(sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, speaker, number
+    ORDER BY turn NULLS LAST, role, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM seen),
+parts AS (
+  SELECT conv_id, speaker, number, string_agg(head || tail || chr(10), '' ORDER BY turn NULLS LAST, role, said) AS text,
+    coalesce(string_agg(low::BIGINT || ':' || (low + length(tail))::BIGINT, ',' ORDER BY low) FILTER (WHERE role = speaker), '') AS spans,
+    coalesce(sum(length(tail)) FILTER (WHERE role = speaker), 0)::BIGINT AS n_trained
+  FROM placed GROUP BY conv_id, speaker, number)
+SELECT conv_id, speaker, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY number) AS part, text,
+  coalesce(sum(length(text)) OVER (PARTITION BY conv_id, speaker ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin,
+  length(text)::BIGINT AS n_chars, spans, n_trained
+FROM parts
+"""
+
+
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -80,12 +123,15 @@ def op10_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_trie_token_counts": op1_trie_token_counts,
+    "op2_projected_neighbours": op2_projected_neighbours,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op10_sum_of_squares_packing": op10_sum_of_squares_packing,
+    "op4_perspective_rotation": op4_perspective_rotation,
     "op5_factorization_toxicity": op5_factorization_toxicity,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_host_suffix_array": op7_host_suffix_array,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLES: dict[str, str] = {"op9_quality_rules": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_perspective_rotation": OP4_SQL, "op9_quality_rules": OP9_SQL}
