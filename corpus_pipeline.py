@@ -1,13 +1,67 @@
-"""Corpus preparation as stages over the documents table."""
+"""Corpus preparation: five stages over the documents table, each written as Parquet and read again as the next one's input."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.minhash import near_duplicates
+from tessera.llm.mixing import mix_documents
+from tessera.llm.packing import pack
+from tessera.llm.quality import quality_rules
+from tessera.llm.queries import tokenizer_file
+from tessera.llm.scratch import Scratch
+from tessera.llm.substrings import remove_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, from hosts that do."""
+    return quality_rules(docs).where("kept").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of similarity 0.8 or more."""
+    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 100 bytes that occur earlier; texts of which nothing is left go."""
+    left = remove_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return left.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(*COLUMNS)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; each round over a source gives its documents anew."""
+    return mix_documents(docs).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids in sequences of 4096."""
+    return pack(docs, tokenizer_file=tokenizer_file())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("source mixing", mixed_sources),
+    ("best-fit packing", packed),
+]
 
-STAGES = []
+#: Permutations and packing have no equivalent in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"stage-{number}")
+        if number:
+            scratch.drop(f"stage-{number - 1}")
     return docs
