@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.components import connected_components
-from tessera.llm.scratch import Scratch
+from tessera.operators.components import connected_components
+from tessera.plans.scratch import Scratch
 from tessera.llm.words import grouped_bytes
 
 # Texts of similarity 0.8 share none of the bands with probability 6e-7, of 0.85 with 7e-10.
