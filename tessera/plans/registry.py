@@ -1,10 +1,412 @@
-"""Named queries over the driver's tables, with equivalent SQL."""
+"""Named queries over the driver's tables, with equivalent SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
+from tessera.functions.urls import host, may_crawl, normalize_url
+from tessera.operators import actions, crawl, evolve, match, profile, resolve, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- pages and crawling -------------------------------------------------------------------------------------------------
+
+HOST = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
+
+
+@query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY sha256(html) ORDER BY page_id) AS n FROM pages)
+SELECT {HOST} AS host, count(*) AS n_pages, count(DISTINCT regexp_extract(html, '<title>([^<]*)</title>', 1)) AS n_titles,
+  sum(ceil(length(html) / 4))::BIGINT AS est_tokens, min(page_id) AS first_page FROM d WHERE n = 1 GROUP BY 1""")
+def page_host_profile(t):
+    pages = crawl.content_dedup(t("pages"), "html", [F.col("page_id")])
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return pages.groupBy(host("url").alias("host")).agg(
+        F.count("*").alias("n_pages"),
+        F.count_distinct(title).alias("n_titles"),
+        F.sum(X.token_estimate("html")).cast("long").alias("est_tokens"),
+        F.min("page_id").alias("first_page"),
+    )
+
+
+@query("SELECT page_id, url, sha256(html) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY sha256(html) ORDER BY page_id) AS n FROM pages) WHERE n = 1")
+def page_dedup(t):
+    return crawl.content_dedup(t("pages"), "html", [F.col("page_id")]).select("page_id", "url", F.sha2("html", 256).alias("content_hash"))
+
+
+@query(r"""SELECT page_id, url, regexp_matches(url, '^https?://[^/]') AND NOT regexp_matches(url, '^https?://(localhost|127\.|10\.|192\.168\.)') AS allowed FROM pages""")
+def crawl_url_filter(t):
+    return t("pages").select("page_id", "url", may_crawl("url").alias("allowed"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages),
+q AS (SELECT page_id, lower(regexp_extract(u, '^([^/]*//[^/?]*)', 1)) AS base, regexp_extract(u, '^[^/]*//[^/?]*([^?]*)', 1) AS path, regexp_extract(u, '\?(.*)$', 1) AS q FROM p)
+SELECT page_id, base || CASE WHEN path = '' THEN '/' WHEN path <> '/' THEN regexp_replace(path, '/$', '') ELSE path END
+  || CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(q, '&')), '&') END AS normalized FROM q""")
+def normalized_urls(t):
+    return t("pages").select("page_id", normalize_url("url").alias("normalized"))
+
+
+@query("""WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') AS k FROM pages),
+a AS (SELECT k, min(u) AS u FROM u WHERE page_id % 3 <> 0 GROUP BY k), b AS (SELECT k, min(u) AS u FROM u WHERE page_id % 3 <> 1 GROUP BY k)
+SELECT u AS url, 'added' AS change FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT u, 'removed' FROM b WHERE k NOT IN (SELECT k FROM a)""")
+def seed_changes(t):
+    bare = t("pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("url"))
+    return crawl.seed_changes(bare.where("page_id % 3 <> 0").select("url"), bare.where("page_id % 3 <> 1").select("url"))
+
+
+@query("""SELECT event_id, user_id, epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_ms,
+  greatest(0, 60000 - coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 60000)) AS wait_ms FROM events""")
+def domain_spacing(t):
+    return crawl.spacing(t("events").select("event_id", "user_id", "ts"), "user_id", "ts", 60_000).select("event_id", "user_id", "gap_ms", "wait_ms")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_custkey, o_orderkey LIMIT 500""")
+def priority_frontier(t):
+    tasks = t("orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("priority"), F.col("o_custkey").alias("depth"), F.col("o_orderkey").alias("seq"))
+    return crawl.frontier(tasks, 500).select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending, 0::BIGINT AS in_progress, count(*) FILTER (WHERE o_orderstatus = 'F') AS completed,
+  count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, 0::BIGINT AS skipped, count(*) FILTER (WHERE o_orderstatus = 'O') = 0 AS complete,
+  count(*) FILTER (WHERE o_orderstatus = 'O') = 0 AND count(*) FILTER (WHERE o_orderstatus = 'P') > 0 AND count(*) FILTER (WHERE o_orderstatus = 'F') = 0 AS all_failed
+FROM orders GROUP BY o_custkey""")
+def crawl_completeness(t):
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed")
+    return crawl.completeness(t("orders").withColumn("status", status), "o_custkey")
+
+
+# --- values -------------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT doc_id, lower(trim(regexp_replace(left(text, 400), '\s+', ' ', 'g'))) AS normalized FROM documents""")
+def normalize_text(t):
+    return t("documents").select("doc_id", X.normalize_text(F.left("text", F.lit(400)), casing="lower").alias("normalized"))
+
+
+@query("""SELECT p_partkey, array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN string_split(p_name, ' ')], ' ') AS title FROM part""")
+def title_case(t):
+    return t("part").select("p_partkey", X.normalize_text("p_name", casing="title").alias("title"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'construction' WHEN 'MACHINERY' THEN 'construction' ELSE c_mktsegment END AS segment FROM customer")
+def normalize_enum(t):
+    return t("customer").select("c_custkey", X.normalize_enum("c_mktsegment", {"construction": ["BUILDING", "MACHINERY"]}).alias("segment"))
+
+
+@query("SELECT o_orderkey, cast(round(cast(o_totalprice AS DECIMAL(18,4)), 1) AS DECIMAL(18,1))::VARCHAR AS price FROM orders")
+def normalize_currency(t):
+    raw = F.concat(F.lit("$ "), F.format_string("%,.4f", F.col("o_totalprice")), F.lit(" usd"))
+    return t("orders").select("o_orderkey", X.normalize_currency(raw, 1).alias("price"))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' ELSE o_orderstatus END AS done FROM orders")
+def normalize_boolean(t):
+    return t("orders").select("o_orderkey", X.normalize_boolean("o_orderstatus", ("f",), ("o",)).alias("done"))
+
+
+@query("SELECT p_partkey, len(string_split(p_type || '|' || p_brand, '|')) AS n, array_to_string([trim(x) FOR x IN string_split(p_type || ' | ' || p_brand, '|')], ';') AS items FROM part")
+def normalize_list(t):
+    items = X.normalize_list(F.concat("p_type", F.lit(" | "), "p_brand"), "|")
+    return t("part").select("p_partkey", F.size(items).cast("long").alias("n"), F.array_join(items, ";").alias("items"))
+
+
+@query("SELECT p_partkey, round(p_size / 10.0, 6)::DOUBLE AS value, 'cm' AS unit FROM part")
+def normalize_measurement(t):
+    m = X.normalize_measurement(F.concat(F.col("p_size").cast("string"), F.lit(" MM")), "cm")
+    return t("part").select("p_partkey", F.round(m["value"], 6).alias("value"), m["unit"].alias("unit"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(s, '^[=+@-]') THEN '"' || chr(9) || replace(s, '"', '""') || '"'
+  WHEN contains(s, ',') OR contains(s, '"') OR contains(s, chr(10)) THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell FROM (SELECT doc_id, left(text, 60) AS s FROM documents)""")
+def csv_escape(t):
+    return t("documents").select("doc_id", X.csv_cell(F.left("text", F.lit(60))).alias("cell"))
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(text || ' Bearer abcdefghijklmnopqrstuvwx' || turn, '\bBearer\s+[a-zA-Z0-9._-]{20,}\b', '[REDACTED]', 'gi') AS safe FROM conversations""")
+def redact(t):
+    return t("conversations").select("conv_id", "turn", X.redact(F.concat("text", F.lit(" Bearer abcdefghijklmnopqrstuvwx"), F.col("turn").cast("string"))).alias("safe"))
+
+
+@query("""SELECT event_id, 'object' AS whole, 'number' AS member, TRUE AS meaningful FROM events""")
+def json_types(t):
+    return t("events").select("event_id", X.infer_type("props").alias("whole"), X.infer_type(F.get_json_object("props", "$.k")).alias("member"), X.meaningful("props").alias("meaningful"))
+
+
+# --- matching -----------------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT min(doc_id) AS entity, count(*) AS n FROM documents GROUP BY lower(regexp_replace(text, '^\s+|\s+$', '', 'g'))""")
+def doc_exact_match(t):
+    return match.match_exact(t("documents").select("doc_id", "text"), "doc_id", ["text"]).groupBy("entity").agg(F.count("*").alias("n"))
+
+
+PEOPLE = "SELECT c_custkey AS id, c_nationkey::VARCHAR AS a, c_mktsegment AS b, (floor(c_acctbal / 50))::BIGINT::VARCHAR AS c FROM customer"
+
+
+@query(f"""WITH RECURSIVE p AS ({PEOPLE}), e AS (
+  SELECT x.id AS i, y.id AS j FROM p x JOIN p y ON x.id <> y.id AND (x.a = y.a)::INT + (lower(x.b) = lower(y.b))::INT + (x.c = y.c)::INT >= 0.85 * 3),
+r AS (SELECT id AS i, id AS j FROM p UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i)
+SELECT i AS id, min(j) AS entity FROM r GROUP BY i""")
+def composite_match(t):
+    c = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("a"), F.col("c_mktsegment").alias("b"), F.floor(F.col("c_acctbal") / 50).cast("string").alias("c"))
+    return match.match_composite(c, "id", ["a", "b", "c"], 0.85).select("id", "entity")
+
+
+@query("""WITH RECURSIVE n AS (SELECT lower(p_name) AS t, min(p_partkey) AS id FROM part GROUP BY 1),
+e AS (SELECT x.id AS i, y.id AS j FROM n x JOIN n y ON x.id <> y.id AND abs(length(x.t) - length(y.t)) <= 0.2 * greatest(length(x.t), length(y.t)) + 1
+  AND 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) >= 0.8),
+r AS (SELECT id AS i, id AS j FROM n UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i),
+g AS (SELECT i, min(j) AS entity FROM r GROUP BY i)
+SELECT p_partkey AS id, entity FROM part JOIN n ON lower(p_name) = t JOIN g ON g.i = n.id""")
+def fuzzy_match(t):
+    parts = t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return match.match_fuzzy(parts, "id", ["name"], 0.8).select("id", "entity")
+
+
+# --- conflicts ----------------------------------------------------------------------------------------------------------
+
+CELLS = "SELECT user_id AS entity, 'event' AS field, event_id AS ord, event_type AS value, 'src' || (event_id % 4) AS source, ts FROM events"
+
+
+def cells(t):
+    return t("events").select(
+        F.col("user_id").alias("entity"),
+        F.lit("event").alias("field"),
+        F.col("event_id").alias("ord"),
+        F.col("event_type").alias("value"),
+        F.concat(F.lit("src"), (F.col("event_id") % 4).cast("string")).alias("source"),
+        F.col("ts").alias("crawled_at"),
+    )
+
+
+def strategy_sql(name: str, order: str) -> str:
+    return f"""WITH c AS ({CELLS}), k AS (SELECT entity, value, count(*) AS n, min(ord) AS first FROM c GROUP BY 1, 2),
+w AS (SELECT c.*, k.n, k.first, CASE source WHEN 'src0' THEN 3 WHEN 'src1' THEN 2 WHEN 'src2' THEN 1 ELSE 0 END AS score FROM c JOIN k USING (entity, value)),
+b AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY {order}) AS rn FROM w),
+s AS (SELECT entity, count(DISTINCT value) > 1 AS had_conflict, count(*) AS n_values, arg_min(value, ord) AS v1, arg_min(source, ord) AS s1 FROM c GROUP BY 1)
+SELECT s.entity, 'event' AS field, CASE WHEN had_conflict THEN b.value ELSE v1 END AS value, CASE WHEN had_conflict THEN b.source ELSE s1 END AS source,
+  had_conflict, CASE WHEN had_conflict THEN '{name}' END AS resolution, n_values FROM s JOIN b ON s.entity = b.entity AND rn = 1"""
+
+
+@query(strategy_sql("most_common", "n DESC, first, ord"))
+def conflict_most_common(t):
+    return resolve.resolve(cells(t), "most_common")
+
+
+@query(strategy_sql("most_recent", "ts DESC, ord"))
+def conflict_most_recent(t):
+    return resolve.resolve(cells(t), "most_recent")
+
+
+@query(strategy_sql("most_complete", "length(value) DESC, ord"))
+def conflict_most_complete(t):
+    return resolve.resolve(cells(t), "most_complete")
+
+
+@query(strategy_sql("source_priority", "score DESC, ord"))
+def conflict_source_priority(t):
+    sources = cells(t).select("source").distinct()
+    level = F.when(F.col("source") == "src0", "authoritative").when(F.col("source") == "src1", "high").when(F.col("source") == "src2", "medium").otherwise("low")
+    return resolve.resolve(cells(t), "source_priority", sources.withColumn("trust", level))
+
+
+@query(f"""WITH c AS ({CELLS}), s AS (SELECT entity, count(DISTINCT value) > 1 AS conflict, bool_or(upper(value) <> value) AS changed, count(*) AS n FROM c WHERE ord % 7 < 2 GROUP BY 1)
+SELECT entity, CASE WHEN conflict THEN 'resolved' WHEN changed THEN 'normalized' WHEN n > 1 THEN 'merged' ELSE 'extracted' END AS type, n AS n_sources FROM s""")
+def provenance_types(t):
+    own = cells(t).where("ord % 7 < 2").withColumn("raw", F.upper("value"))
+    done = resolve.provenance(own, resolve.resolve(own, "most_common"))
+    return done.select("entity", "type", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query(f"""WITH c AS ({CELLS}) SELECT entity, count(*) AS sources, count(*) / (SELECT count(*) FROM c)::DOUBLE AS quality FROM c GROUP BY 1""")
+def quality_scores(t):
+    own = cells(t)
+    return resolve.quality_scores(own, own.count())
+
+
+# --- schema evolution ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH f AS (SELECT event_id AS e, event_id AS ord, upper(event_type) || ' Value' AS name, round(value)::BIGINT::VARCHAR AS v, CASE WHEN value > 50 THEN 'number' ELSE 'string' END AS ty FROM events
+  UNION ALL SELECT event_id, event_id, lower(event_type) || '  value', NULL, 'string' FROM events WHERE event_id % 5 = 0),
+k AS (SELECT *, regexp_replace(lower(name), '\\s+', '_', 'g') AS key FROM f),
+ty AS (SELECT key, ty, count(*) AS n, min(ord) AS o FROM k GROUP BY 1, 2),
+d AS (SELECT key, ty FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, o) AS r FROM ty) WHERE r = 1),
+s AS (SELECT key, v, min(ord) AS o FROM k WHERE v IS NOT NULL GROUP BY 1, 2),
+s10 AS (SELECT key, string_agg(v, ',' ORDER BY o, v) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY o, v) AS r FROM s) WHERE r <= 10 GROUP BY 1)
+SELECT k.key, count(DISTINCT e) AS occurrences, count(DISTINCT name) AS n_names, any_value(d.ty) AS dominant_type, any_value(samples) AS samples, round(count(DISTINCT e) / (SELECT count(*) FROM events)::DOUBLE, 9) AS frequency
+FROM k JOIN d USING (key) LEFT JOIN s10 USING (key) GROUP BY k.key""".replace("\\\\", "\\"))
+def unmapped_aggregation(t):
+    e = t("events")
+    a = e.select(F.col("event_id").alias("extraction_id"), F.col("event_id").alias("ord"), F.concat(F.upper("event_type"), F.lit(" Value")).alias("name"), F.round("value").cast("long").cast("string").alias("value"), F.when(F.col("value") > 50, "number").otherwise("string").alias("type"))
+    b = e.where("event_id % 5 = 0").select(F.col("event_id").alias("extraction_id"), F.col("event_id").alias("ord"), F.concat(F.lower("event_type"), F.lit("  value")).alias("name"), F.lit(None).cast("string").alias("value"), F.lit("string").alias("type"))
+    out = evolve.aggregate_unmapped(a.union(b), e.count())
+    return out.select("key", "occurrences", F.size("observed_names").cast("long").alias("n_names"), "dominant_type", F.array_join("sample_values", ",").alias("samples"), F.round("frequency", 9).alias("frequency"))
+
+
+@query("SELECT event_type AS field, event_id AS ord FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 10")
+def value_samples(t):
+    own = t("events").select(F.col("event_type").alias("field"), F.col("event_id").alias("ord"), F.col("value"))
+    return evolve.value_samples(own).select("field", "ord")
+
+
+@query("SELECT user_id AS job_id, event_type AS schema_version, count(*) AS n, count(*) >= 10 AS due FROM events GROUP BY 1, 2")
+def evolution_trigger(t):
+    return evolve.due_for_evolution(t("events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("schema_version")))
+
+
+@query("""WITH a AS (SELECT p_partkey AS name, p_brand AS ty FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS name, CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE p_brand END AS ty FROM part WHERE p_partkey % 3 <> 1)
+SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'local_only' WHEN a.name IS NULL THEN 'remote_only' WHEN a.ty = b.ty THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.name = b.name""")
+def schema_changes(t):
+    p = t("part").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("type"), F.lit(True).alias("required"))
+    b = p.where("name % 3 <> 1").withColumn("type", F.when(F.col("name") % 5 == 0, "x").otherwise(F.col("type")))
+    return evolve.schema_changes(p.where("name % 3 <> 0"), b)
+
+
+# --- profiles and usage -------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT event_type, count(*) AS entity_count, round(avg(value / 100), 2) AS average_quality, count(*) FILTER (WHERE value / 100 >= 0.9) AS excellent,
+  count(*) FILTER (WHERE value / 100 >= 0.7 AND value / 100 < 0.9) AS good, count(*) FILTER (WHERE value / 100 >= 0.5 AND value / 100 < 0.7) AS fair, count(*) FILTER (WHERE value / 100 < 0.5) AS poor FROM events GROUP BY 1""")
+def quality_buckets(t):
+    return profile.quality_report(t("events").withColumn("quality", F.col("value") / 100), ["event_type"])
+
+
+@query("""SELECT 'p_name' AS field, round(count(CASE WHEN p_size > 10 THEN p_name END) / count(*)::DOUBLE, 2) AS completeness FROM part
+UNION ALL SELECT 'p_brand', round(count(p_brand) / count(*)::DOUBLE, 2) FROM part""")
+def field_completeness(t):
+    return profile.field_completeness(t("part").withColumn("p_name", F.when(F.col("p_size") > 10, F.col("p_name"))), ["p_name", "p_brand"])
+
+
+@query("""SELECT c_mktsegment AS field, count(c_nationkey) / (SELECT count(*) FROM customer)::DOUBLE AS fill_rate, count(DISTINCT c_nationkey) AS unique_count, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY 1""")
+def field_statistics(t):
+    c = t("customer")
+    own = c.select(F.col("c_mktsegment").alias("field"), F.col("c_custkey").alias("ord"), F.col("c_nationkey").cast("string").alias("value"), F.col("c_acctbal").alias("number"))
+    return profile.field_statistics(own, c.count()).drop("samples")
+
+
+USAGE = "SELECT event_type AS purpose, user_id AS job_id, round(value)::BIGINT AS total_tokens, round(value) / 1000 AS cost_usd, 'm' || (event_id % 3) AS model FROM events"
+
+
+def usage(t):
+    return t("events").select(F.col("event_type").alias("purpose"), F.col("user_id").alias("job_id"), F.round("value").cast("long").alias("total_tokens"), (F.round("value") / 1000).alias("cost_usd"), F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("model"))
+
+
+@query(f"""WITH u AS ({USAGE}), x AS (SELECT 'total' AS kind, '' AS key, * FROM u UNION ALL SELECT 'model', model, * FROM u UNION ALL SELECT 'purpose', purpose, * FROM u)
+SELECT kind, key, sum(total_tokens)::BIGINT AS tokens, sum(cost_usd::DECIMAL(18,6))::DOUBLE AS cost, count(*) AS calls FROM x GROUP BY 1, 2""")
+def usage_rollup(t):
+    return profile.usage_rollup(usage(t), ["model", "purpose"]).withColumn("cost", F.col("cost").cast("double"))
+
+
+@query(f"""WITH u AS ({USAGE}) SELECT job_id, sum(total_tokens)::BIGINT AS tokens, sum(cost_usd::DECIMAL(18,6))::DOUBLE AS cost FROM u GROUP BY 1 ORDER BY sum(cost_usd::DECIMAL(18,6)) DESC, job_id LIMIT 50""")
+def usage_top_jobs(t):
+    return profile.top_jobs(usage(t)).withColumn("cost", F.col("cost").cast("double"))
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\", count(*) FILTER (WHERE o_orderstatus = 'X') AS \"X\" FROM orders GROUP BY 1")
+def status_pivot(t):
+    return profile.status_counts(t("orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P", "X"])
+
+
+# --- tables -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM orders WHERE (o_totalprice, o_orderkey) < (200000, 5000) ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 50")
+def keyset_page(t):
+    return tables.keyset_page(t("orders"), ["o_totalprice", "o_orderkey"], (200000.0, 5000), 50, descending=True)
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 500 OFFSET 100")
+def offset_page(t):
+    return tables.offset_page(t("customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], 9999, 100).select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_name ILIKE '%00%1%' OR c_mktsegment ILIKE '%00%1%'")
+def record_search(t):
+    return tables.search_like(t("customer"), "00%1", F.concat_ws("\n", "c_name", "c_mktsegment")).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE contains(lower(c_name), '01') OR contains(lower(c_mktsegment), '01') OR contains(c_nationkey::VARCHAR, '01')")
+def value_search(t):
+    return tables.search_values(t("customer"), "01", ["c_name", "c_mktsegment", "c_nationkey"]).select("c_custkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, o_orderdate, c_name, n_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F' LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def left_join_chain(t):
+    li, o, c, n = t("lineitem"), t("orders").where("o_orderstatus = 'F'"), t("customer"), t("nation")
+    out = li.join(o, li.l_orderkey == o.o_orderkey, "left").join(c, F.col("o_custkey") == c.c_custkey, "left").join(n, F.col("c_nationkey") == n.n_nationkey, "left")
+    return out.select("l_orderkey", "l_linenumber", "o_orderdate", "c_name", "n_name")
+
+
+@query("""SELECT n_name, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def inner_join_chain(t):
+    li, o, c, n = t("lineitem"), t("orders"), t("customer"), t("nation")
+    # Customers meet orders before the many lines do.
+    owners = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", "n_name")
+    return li.join(owners, li.l_orderkey == owners.o_orderkey).groupBy("n_name").agg(F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS source_count FROM customer")
+def source_count(t):
+    orders = t("orders").select(F.col("o_custkey").alias("c_custkey"))
+    return tables.with_counts(t("customer").select("c_custkey"), orders, "c_custkey", "source_count")
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 UNION ALL SELECT l_partkey FROM lineitem WHERE l_returnflag = 'X')""")
+def orphan_scan(t):
+    li = t("lineitem")
+    users = [li.where(c).select("l_partkey") for c in ("l_quantity > 45", "l_discount > 0.09", "l_returnflag = 'X'")]
+    return tables.orphans(t("part"), "p_partkey", users).select("p_partkey", "p_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' - INTERVAL 90 DAY")
+def retention(t):
+    return tables.expired(t("orders"), "completed_jobs", "o_orderdate", F.lit("1997-01-01").cast("timestamp")).select("o_orderkey")
+
+
+@query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_id % 2 = 1),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_id % 2 = 0)
+SELECT user_id, event_id, event_type FROM b WHERE n = 1 UNION ALL SELECT user_id, event_id, event_type FROM a WHERE n = 1 AND user_id NOT IN (SELECT user_id FROM b)""")
+def upsert_latest(t):
+    e = t("events").withColumn("seq", F.struct("ts", "event_id"))
+    empty = e.where("false").select("user_id", "event_id", "event_type")
+    rows = lambda odd: e.where(F.col("event_id") % 2 == odd).select("user_id", "event_id", "event_type", "seq")
+    return tables.upsert(tables.upsert(empty, rows(0), ["user_id"], "seq"), rows(1), ["user_id"], "seq")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def cascade_delete(t):
+    c = t("customer")
+    left = tables.cascade({"customer": c, "orders": t("orders")}, {"orders": ("customer", "o_custkey", "c_custkey")}, "customer", c.where("c_mktsegment = 'BUILDING'"), "c_custkey")
+    return left["orders"].select("o_orderkey")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'add_field' WHEN 'view' THEN 'merge_fields' WHEN 'error' THEN 'remove_field' WHEN 'signup' THEN 'classify_page' ELSE 'other' END AS type,
+  CASE event_type WHEN 'click' THEN 'auto_above_threshold' WHEN 'view' THEN 'batch_review' WHEN 'signup' THEN 'always_auto' ELSE 'always_review' END AS policy,
+  CASE event_type WHEN 'view' THEN 'medium' WHEN 'error' THEN 'high' ELSE 'low' END AS risk, event_type = 'signup' OR (event_type = 'click' AND value / 100 >= 0.8) AS auto FROM events""")
+def action_triage(t):
+    kind = F.when(F.col("event_type") == "click", "add_field").when(F.col("event_type") == "view", "merge_fields").when(F.col("event_type") == "error", "remove_field").when(F.col("event_type") == "signup", "classify_page").otherwise("other")
+    own = t("events").select("event_id", kind.alias("type"), (F.col("value") / 100).alias("confidence"))
+    return actions.triage(own).drop("confidence")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events")
+def sliding_rate(t):
+    by = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
+    return t("events").select("event_id", F.count("*").over(by).alias("recent"))
