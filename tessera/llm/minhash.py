@@ -15,7 +15,7 @@ from tessera.llm.words import grouped_bytes
 
 # Texts of similarity 0.8 share none of the bands with probability 6e-7, of 0.85 with 7e-10.
 HASHES, BITS, BANDS, ROWS = 256, 2, 36, 5
-WORDS_PACKED = HASHES * BITS // 64
+FINE = 2048
 MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 OFFSETS = np.random.default_rng(20240301).integers(0, 2**32, HASHES, dtype=np.uint32)
 POSITIONS = (np.random.default_rng(20240302).integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -58,20 +58,21 @@ def shingles(words: list[bytes], hashes: WordHashes, length: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def minima(grams: np.ndarray) -> np.ndarray:
+def minima(grams: np.ndarray, multipliers: np.ndarray = MULTIPLIERS, offsets: np.ndarray = OFFSETS) -> np.ndarray:
     x = (grams >> np.uint64(32)).astype(np.uint32)
-    least = np.full(HASHES, 2**32 - 1, dtype=np.uint32)
-    for at in range(0, len(x), 2048):
-        each = MULTIPLIERS[:, None] * x[None, at : at + 2048]
-        each += OFFSETS[:, None]
+    least = np.full(len(multipliers), 2**32 - 1, dtype=np.uint32)
+    step = max(1, 2**19 // len(multipliers))
+    for at in range(0, len(x), step):
+        each = multipliers[:, None] * x[None, at : at + step]
+        each += offsets[:, None]
         np.minimum(least, each.min(axis=1), out=least)
     return least
 
 
-def packed_bits(least: np.ndarray) -> np.ndarray:
-    """For each row of minima, their BITS low bits in 64-bit words; a bijection goes before, as a linear hash has poor low bits."""
-    low = (mixed(least.astype(np.uint64)) & np.uint64(2**BITS - 1)).reshape(len(least), WORDS_PACKED, 64 // BITS)
-    return np.bitwise_or.reduce(low << np.arange(0, 64, BITS, dtype=np.uint64), axis=2).view(np.int64)
+def packed_bits(least: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """For each row of minima, their low bits in 64-bit words; a bijection goes before, as a linear hash has poor low bits."""
+    low = (mixed(least.astype(np.uint64)) & np.uint64(2**bits - 1)).reshape(len(least), -1, 64 // bits)
+    return np.bitwise_or.reduce(low << np.arange(0, 64, bits, dtype=np.uint64), axis=2).view(np.int64)
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
@@ -108,6 +109,17 @@ def sign(length: int):
     return run
 
 
+def fine_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (node, grams) to (node, one bit of each of FINE minima)."""
+    rng = np.random.default_rng(20240303)
+    multipliers, offsets = rng.integers(1, 2**32, FINE, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, FINE, dtype=np.uint32)
+    for batch in batches:
+        sets = [g.values.to_numpy().view(np.uint64) for g in batch.column("grams")]
+        if sets:
+            fine = packed_bits(np.stack([minima(g, multipliers, offsets) for g in sets]), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), list_column(fine, np.ones(len(fine), dtype=bool))], names=["node", "fine"])
+
+
 def full_sets(length: int):
     """For mapInArrow: (node, text) to (node, shingle hashes), where the node is the key of the text's set."""
 
@@ -141,15 +153,23 @@ def confirm(percent: int):
     return run
 
 
-def estimated(bits_a: Column, bits_b: Column) -> Column:
-    """Similarity from packed bits: matching groups of BITS bits, less those that match by chance."""
+def estimated(bits_a: Column, bits_b: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
+    """Similarity from packed bits: matching groups of one or two bits, less those that match by chance."""
     apart = F.lit(0)
-    for i in range(WORDS_PACKED):
+    for i in range(hashes * bits // 64):
         differ = F.get(bits_a, F.lit(i)).bitwiseXOR(F.get(bits_b, F.lit(i)))
-        either = differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555))
-        apart = apart + F.bit_count(either)
-    chance = 1 / 2**BITS
-    return (1 - apart / F.lit(float(HASHES)) - chance) / (1 - chance)
+        if bits == 2:
+            differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        apart = apart + F.bit_count(differ)
+    chance = 1 / 2**bits
+    return (1 - apart / F.lit(float(hashes)) - chance) / (1 - chance)
+
+
+def safe_cut(percent: int, hashes: int, bits: int) -> float:
+    """Five standard deviations of an estimate below the threshold."""
+    chance = 1 / 2**bits
+    match = percent / 100 * (1 - chance) + chance
+    return percent / 100 - 5 * (match * (1 - match) / hashes) ** 0.5 / (1 - chance)
 
 
 def sides(df: DataFrame, side: str) -> DataFrame:
@@ -165,8 +185,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Equal sets form one class, so copies are never paired. In each band a class is compared with the band's first class
     only (its hub); pairs that packed bits put near enough are confirmed on full sets and give first components. What is
-    left are bands with classes of several components: of those, classes pair up only where the bits and the shingles that
-    no other class has still allow a link, and every such pair is confirmed too. So no link between classes that share a
+    left are bands with classes of several components: of those, classes pair up only where their bits, two thousand more,
+    and the shingles that no other class has still allow a link, and every such pair is confirmed too. So no link between classes that share a
     band is lost, while bands full of near copies stay linear.
 
     Null or empty text, or text without words: an empty set, linked with nothing. Null doc_id: linked with nothing, kept.
@@ -187,10 +207,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
     shared = scratch.keep(banded.join(hubs.select("key", "hub"), "key"), "shared")
 
-    # Five standard deviations of the estimate below the threshold.
-    match = percent / 100 * (1 - 1 / 2**BITS) + 1 / 2**BITS
-    cut = percent / 100 - 5 * (match * (1 - match) / HASHES) ** 0.5 / (1 - 1 / 2**BITS)
-    near = estimated(F.col("bits_a"), F.col("bits_b")) >= cut
+    near = estimated(F.col("bits_a"), F.col("bits_b")) >= safe_cut(percent, HASHES, BITS)
+    nearer = estimated(F.col("fine_a"), F.col("fine_b"), FINE, 1) >= safe_cut(percent, FINE, 1)
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     slim = classes.select("node", "n", "bits")
 
@@ -222,6 +240,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .where(100 * F.col("common") >= percent * F.col("n"))
         .drop("own")
     )
+    # Many near copies of one text lie just below the threshold; more bits tell most of them apart without their sets.
+    finer = sets.join(open_classes.select("node"), "node", "left_semi").mapInArrow(fine_bits, "node binary, fine array<long>")
+    open_classes = open_classes.join(finer, "node")
     rest = scratch.keep(among.drop("hub").join(split, "key", "left_semi").join(open_classes, "node"), "rest")
     most = F.least("common_a", "common_b")
     possible = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
@@ -236,6 +257,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         & sizes
         & possible
         & near
+        & nearer
         & meets_first_here,
     ).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     # Pairs with a hub that the first round has tested need no second test.
