@@ -218,6 +218,8 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, hot_limit: i
     earliest = firsts.select("fp", "content", F.col("doc_id").alias("d"), F.col("start").alias("s"))
     later = found.join(earliest, ["fp", "content"]).where(f"doc_id <> d OR {START} <> s")
     copies = later.select("doc_id", F.expr(START).alias("low"), F.expr(f"({START}) + ({WINDOWS}) - 1 + {length}").alias("high"))
+    copies = scratch.keep(copies, "copies")
+    scratch.drop("stretches")
 
     several = firsts.groupBy("fp").agg(F.count("*").alias("contents")).where("contents > 1")
     parts = F.ceil(F.col("contents") / hot_limit)
@@ -227,6 +229,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, hot_limit: i
     split = bodies.repartition("fp", "part").sortWithinPartitions("fp", "part").drop("part")
     shape = "kind int, doc_id long, low long, high long, window binary"
     compared = scratch.keep(split.mapInArrow(compare_windows(length), shape), "compared")
+    scratch.drop("firsts")
     waiting = compared.where("kind = 1")
     opening = waiting.groupBy("window").agg(F.min(F.struct("doc_id", "low")).alias("first"))
     beaten = waiting.join(opening, "window").where("doc_id <> first.doc_id OR low <> first.low")
