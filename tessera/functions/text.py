@@ -177,7 +177,8 @@ def infer_type(text: Column | str) -> Column:
 def meaningful(text: Column | str) -> Column:
     """Whether a JSON value tells anything: a text with more than white space, a number, a boolean, or a list or object with such a member."""
     leaves = F.regexp_replace(canonical_json(text), r'"(?:[^"\\]|\\.)*"\s*:', "")
-    return F.coalesce(leaves.rlike(r'(?U)"(?!(?:[\s\x{FEFF}]|\\[tnrfb])*")|\d|true|false'), F.lit(False))
+    told = F.regexp_replace(leaves, r'(?U)"(?:[\s\x{FEFF}]|\\[tnrfb])*"', "")
+    return F.coalesce(told.rlike(r'["\d]|true|false'), F.lit(False))
 
 
 def token_estimate(text: Column | str) -> Column:
