@@ -50,7 +50,7 @@ def shard_counts(quotas: np.ndarray, shard: int, seed: int) -> np.ndarray:
             lack -= more
         rows.append(drawn)
         left -= drawn
-    return np.array(rows, dtype=np.int64).reshape(-1, len(quotas))
+    return np.array(rows, dtype=np.int64).reshape(len(rows), len(quotas))
 
 
 def permuted(index: Column, size: Column, key: Column, rounds: int = 16) -> Column:
