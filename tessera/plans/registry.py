@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.urls import host, may_crawl, normalize_url
-from tessera.operators import actions, crawl, evolve, match, profile, resolve, tables
+from tessera.operators import actions, crawl, evolve, html_records, match, profile, resolve, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -410,3 +410,140 @@ def action_triage(t):
 def sliding_rate(t):
     by = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
     return t("events").select("event_id", F.count("*").over(by).alias("recent"))
+
+
+# --- more of the same ---------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS n_links FROM pages""")
+def page_links(t):
+    links = html_records.extract_links(t("pages"))
+    return tables.with_counts(t("pages").select("page_id"), links, "page_id", "n_links")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
+def page_titles(t):
+    return html_records.preprocess(t("pages")).select("page_id", "title")
+
+
+@query()
+def page_text(t):
+    return html_records.preprocess(t("pages")).drop("title")
+
+
+@query()
+def page_records(t):
+    schema = evolve.Schema(1, (evolve.Field("title", required=True), evolve.Field("url", "url")))
+    return html_records.extract_records(t("pages"), schema)
+
+
+@query("""SELECT event_id, (event_id % 600)::INT AS status_code, event_id % 600 >= 400 AS failed, event_id % 600 IN (408, 425, 429) OR event_id % 600 >= 500 AS retryable FROM events""")
+def http_gate(t):
+    return crawl.http_gate(t("events").select("event_id", (F.col("event_id") % 600).cast("int").alias("status_code")))
+
+
+@query("""SELECT event_id, event_id % 5 AS attempts, event_id % 5 < 3 AS retry, CASE WHEN event_id % 5 < 3 THEN (2000 * pow(2, event_id % 5 - 1))::BIGINT ELSE 0 END AS delay_ms FROM events""")
+def retry_schedule(t):
+    out = crawl.retry_schedule(t("events").select("event_id", (F.col("event_id") % 5).alias("attempts")))
+    return out.withColumn("delay_ms", F.coalesce("delay_ms", F.lit(0)))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 700")
+def page_budget(t):
+    return crawl.within_budget(t("orders"), 1000, 300, [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, least(1, CASE WHEN l_discount = 0 THEN 0.5 ELSE l_discount * 20 END) AS score FROM lineitem WHERE l_linenumber < 4 AND least(1, CASE WHEN l_discount = 0 THEN 0.5 ELSE l_discount * 20 END) > 0.3""")
+def link_admission(t):
+    score = F.least(F.lit(1.0), F.coalesce(F.nullif(F.col("l_discount") * 20, F.lit(0.0)), F.lit(0.5)))
+    links = t("lineitem").select("l_orderkey", "l_linenumber", F.lit("https://a.com/").alias("url"), F.col("l_linenumber").alias("depth"), score.alias("score"))
+    return crawl.admit_links(links, 4).select("l_orderkey", "l_linenumber", "score")
+
+
+@query("""SELECT s_suppkey, s_name, n_name, CASE WHEN n_nationkey IS NULL THEN 'https://unknown/' || s_nationkey ELSE 'https://' || lower(replace(n_name, ' ', '-')) || '.com/x' END AS source_url
+FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON s_nationkey = n_nationkey""")
+def page_enrichment(t):
+    nation = t("nation").where("n_regionkey < 3")
+    pages = nation.select(F.col("n_nationkey").alias("page_id"), F.concat(F.lit("https://"), F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))), F.lit(".com/x")).alias("url"), F.lit(None).cast("timestamp").alias("created_at"))
+    rows = resolve.enrich(t("supplier").withColumnRenamed("s_nationkey", "page_id"), pages)
+    names = nation.select(F.col("n_nationkey").alias("page_id"), "n_name")
+    return rows.join(names, "page_id", "left").select("s_suppkey", "s_name", "n_name", "source_url")
+
+
+@query("SELECT n_name AS domain, CASE n_name WHEN 'FRANCE' THEN 'authoritative' WHEN 'CHINA' THEN 'high' ELSE 'medium' END AS trust FROM nation")
+def trust_by_priority(t):
+    return resolve.trust_by_priority(t("nation").select(F.col("n_name").alias("domain")), ["FRANCE", "CHINA", "INDIA"])
+
+
+@query(f"""WITH c AS ({CELLS}), k AS (SELECT entity, value AS field, min(ord) AS o FROM c GROUP BY 1, 2) SELECT entity, string_agg(field || '=' || o, ',' ORDER BY field) AS data FROM k GROUP BY 1""")
+def merged_records(t):
+    per = cells(t).groupBy("entity", F.col("value").alias("field")).agg(F.min("ord").cast("string").alias("value"))
+    pairs = F.transform(F.map_entries("data"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return resolve.merge_records(per).select("entity", F.array_join(F.array_sort(pairs), ",").alias("data"))
+
+
+@query("""WITH w AS (SELECT c_custkey AS entity, unnest(['a', 'b', 'c']) AS field FROM customer) SELECT entity, field FROM w JOIN customer ON entity = c_custkey
+WHERE (field = 'a' AND c_nationkey < 10) OR (field = 'b' AND c_acctbal < 0) OR field = 'c'""")
+def missing_fields(t):
+    data = F.create_map(F.lit("a"), F.when(F.col("c_nationkey") >= 10, F.lit("1")), F.lit("b"), F.when(F.col("c_acctbal") >= 0, F.lit("2")).otherwise(F.lit('""')))
+    return resolve.missing_fields(t("customer").select(F.col("c_custkey").alias("entity"), data.alias("data")), ["a", "b", "c"])
+
+
+PURPOSES = [("pageRelevance", 800, 100), ("extraction", 2000, 1500), ("linkEvaluation", 1500, 300), ("schemaEvolution", 3000, 1000), ("entityMatching", 1500, 500), ("conflictResolution", 1000, 300), ("qualityAudit", 2000, 500), ("documentation", 1000, 2000)]
+
+
+@query(f"""WITH a(purpose, p, c) AS (VALUES {', '.join(map(str, PURPOSES))}),
+j AS (SELECT c_custkey AS job_id, CASE c_custkey % 3 WHEN 0 THEN least(c_nationkey + 1, 100) WHEN 1 THEN least(20 * (c_nationkey + 1), 100) ELSE 100 END AS pages,
+  CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS pp, CASE WHEN c_custkey % 2 = 0 THEN 8 ELSE 0 END AS pc FROM customer),
+x AS (SELECT *, CASE purpose WHEN 'pageRelevance' THEN pages WHEN 'extraction' THEN (pages * 7 + 9) // 10 WHEN 'linkEvaluation' THEN (pages + 19) // 20 WHEN 'schemaEvolution' THEN (pages + 9) // 10 ELSE 1 END AS calls FROM j CROSS JOIN a)
+SELECT job_id, pages::BIGINT AS pages, purpose, calls::BIGINT AS calls, (calls * (p + c))::BIGINT AS tokens FROM x""")
+def cost_estimate(t):
+    spark = t("region").sparkSession
+    jobs = t("customer").select(
+        F.col("c_custkey").alias("job_id"), (F.col("c_nationkey") + 1).alias("seeds"), (F.col("c_custkey") % 3).alias("max_depth"), F.lit(100).alias("max_pages"), F.lit(10).alias("batch"), F.when(F.col("c_custkey") % 2 == 0, "maker/x").otherwise("home").alias("model")
+    )
+    prices = spark.createDataFrame([("maker/x", 2.0, 8.0)], "model string, prompt double, completion double")
+    averages = spark.createDataFrame(PURPOSES, "purpose string, prompt_tokens long, completion_tokens long")
+    return profile.estimate_cost(jobs, prices, averages).drop("cost_usd")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'pending' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 3 END AS attempts FROM orders")
+def requeue(t):
+    tasks = t("orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(3).alias("attempts"), F.lit("e").alias("error_message"))
+    return tables.requeue(tasks, ["F"]).drop("error_message")
+
+
+@query("""WITH b AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), t AS (SELECT c_custkey FROM customer WHERE c_custkey <= 50)
+SELECT count(*) FILTER (WHERE c_custkey IS NULL)::BIGINT AS inserted, (sum(n) - count(*) FILTER (WHERE c_custkey IS NULL))::BIGINT AS updated FROM b LEFT JOIN t ON user_id = c_custkey""")
+def upsert_counts(t):
+    have = t("customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("user_id"))
+    out = tables.upsert_counts(have, t("events").select("user_id"), ["user_id"])
+    return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
+
+
+@query("""WITH s AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
+SELECT user_id AS job_id, event_id AS seq, p IS NULL OR (p = 'click' AND event_type = 'view') OR (p = 'view' AND event_type IN ('purchase', 'click')) AS valid FROM s""")
+def job_transitions(t):
+    log = t("events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
+    return tables.check_transitions(log, [("click", "view"), ("view", "purchase"), ("view", "click")]).select("job_id", "seq", "valid")
+
+
+@query(f"""WITH c AS (SELECT entity, value AS field, min(ord) AS v FROM ({CELLS}) GROUP BY 1, 2), n AS (SELECT DISTINCT user_id AS entity, 'error' AS field FROM events)
+SELECT entity, field, v::VARCHAR AS value FROM c WHERE field <> 'error' UNION ALL SELECT entity, field, 'new' FROM n""")
+def corrected_values(t):
+    own = cells(t).groupBy("entity", F.col("value").alias("field")).agg(F.min("ord").cast("string").alias("value"))
+    changes = t("events").select(F.col("user_id").alias("entity"), F.lit("error").alias("field"), F.lit("new").alias("value"), F.col("event_id").alias("seq"))
+    return actions.overwrite_values(own, changes)
+
+
+@query("SELECT doc_id, len(list_distinct([x FOR x IN string_split(trim(regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', ' ', 'g')), ' ') IF length(x) > 1 AND x NOT IN ('the','and','or','for','when','present','string','number','value','record','records','page','field')])) AS n FROM documents")
+def match_words(t):
+    return t("documents").select("doc_id", F.size(X.match_words(F.left("text", F.lit(200)))).cast("long").alias("n"))
+
+
+@query("""WITH g AS (SELECT p_partkey, p_size % 7 AS g FROM part WHERE p_partkey % 2 = 0) SELECT p.p_partkey AS id, coalesce(m.entity, p.p_partkey) AS entity FROM part p LEFT JOIN (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY g) AS entity FROM g) m USING (p_partkey)""")
+def proposed_groups(t):
+    records = t("part").select(F.col("p_partkey").alias("id"))
+    own = t("part").where("p_partkey % 2 = 0").select((F.col("p_size") % 7).alias("group"), F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("id"))
+    unknown = own.limit(5).select("group", "seq", (-F.col("id")).alias("id"))
+    return match.match_groups(records, "id", own.union(unknown)).select("id", "entity")
