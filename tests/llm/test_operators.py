@@ -438,7 +438,7 @@ def test_packing(spark, odd):
 def test_sum_of_squares_wastes_little():
     rng = np.random.default_rng(13)
     lengths = np.minimum(4096, np.exp(rng.normal(6, 1, 20_000)).astype(int) + 1)
-    bins, offsets = packing.sum_of_squares(lengths, 4096)
-    assert bins.max() + 1 <= 1.01 * -(-lengths.sum() // 4096)
+    bins, offsets = packing.pack_group(lengths, 4096)
+    assert bins.max() + 1 <= 1.002 * -(-lengths.sum() // 4096)
     fill = np.bincount(bins, weights=lengths)
     assert fill.max() <= 4096 and (offsets + lengths <= 4096).all()
