@@ -52,35 +52,38 @@ def sides(df: DataFrame, side: str) -> DataFrame:
 def match_composite(records: DataFrame, id_col: str, keys: list[str], threshold: float = 0.85) -> DataFrame:
     """records with `entity`: linked where equal keys / comparable keys reach the threshold (above 0); then closed.
 
-    A key is comparable if either side has it. Any link needs an equal key that is not empty, so pairs meet on one such key
-    each, which loses none. Records with the same keys are one class and never paired. Keys that very many classes share
-    are split among tasks by Spark's skew joins.
+    A key is comparable if either side has it, so a link needs at least threshold * n equal keys for either side's n keys
+    that are not empty. Each row offers the sets of its keys that are large enough, and pairs meet on a set with equal
+    values, which loses none and keeps rows apart that share a common key or two. Records with the same keys are one class
+    and never paired.
     """
     scratch = Scratch(records.sparkSession, "composite")
     if not keys:
         return records.withColumn("entity", F.col(id_col))
+    if len(keys) > 12:
+        raise ValueError("at most 12 keys")
     classes = scratch.keep(key_classes(records, id_col, keys), "classes")
     names = [f"k{i}" for i in range(len(keys))]
-    pairs = None
-    for i, k in enumerate(names):
-        a, b = sides(classes.where(F.col(k) != ""), "a"), sides(classes.where(F.col(k) != ""), "b")
-        equal = [(F.col(f"{n}_a") == F.col(f"{n}_b")) for n in names]
-        # A pair meets on its first equal key alone.
-        earlier = [~(e & (F.col(f"{n}_a") != "")) for e, n in zip(equal[:i], names[:i], strict=True)]
-        comparable = sum(((F.col(f"{n}_a") != "") | (F.col(f"{n}_b") != "")).cast("int") for n in names)
-        matching = sum((e & (F.col(f"{n}_a") != "")).cast("int") for e, n in zip(equal, names, strict=True))
-        on = reduce(lambda x, y: x & y, [F.col(f"{k}_a") == F.col(f"{k}_b"), F.col("id_a") < F.col("id_b"), matching >= threshold * comparable, *earlier])
-        found = a.join(b, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        pairs = found if pairs is None else pairs.union(found)
-    return closed(records, id_col, keys, classes, scratch.keep(pairs, "links"), scratch)
-
-
-def grams(text: Column, n: int) -> Column:
-    """Distinct character runs of length n."""
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))))
-
-
-def match_fuzzy(records: DataFrame, id_col: str, keys: list[str], threshold: float = 0.85, gram: int = 3) -> DataFrame:
+    filled = sum(F.when(F.col(k) != "", F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(names))
+
+    def large_enough(mask: Column) -> Column:
+        return (mask.bitwiseAND(F.col("filled")) == mask) & (F.bit_count(mask) >= F.ceil(F.lit(threshold - 1e-9) * F.bit_count("filled")))
+
+    def held(mask: Column) -> Column:
+        return F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.col(k)).otherwise(F.lit("")) for i, k in enumerate(names)])
+
+    sets = F.filter(F.sequence(F.lit(1), F.lit((1 << len(keys)) - 1)), large_enough)
+    offered = classes.withColumn("filled", filled).withColumn("mask", F.explode(sets)).withColumn("held", held(F.col("mask"))).drop("filled")
+    a, b = sides(offered, "a"), sides(offered, "b")
+    equal = [(F.col(f"{n}_a") == F.col(f"{n}_b")) & (F.col(f"{n}_a") != "") for n in names]
+    comparable = sum(((F.col(f"{n}_a") != "") | (F.col(f"{n}_b") != "")).cast("int") for n in names)
+    enough = sum(e.cast("int") for e in equal) >= threshold * comparable
+    met = a.join(b, (F.col("mask_a") == F.col("mask_b")) & (F.col("held_a") == F.col("held_b")) & (F.col("id_a") < F.col("id_b")) & enough)
+    links = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    return closed(records, id_col, keys, classes, scratch.keep(links, "links"), scratch)
+
+
+def match_fuzzy(records: DataFrame, id_col: str, keys: list[str], threshold: float = 0.85) -> DataFrame:
     """records with `entity`: linked where the mean similarity of comparable keys reaches the threshold; then closed.
 
     A mean that reaches it needs a key whose similarity does, and so two texts at an edit distance of at most
