@@ -126,3 +126,19 @@ def compare_crawlers(a: DataFrame, b: DataFrame) -> DataFrame:
         F.array_except(lb, la).alias("only_b"),
         F.array_intersect(la, lb).alias("both"),
     )
+
+
+def classified(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """pages (page_id) with a model's answers (page_id, answer as JSON) as classification, strategy and confidence.
+
+    An answer that is missing, no JSON or of another kind counts as irrelevant, to be skipped, with confidence 0.
+    """
+    first = answers.groupBy("page_id").agg(F.min("answer").alias("__answer"))
+    told = pages.join(first, "page_id", "left").withColumn("__v", F.from_json("__answer", "classification string, strategy string, confidence double"))
+    known = F.coalesce(F.col("__v.classification").isin(*EXTRACTABLE, "navigation", "irrelevant"), F.lit(False))
+    return told.select(
+        *pages.columns,
+        F.when(known, F.col("__v.classification")).otherwise("irrelevant").alias("classification"),
+        F.when(known, F.coalesce("__v.strategy", F.lit("skip"))).otherwise("skip").alias("strategy"),
+        F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("__v.confidence", F.lit(0.0))))).otherwise(0.0).alias("confidence"),
+    )

@@ -147,10 +147,10 @@ def aggregate_unmapped(fields: DataFrame, total: int, samples: int = 10) -> Data
 def unmapped_of_records(records: DataFrame, id_col: str, json_col: str, schema: Schema) -> DataFrame:
     """(extraction_id, ord, name, value) of what JSON objects hold beyond the schema's fields."""
     known = [f.name.lower() for f in schema.fields]
-    exploded = records.select(F.col(id_col).alias("extraction_id"), F.col("ord").alias("of"), F.try_parse_json(json_col).alias("v"))
-    exploded.createOrReplaceTempView("__tessera_records")
-    pairs = records.sparkSession.sql("SELECT extraction_id, of, t.pos, t.key AS name, to_json(t.value) AS value FROM __tessera_records, LATERAL variant_explode(v) AS t")
-    return pairs.where(~F.lower("name").isin(*known)).select("extraction_id", (F.col("of") * 10_000 + F.col("pos")).alias("ord"), "name", "value")
+    rows = records.select(F.col(id_col).alias("extraction_id"), F.col("ord").alias("of"), F.try_parse_json(json_col).alias("v"))
+    pairs = rows.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    found = pairs.where(F.col("key").isNotNull() & ~F.lower("key").isin(*known))
+    return found.select("extraction_id", (F.col("of") * 10_000 + F.col("pos")).alias("ord"), F.col("key").alias("name"), F.to_json("value").alias("value"))
 
 
 def value_samples(cells: DataFrame, n: int = 10) -> DataFrame:
@@ -175,3 +175,33 @@ def schema_changes(local: DataFrame, remote: DataFrame) -> DataFrame:
     a, b = local.select("name", F.struct("type", "required").alias("a")), remote.select("name", F.struct("type", "required").alias("b"))
     kind = F.when(F.col("b").isNull(), "local_only").when(F.col("a").isNull(), "remote_only").when(F.col("a") == F.col("b"), "unchanged").otherwise("changed")
     return a.join(b, "name", "full").select("name", kind.alias("change"))
+
+
+def describe_fields(fields: tuple[Field, ...], depth: int = 0) -> str:
+    """Fields as lines for a prompt, nested ones indented."""
+    lines = []
+    for f in fields:
+        note = "".join([" (required)" if f.required else "", f": {f.description}" if f.description else "", f" one of {', '.join(f.enum_values)}" if f.enum_values else ""])
+        lines.append("  " * depth + f"- {f.name} [{f.type}{'<' + f.item.type + '>' if f.item else ''}]{note}")
+        if f.fields:
+            lines.append(describe_fields(f.fields, depth + 1))
+    return "\n".join(lines)
+
+
+def json_schema(fields: tuple[Field, ...]) -> dict:
+    """Fields as a JSON schema; a currency is an object of an amount and a currency."""
+
+    def one(f: Field) -> dict:
+        if f.type == "object":
+            out = json_schema(f.fields)
+        elif f.type == "array":
+            out = {"type": "array", "items": one(f.item) if f.item else {"type": "string"}}
+        elif f.type == "currency":
+            out = {"type": "object", "properties": {"amount": {"type": "number"}, "currency": {"type": "string"}}}
+        elif f.type == "enum":
+            out = {"type": "string", "enum": list(f.enum_values)}
+        else:
+            out = {"type": f.type if f.type in ("number", "boolean") else "string"} | ({"format": "uri"} if f.type == "url" else {})
+        return out | ({"description": f.description} if f.description else {})
+
+    return {"type": "object", "properties": {f.name: one(f) for f in fields}, "required": [f.name for f in fields if f.required]}

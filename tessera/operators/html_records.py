@@ -372,3 +372,103 @@ def scan_output(records: DataFrame, data_col: str, prompt_col: str, caps: dict[s
     full = F.length(value) == F.coalesce(F.create_map(*[F.lit(x) for p in caps.items() for x in p])[name], F.lit(-1)) if caps else F.lit(False)
     kinds = F.array_compact(F.array(F.when(echo, F.lit("prompt_echo")), F.when(leak, F.lit("field_name_leak")), F.when(full, F.lit("cap_hit"))))
     return pairs.select(*records.columns, name.alias("field"), F.explode(kinds).alias("kind"))
+
+
+SHOWN = ("aria-label", "title", "href", "src", "alt")
+
+
+def annotations(node: Node) -> str:
+    """What attributes tell about an element, for a reader of its text: `[href: ...; class: ...]`, or nothing."""
+    parts = [f"{a}: {node.attrs[a][:200]}" for a in SHOWN if node.attrs.get(a)]
+    parts += [f"{a}: {v[:200]}" for a, v in node.attrs.items() if a.startswith("data-") and v]
+    classes = [c for c in node.attrs.get("class", "").split() if re.search("[a-z]{3}", c) and not re.search(r"\d", c)][:12]
+    if classes:
+        parts.append(f"class: {' '.join(classes)}")
+    return f"[{'; '.join(dict.fromkeys(parts))}]" if parts else ""
+
+
+def pick(root: Node, *names: str) -> Node | None:
+    """The first element that a class, item property or id names so."""
+    for node in root.walk():
+        marks = words(" ".join(node.attrs.get(a, "") for a in ("class", "itemprop", "id")))
+        if marks & set(names):
+            return node
+    return None
+
+
+def field_of_page(root: Node, field, url: str):
+    """A single page's value of a field, by its type: prices, links and images, numbers, lists and tables, else text."""
+    named = pick(root, *words(field.name.replace("_", " ")))
+    if field.type == "currency":
+        m = PRICE.search((named or root).text()) or PRICE.search(root.text())
+        return m[0] if m else None
+    if field.type == "url":
+        image = "image" in field.name or "img" in field.name or "photo" in field.name
+        nodes = ([named] if named else []) + root.all("img" if image else "a")
+        found = (resolve_one(n.attrs.get("src" if n.tag == "img" else "href"), url) for n in nodes)
+        return next((u for u in found if u), None)
+    if field.type == "number":
+        return typed(named.text(), "number") if named and re.search(r"\d", named.text()) else None
+    if field.type == "array":
+        lists = (named or root).all("ul", "ol")
+        return [li.text() for li in lists[0].all("li")][:20] if lists else [dict(zip([c.text() for c in g[0]], [c.text() for c in r], strict=False)) for t in (named or root).all("table")[:1] if (g := grid(t)) for r in g[1:]] or None
+    if named:
+        return named.attrs.get("content") or named.text() or None
+    if field.name == "title":
+        return next((n.text() for n in root.all("h1", "h2") if n.text()), None)
+    if field.name == "description":
+        meta = next((n.attrs.get("content") for n in root.all("meta") if n.attrs.get("name") == "description"), None)
+        return meta or next((n.text() for n in root.all("p") if n.text()), None)
+    return None
+
+
+def single_record(page: str, url: str, schema: Schema) -> tuple[dict, float]:
+    """A record of a page about one thing, and the confidence: the share of fields found times 0.6."""
+    root = parse(page)
+    found = {f.name: v for f in schema.fields if (v := field_of_page(root, f, url)) not in (None, "")}
+    return found, min(len(found) / max(1, len(schema.fields)), 1.0) * 0.6
+
+
+def discovered(page: str, url: str) -> dict:
+    """What a page shows without a schema: title, subtitle, description, image, price, links and larger tables."""
+    root = parse(page)
+    heads = [[n.text() for n in root.all(t) if n.text()] for t in ("h1", "h2", "p")]
+    price = PRICE.search(root.text())
+    out = {name: texts[0] for name, texts in zip(("title", "subtitle", "description"), heads, strict=True) if texts}
+    images = [u for n in root.all("img") if (u := resolve_one(n.attrs.get("src"), url))]
+    links = [x[0] for x in links_of(page, url)][:5]
+    tables = [[[c.text() for c in r] for r in g] for t in root.all("table") if len(g := grid(t)) >= 3]
+    for name, value in (("image", images[:1]), ("price", [price[0]] if price else []), ("links", [links] if links else []), ("tables", [tables] if tables else [])):
+        if value:
+            out[name] = value[0]
+    return out
+
+
+def extract_singles(pages: DataFrame, schema: Schema | None) -> DataFrame:
+    """page_id, data and confidence of pages about one thing; without a schema, what they show."""
+
+    def work(page: str, url: str) -> list[tuple[str, float]]:
+        record, sure = single_record(page, url, schema) if schema else (discovered(page, url), 0.3)
+        return [(json.dumps(record, sort_keys=True, ensure_ascii=False), sure)]
+
+    return over_pages(pages, work, ["data", "confidence"], "data string, confidence double")
+
+
+def sanitize(records: DataFrame, data_col: str, schema: Schema, most: int = 2000, caps: dict[str, int] | None = None) -> DataFrame:
+    """A map column with the schema's fields alone, its texts cut at their caps; any names of up to 128 characters without a schema."""
+    names, caps = [f.name for f in schema.fields], caps or {}
+    kept = F.map_filter(data_col, lambda k, v: k.isin(*names) if names else (F.length(k) <= 128) & ~k.isin("__proto__", "constructor", "prototype"))
+    limit = lambda k: F.coalesce(F.create_map(*[F.lit(x) for p in caps.items() for x in p])[k], F.lit(most)) if caps else F.lit(most)
+    return records.withColumn(data_col, F.transform_values(kept, lambda k, v: F.left(v, limit(k))))
+
+
+def parse_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """Records in a model's answer, one row each (seq, data as JSON text, confidence): a list, or a list or one record under
+    `data` or `records`, or the answer itself. What is no JSON gives one empty record with confidence 0."""
+    json_value = F.try_parse_json(column)
+    get = lambda path, kind: F.try_variant_get(json_value, path, kind)
+    lists = F.coalesce(get("$", "array<variant>"), get("$.data", "array<variant>"), get("$.records", "array<variant>"))
+    one = F.coalesce(get("$.data", "variant"), json_value)
+    found = F.when(json_value.isNull(), F.array(F.parse_json(F.lit("{}")))).when(lists.isNotNull(), lists).otherwise(F.array(one))
+    sure = F.when(json_value.isNull(), F.lit(0.0)).otherwise(F.coalesce(get("$.confidence", "double"), F.lit(0.5)))
+    return answers.select(*answers.columns, F.posexplode(found).alias("seq", "__v"), sure.alias("confidence")).withColumn("data", F.to_json("__v")).drop("__v")

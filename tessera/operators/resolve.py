@@ -6,6 +6,8 @@ Every "first" is by ord, so results do not depend on how rows are dealt.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,3 +124,32 @@ def enrich(extractions: DataFrame, pages: DataFrame) -> DataFrame:
     joined = extractions.join(of_page, "page_id", "left")
     url = F.coalesce("__url", F.concat(F.lit("https://unknown/"), F.col("page_id").cast("string")))
     return joined.withColumn("source_url", url).withColumn("source_domain", F.lower(F.try_parse_url(url, F.lit("HOST")))).drop("__url")
+
+
+def trust_from_answers(domains: DataFrame, answers: DataFrame) -> DataFrame:
+    """A model's trust levels (domain, trust) for the domains asked about; odd levels and other domains are dropped."""
+    known = answers.where(F.col("trust").isin(*TRUST)).groupBy("domain").agg(F.min("trust").alias("trust"))
+    return domains.join(known, "domain")
+
+
+def normalize_cells(cells: DataFrame, rules: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """cells (field, value as JSON text) with `raw`, the value before, and the value under its field's rule.
+
+    A rule takes the text of a JSON string or number and returns a text, list or struct; other values, and null, stay.
+    """
+    json = F.try_parse_json("value")
+    text = F.try_variant_get(json, "$", "string")
+    plain = F.col("value").rlike(r'^("|-?\d)')
+    out = F.col("value")
+    for name, rule in rules.items():
+        out = F.when(plain & (F.col("field") == name), F.coalesce(F.get_json_object(F.to_json(F.struct(rule(text).alias("v"))), "$.v"), F.lit(""))).otherwise(out)
+    done = cells.withColumn("raw", F.col("value")).withColumn("__text", text).withColumn("value", out)
+    as_json = F.when((F.col("value") != F.col("raw")) & ~F.col("value").rlike(r"^[\[{]"), F.to_json(F.array("value"))).otherwise(F.lit(None))
+    quoted = F.when(as_json.isNotNull(), F.substring(as_json, 2, 2**31 - 1)).otherwise(F.lit(None))
+    value = F.when(F.col("value") == F.col("__text"), F.col("raw")).when(quoted.isNotNull(), F.left(quoted, F.length(quoted) - 1)).otherwise(F.col("value"))
+    return done.withColumn("value", value).drop("__text")
+
+
+def changes(cells: DataFrame) -> DataFrame:
+    """Cells whose value is not their raw one: what normalization changed."""
+    return cells.where(~F.col("raw").eqNullSafe(F.col("value"))).select(*[c for c in cells.columns if c not in ("raw", "value")], F.col("raw").alias("before"), F.col("value").alias("after"))

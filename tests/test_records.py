@@ -181,3 +181,47 @@ def test_pages_and_upserts(spark):
     assert {(r["id"], r["x"]) for r in new.where("id in (1, 20)").collect()} == {(1, 8), (20, 9)} and new.count() == 11
     assert tuple(tables.upsert_counts(df, batch, ["id"]).first()) == (1, 2)
     assert [len(p) for p in tables.pages_of(df, "id", 4)] == [4, 4, 2]
+
+
+def test_unmapped_of_records(spark):
+    df = spark.createDataFrame([(1, 1, '{"a":1,"Extra":"x","more":[2]}'), (2, 2, "broken")], "id long, ord long, data string")
+    found = evolve.unmapped_of_records(df, "id", "data", Schema(1, (Field("A"),))).collect()
+    assert {(r["extraction_id"], r["name"], r["value"]) for r in found} == {(1, "Extra", '"x"'), (1, "more", "[2]")}
+
+
+def test_answers(spark):
+    rows = [(1, '[{"a":1},{"a":2}]'), (2, '{"data":{"a":3},"confidence":0.9}'), (3, '{"records":[{"a":4}]}'), (4, "oops")]
+    found = html_records.parse_answers(spark.createDataFrame(rows, "id long, answer string")).collect()
+    assert {(r["id"], r["seq"], r["data"], r["confidence"]) for r in found} == {(1, 0, '{"a":1}', 0.5), (1, 1, '{"a":2}', 0.5), (2, 0, '{"a":3}', 0.9), (3, 0, '{"a":4}', 0.5), (4, 0, "{}", 0.0)}
+    pages = spark.createDataFrame([(1,), (2,), (3,)], "page_id long")
+    told = spark.createDataFrame([(1, '{"classification":"single_entry","strategy":"css","confidence":7}'), (2, '{"classification":"odd"}')], "page_id long, answer string")
+    assert {tuple(r) for r in crawl.classified(pages, told).collect()} == {(1, "single_entry", "css", 1.0), (2, "irrelevant", "skip", 0.0), (3, "irrelevant", "skip", 0.0)}
+
+
+def test_singles_and_sanitize(spark):
+    page = '<h1>Lamp</h1><img src="/i.png"><span class="price">$29.99</span><p class="brand">Acme</p><ul class="tags"><li>a</li><li>b</li></ul>'
+    df = spark.createDataFrame([(1, "https://s.t/", page)], "page_id long, url string, html string")
+    schema = Schema(1, (Field("title"), Field("price", "currency"), Field("brand"), Field("image_url", "url"), Field("missing")))
+    row = html_records.extract_singles(df, schema).first()
+    assert row["data"] == '{"brand": "Acme", "image_url": "https://s.t/i.png", "price": "$29.99", "title": "Lamp"}' and abs(row["confidence"] - 0.48) < 1e-9
+    assert '"price": "$29.99"' in html_records.extract_singles(df, None).first()["data"]
+    maps = spark.createDataFrame([({"title": "abcdef", "odd": "x"},)], "data map<string,string>")
+    assert html_records.sanitize(maps, "data", schema, caps={"title": 3}).first()["data"] == {"title": "abc"}
+
+
+def test_normalized_cells(spark):
+    from tessera.functions import text as X
+
+    rows = [("e", "name", '" the  LAMP "'), ("e", "price", '"$5"'), ("e", "price", "5"), ("e", "tags", '"a, b"'), ("e", "other", '"x"'), ("e", "name", None), ("e", "name", '"Fine"')]
+    cells = spark.createDataFrame([(e, f, i, v) for i, (e, f, v) in enumerate(rows)], "entity string, field string, ord long, value string")
+    rules = {"name": lambda c: X.normalize_text(c, casing="title"), "price": X.normalize_currency, "tags": X.normalize_list}
+    done = resolve.normalize_cells(cells, rules)
+    assert [r["value"] for r in done.orderBy("ord").collect()] == ['"The Lamp"', '"5.00"', '"5.00"', '["a","b"]', '"x"', None, '"Fine"']
+    assert [r["before"] for r in resolve.changes(done).orderBy("ord").collect()] == ['" the  LAMP "', '"$5"', "5", '"a, b"']
+
+
+def test_prompts():
+    fields = (Field("name", required=True, description="What it is"), Field("price", "currency"), Field("size", "object", fields=(Field("w", "number"),)), Field("kind", "enum", enum_values=("a", "b")))
+    assert evolve.describe_fields(fields).splitlines()[0] == "- name [string] (required): What it is" and "  - w [number]" in evolve.describe_fields(fields)
+    shape = evolve.json_schema(fields)
+    assert shape["required"] == ["name"] and shape["properties"]["price"]["properties"]["amount"] == {"type": "number"} and shape["properties"]["kind"]["enum"] == ["a", "b"]
