@@ -290,6 +290,7 @@ def test_blocks():
     <script>if(a<b){"</p>"}</script><p>out</body>"""
     assert html_text.content_blocks(page) == ["A & B", "one two", "three four five", "x", "y", "tail"]
     assert html_text.content_blocks("<p>a &lt; b</p><div class=ad>zz<p>q</div>k") == ["a < b", "k"]
+    assert html_text.content_blocks('<div class="post has-sidebar ad-free"><p>in</p><div class="siteFooter">x</div></div>') == ["in"]
     for odd_page in ("", "<<<>>", "<!-- x", '<a href="x>y', "<p" * 2000, "</div>" * 50, "<nav><p>all"):
         html_text.content_blocks(odd_page)
 
