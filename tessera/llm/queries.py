@@ -23,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality_rules(table(spark, folder, "documents"), carry=["doc_id"])
-    return rows.select("doc_id", *COUNTS, "base_failed", "kept", "host_rate")
+    return rows.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 OP9_SQL = r"""
@@ -49,7 +49,7 @@ spread AS (SELECT m, sum(n * pow(f / n - m, 2)) / sum(n) AS v FROM hosts, mean G
 prior AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 10000) ELSE 10000 END AS k FROM spread),
 verdicts AS (SELECT source, (f + m * k) / (n + k) AS host_rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND host_rate <= 0.8 AS kept, host_rate
+  NOT base_failed AND host_rate <= 0.8 AS kept
 FROM base JOIN verdicts ON base.source IS NOT DISTINCT FROM verdicts.source
 """
 
