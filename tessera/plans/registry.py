@@ -347,11 +347,11 @@ def value_search(t):
     return tables.search_values(t("customer"), "01", ["c_name", "c_mktsegment", "c_nationkey"]).select("c_custkey")
 
 
-@query("""SELECT l_orderkey, l_linenumber, o_orderkey, c_name, n_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F' LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
+@query("""SELECT l_orderkey, l_linenumber, coalesce(o_orderkey, -1) AS o_orderkey, c_name, n_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F' LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def left_join_chain(t):
     li, o, c, n = t("lineitem"), t("orders").where("o_orderstatus = 'F'"), t("customer"), t("nation")
     out = li.join(o, li.l_orderkey == o.o_orderkey, "left").join(c, F.col("o_custkey") == c.c_custkey, "left").join(n, F.col("c_nationkey") == n.n_nationkey, "left")
-    return out.select("l_orderkey", "l_linenumber", "o_orderkey", "c_name", "n_name")
+    return out.select("l_orderkey", "l_linenumber", F.coalesce("o_orderkey", F.lit(-1)).alias("o_orderkey"), "c_name", "n_name")
 
 
 @query("""SELECT n_name, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
