@@ -101,6 +101,7 @@ def mix(
     keep_text: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, takes): the rows of docs with `src`, `source_size`, `target`, `__size`, `__begin`; and what the mix takes of them.
+    With keep_text the rows hold all columns of docs, and `__src`, `__size` and `__begin` besides.
 
     The words of a source, in the order of its documents, are cut into blocks. Output shards draw how many blocks they hold
     of each source, multinomially by what the sources' targets still leave; the blocks of a source are numbered through
@@ -152,7 +153,7 @@ def mix(
     overlap = F.least(F.col("__begin") + F.col("__size"), (F.col("index") + 1) * block) - F.greatest("__begin", F.col("index") * block)
     takes = pieces.join(slots, ["src", "index"]).select("src", "__begin", "round", "index", "shard", overlap.alias("taken"))
     if keep_text:
-        joined = rows.drop("__size", "__tie", SOURCE).join(placed.drop(id_col), "__row")
+        joined = rows.drop("__size", "__tie", SOURCE).join(placed.select("__row", F.col("src").alias("__src"), "__size", "__begin"), "__row")
     else:
         joined = placed
     return joined, takes
@@ -175,8 +176,8 @@ def mix_documents(docs: DataFrame, *, text_col: str = "text", block: int = 32, *
     joined by spaces. Documents that the mix takes nothing of, or that have no words, are not in the result.
     """
     rows, takes = mix(docs, text_col=text_col, block=block, keep_text=True, **options)
-    of_round = takes.groupBy("src", "__begin", "round").agg(F.sum("taken").alias("__taken"), F.sort_array(F.collect_list("index")).alias("__index"))
-    joined = rows.where("__size > 0").join(of_round, ["src", "__begin"])
+    of_round = takes.groupBy(F.col("src").alias("__src"), "__begin", F.col("round").alias("__round")).agg(F.sum("taken").alias("__taken"), F.sort_array(F.collect_list("index")).alias("__index"))
+    joined = rows.where("__size > 0").join(of_round, ["__src", "__begin"])
 
     def cut(words: Column) -> Column:
         def one(index: Column) -> Column:

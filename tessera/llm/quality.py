@@ -121,6 +121,6 @@ def quality_rules(
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     rows = scratch.keep(counted.withColumn("base_failed", failed), "counts")
     hosts = rows.groupBy(F.col(host_col).alias("__host")).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("failed"))
-    verdicts = host_verdicts(hosts, max_rate).select("__host", "host_rate", "host_ok")
+    verdicts = host_verdicts(hosts, max_rate).select("__host", "host_rate", F.col("host_ok").alias("__ok"))
     joined = rows.join(verdicts, rows[host_col].eqNullSafe(verdicts["__host"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("__host", "host_ok")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col("__ok")).drop("__host", "__ok")

@@ -26,7 +26,6 @@ def multikey_quicksort(words: np.ndarray, starts: np.ndarray, groups: np.ndarray
     level = np.zeros(segment[-1] + 1 if len(segment) else 0, dtype=np.int64)
     while True:
         size = np.bincount(segment, minlength=len(level))
-        first = np.cumsum(size) - size
         active = (size > 1) & (level < depth)
         if not active.any():
             return order, segment
@@ -46,7 +45,6 @@ def multikey_quicksort(words: np.ndarray, starts: np.ndarray, groups: np.ndarray
         part[at] = key
         kept, segment = np.unique(part, return_inverse=True)
         level = level[kept // 3] + ((kept % 3 == 1) & active[kept // 3])
-        del first
 
 
 class BlindTrie:
