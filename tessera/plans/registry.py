@@ -547,3 +547,22 @@ def proposed_groups(t):
     own = t("part").where("p_partkey % 2 = 0").select((F.col("p_size") % 7).alias("group"), F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("id"))
     unknown = own.limit(5).select("group", "seq", (-F.col("id")).alias("id"))
     return match.match_groups(records, "id", own.union(unknown)).select("id", "entity")
+
+
+# The same rules over whole texts; the queries above keep the prefixes of their SQL.
+
+
+@query(r"""SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS normalized FROM documents""")
+def normalize_whole_text(t):
+    return t("documents").select("doc_id", X.normalize_text("text", casing="lower").alias("normalized"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(s, '^[=+@-]') THEN '"' || chr(9) || replace(s, '"', '""') || '"'
+  WHEN contains(s, ',') OR contains(s, '"') OR contains(s, chr(10)) THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell FROM (SELECT doc_id, coalesce(text, '') AS s FROM documents)""")
+def csv_escape_whole_text(t):
+    return t("documents").select("doc_id", X.csv_cell("text").alias("cell"))
+
+
+@query("SELECT doc_id, len(list_distinct([x FOR x IN string_split(trim(regexp_replace(replace(lower(text), 'organisation', 'organization'), '[^a-z0-9]+', ' ', 'g')), ' ') IF length(x) > 1 AND x NOT IN ('the','and','or','for','when','present','string','number','value','record','records','page','field')])) AS n FROM documents")
+def match_words_whole_text(t):
+    return t("documents").select("doc_id", F.size(X.match_words("text")).cast("long").alias("n"))

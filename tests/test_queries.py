@@ -46,3 +46,13 @@ def test_entry(spark):
 
 def test_names():
     assert set(driver.oracle_sql()) <= set(driver.queries()) and set(registry.QUERIES) <= set(driver.queries())
+
+
+def test_whole_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(3000)]
+    text = " \n ".join(words) + ', said "X"'
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r["doc_id"]: r[1] for r in driver.queries()[n](spark, str(tmp_path)).collect()} for n in ("normalize_whole_text", "csv_escape_whole_text", "match_words_whole_text")}
+    assert got["normalize_whole_text"] == {1: " ".join(text.split()).lower(), 2: None}
+    assert got["csv_escape_whole_text"] == {1: '"' + text.replace('"', '""') + '"', 2: ""}
+    assert got["match_words_whole_text"][1] == len(words) + 1
