@@ -566,3 +566,30 @@ def csv_escape_whole_text(t):
 @query("SELECT doc_id, len(list_distinct([x FOR x IN string_split(trim(regexp_replace(replace(lower(text), 'organisation', 'organization'), '[^a-z0-9]+', ' ', 'g')), ' ') IF length(x) > 1 AND x NOT IN ('the','and','or','for','when','present','string','number','value','record','records','page','field')])) AS n FROM documents")
 def match_words_whole_text(t):
     return t("documents").select("doc_id", F.size(X.match_words("text")).cast("long").alias("n"))
+
+
+# Operators over all rows of their tables; the queries above keep the row filters of their SQL.
+
+FINE_CELLS = "SELECT user_id || '/' || event_id % 32 AS entity, event_id AS ord, event_type AS value, event_id % 4 = 0 AS changed FROM events"
+
+
+@query(f"""WITH c AS ({FINE_CELLS}), s AS (SELECT entity, count(DISTINCT value) > 1 AS conflict, bool_or(changed) AS changed, count(*) AS n FROM c GROUP BY 1)
+SELECT entity, CASE WHEN conflict THEN 'resolved' WHEN changed THEN 'normalized' WHEN n > 1 THEN 'merged' ELSE 'extracted' END AS type, n AS n_sources FROM s""")
+def provenance_types_all(t):
+    fine = F.concat(F.col("entity").cast("string"), F.lit("/"), (F.col("ord") % 32).cast("string"))
+    own = cells(t).withColumn("entity", fine).withColumn("raw", F.when(F.col("source") == "src0", F.upper("value")).otherwise(F.col("value")))
+    done = resolve.provenance(own, resolve.resolve(own, "most_common"))
+    return done.select("entity", "type", F.size("sources").cast("long").alias("n_sources"))
+
+
+@query("""WITH b AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), t AS (SELECT c_custkey FROM customer)
+SELECT count(*) FILTER (WHERE c_custkey IS NULL)::BIGINT AS inserted, (sum(n) - count(*) FILTER (WHERE c_custkey IS NULL))::BIGINT AS updated FROM b LEFT JOIN t ON user_id = c_custkey""")
+def upsert_counts_all(t):
+    out = tables.upsert_counts(t("customer").select(F.col("c_custkey").alias("user_id")), t("events").select("user_id"), ["user_id"])
+    return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
+
+
+@query("SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_size % 7) AS entity FROM part")
+def proposed_groups_all(t):
+    own = t("part").select((F.col("p_size") % 7).alias("group"), F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("id"))
+    return match.match_groups(t("part").select(F.col("p_partkey").alias("id")), "id", own).select("id", "entity")

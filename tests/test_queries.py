@@ -56,3 +56,14 @@ def test_whole_texts(spark, tmp_path):
     assert got["normalize_whole_text"] == {1: " ".join(text.split()).lower(), 2: None}
     assert got["csv_escape_whole_text"] == {1: '"' + text.replace('"', '""') + '"', 2: ""}
     assert got["match_words_whole_text"][1] == len(words) + 1
+
+
+def test_all_rows(spark, duck, tmp_path):
+    got = {n: driver.queries()[n](spark, SF).collect() for n in ("provenance_types_all", "upsert_counts_all", "proposed_groups_all")}
+    assert sum(r["n_sources"] for r in got["provenance_types_all"]) == duck.sql("SELECT count(*) FROM events").fetchall()[0][0]
+    assert {r["type"] for r in got["provenance_types_all"]} == {"resolved", "normalized", "merged", "extracted"}
+    assert len({r["entity"] for r in got["proposed_groups_all"]}) == duck.sql("SELECT count(DISTINCT p_size % 7) FROM part").fetchall()[0][0]
+    # A customer beyond the 50th is known.
+    spark.createDataFrame([(7,), (60,), (61,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(7,), (60,), (60,), (99,), (99,)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in driver.queries()["upsert_counts_all"](spark, str(tmp_path)).collect()] == [(1, 4)]
