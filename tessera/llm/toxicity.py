@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import Scratch
@@ -133,6 +133,61 @@ def hashed_terms(bits: int):
     return run
 
 
+def interacting(flat: np.ndarray, sizes: np.ndarray, label: np.ndarray, numbers: np.ndarray, deviation: float) -> np.ndarray:
+    """Terms of pairs whose share of toxic rows departs by so many standard deviations from what their two terms tell.
+
+    Rows hold sorted distinct terms. Of each term of numbers, all pairs with later terms are counted. What two terms tell is
+    the sum of their log odds; the departure is the signed root of the deviance, since rare pairs are far from normal.
+    """
+    n_terms = int(flat.max()) + 1 if len(flat) else 0
+    order = np.argsort(flat, kind="stable")
+    bounds = np.searchsorted(flat[order], np.arange(n_terms + 1))
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    ends, toxic = np.cumsum(sizes), label > 0
+    total = np.diff(bounds)
+    prior = np.clip(toxic.mean() if len(toxic) else 0.5, 1e-6, 1 - 1e-6)
+    rate = (np.bincount(flat, weights=toxic[row], minlength=n_terms) + prior) / (total + 1)
+    odds, base = np.log(rate / (1 - rate)), np.log(prior / (1 - prior))
+    found = []
+    for a in numbers[numbers < n_terms]:
+        at = order[bounds[a] : bounds[a + 1]]
+        left = ends[row[at]] - at - 1
+        skip = np.cumsum(left) - left
+        others = flat[np.arange(left.sum()) + np.repeat(at + 1 - skip, left)]
+        hit = np.repeat(toxic[row[at]], left)
+        if len(others) < n_terms:
+            b, places, n = np.unique(others, return_inverse=True, return_counts=True)
+            c = np.bincount(places[hit], minlength=len(b))
+        else:
+            n, c = np.bincount(others, minlength=n_terms), np.bincount(others[hit], minlength=n_terms)
+            b = np.flatnonzero(n)
+            n, c = n[b], c[b]
+        p = np.clip(1 / (1 + np.exp(-(odds[a] + odds[b] - base))), 1e-6, 1 - 1e-6)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            deviance = 2 * (np.where(c > 0, c * np.log(c / (n * p)), 0) + np.where(c < n, (n - c) * np.log((n - c) / (n * (1 - p))), 0))
+        b = b[deviance >= deviation**2]
+        if len(b):
+            found += [[a], b]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+
+
+def interacting_terms(spark: SparkSession, flat: np.ndarray, sizes: np.ndarray, label: np.ndarray, deviation: float, tasks: int = 24) -> np.ndarray:
+    """interacting() for all terms, each task taking every so manieth of them."""
+    sample = spark.sparkContext.broadcast((flat.astype(np.int32), sizes, label))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows, marks = sample.value
+        n_terms = int(own.max()) + 1 if len(own) else 0
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                terms = interacting(own, rows, marks, np.arange(first, n_terms, tasks), deviation)
+                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64())], names=["term"])
+
+    # At most one row for each term of the sample and task.
+    found = spark.range(0, tasks, 1, tasks).mapInArrow(run, "term long").distinct().toArrow()
+    return np.sort(found.column("term").to_numpy())
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -144,12 +199,15 @@ def train(
     max_rows: int = 20_000,
     min_docs: int = 4,
     min_deviation: float = 5.0,
+    min_pair_deviation: float = 6.0,
     seed: int = 11,
 ) -> FactorizationMachine:
     """A model from at most max_rows labelled rows, which the hashes of their ids pick, none of them held out.
 
-    Only that bounded sample's hashed terms reach the driver. Terms of fewer than min_docs sampled documents, and those whose
-    share among toxic ones is within min_deviation standard deviations of their share among the others, are no features. Without any labelled row every score is one half.
+    Only that bounded sample's hashed terms reach the driver. Features are terms of min_docs sampled documents at least whose
+    share among toxic ones departs from their share among the others by min_deviation standard deviations, or which are in a
+    pair that departs by min_pair_deviation from what its two terms tell; all pairs are tested. Without any labelled row every
+    score is one half.
     """
     spark = docs.sparkSession
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -168,7 +226,13 @@ def train(
     share = counts / max(1, len(label))
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / others))
     apart = np.abs(toxic / ones - (counts - toxic) / others) / error
-    features = np.flatnonzero((counts >= min_docs) & (apart >= min_deviation))
+    frequent = np.flatnonzero(counts >= min_docs)
+    places = np.full(len(counts), -1, dtype=np.int32)
+    places[frequent] = np.arange(len(frequent))
+    known = places[flat] >= 0
+    held = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
+    paired = frequent[interacting_terms(spark, places[flat][known], held, label, min_pair_deviation)] if known.any() else frequent[:0]
+    features = np.union1d(frequent[apart[frequent] >= min_deviation], paired)
     places = np.full(len(counts), -1, dtype=np.int32)
     places[features] = np.arange(len(features))
     terms = [t[t >= 0] for t in np.split(places[flat], np.cumsum(sizes)[:-1])] if len(rows) else []

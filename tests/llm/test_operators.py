@@ -223,6 +223,31 @@ def test_machine_learns_pairs():
     assert np.abs(machine.factors[0] @ machine.factors[1]) > 0.5
 
 
+def test_pairs_of_neutral_terms(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(6000):
+        words = [rng.choice([f"w{n}" for n in range(300)]) for _ in range(rng.randint(5, 30))]
+        group, insult = rng.random() < 0.15, rng.random() < 0.15
+        vile = not group and not insult and rng.random() < 0.15
+        words += ["group"] * group + ["insult"] * insult + ["vile"] * vile
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, int(vile or (group and insult))))
+    truth = dict(labels)
+    used = [(words.split(), truth[i]) for i, words, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    for term in ("group", "insult"):
+        with_it, ones = [y for w, y in used if term in w], sum(y for _, y in used)
+        share = len(with_it) / len(used)
+        error = (share * (1 - share) * (1 / ones + 1 / (len(used) - ones))) ** 0.5
+        assert abs(sum(with_it) / ones - (len(with_it) - sum(with_it)) / (len(used) - ones)) < 5 * error
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, marks).collect() if r["held_out"]}
+    pairs = [i for i in got if {"group", "insult"} <= set(rows[i][1].split())]
+    alone = [i for i in got if len({"group", "insult"} & set(rows[i][1].split())) == 1]
+    assert len(pairs) > 20 and sum(got[i] for i in pairs) / len(pairs) > 0.9
+    assert sum(got[i] for i in alone) / len(alone) < 0.05
+
+
 # --- substrings
 
 
