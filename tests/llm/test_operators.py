@@ -1,6 +1,7 @@
 """Operators against plain versions of themselves, and the cases that every one of them has to take."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -309,18 +310,35 @@ def test_repeats_odd(spark, odd):
 # --- html
 
 
+def block_texts(page):
+    return [text for text, _ in html_text.content_blocks(page)]
+
+
 def test_blocks():
     page = """<html><head><title>T</title></head><body><header>H</header><div id="cookie-notice">C</div><article><h1>A &amp; B</h1>
     <p>one<b> two<p>three <i>four</i><br>five<ul><li>x<li>y</ul><form>F</form><div class="comments"><p>no</div>tail</article><aside>S</aside>
     <script>if(a<b){"</p>"}</script><p>out</body>"""
-    assert html_text.content_blocks(page) == ["A & B", "one two", "three four five", "x", "y", "tail"]
-    assert html_text.content_blocks("<p>a &lt; b</p><div class=ad>zz<p>q</div>k") == ["a < b", "k"]
-    assert html_text.content_blocks('<div class="post has-sidebar ad-free"><p>in</p><div class="siteFooter">x</div></div>') == ["in"]
+    assert html_text.content_blocks(page) == [(t, 0) for t in ["A & B", "one two", "three four five", "x", "y", "tail"]] + [("out", 1)]
+    assert block_texts("<p>a &lt; b</p><div class=ad>zz<p>q</div>k") == ["a < b", "k"]
+    assert block_texts('<div class="post has-sidebar ad-free"><p>in</p><div class="siteFooter">x</div></div>') == ["in"]
     for odd_page in ("", "<<<>>", "<!-- x", '<a href="x>y', "<p" * 2000, "</div>" * 50, "<nav><p>all"):
         html_text.content_blocks(odd_page)
 
 
-def test_repeated_places():
+def test_blocks_lose_no_text():
+    raw = "<p>İİİİİİİİİİİİ</p><SCRIPT>x()</Script ><p>abcdefghij klm</p><p>tail</p>"
+    assert block_texts(raw) == ["İ" * 12, "abcdefghij klm", "tail"]
+    for name in ('class="page menu-open"', 'class="layout-header-fixed"', 'id="related-work"', 'class="sidebar"'):
+        assert block_texts(f"<body><div {name}><p>the only text</p><p>and more</p></div></body>") == ["the only text", "and more"]
+    assert block_texts('<form id="all"><h1>t</h1><p>long text of a page</p><p>and more</p></form><nav>n</nav><p>x</p>') == ["t", "long text of a page", "and more", "x"]
+    assert block_texts("<main><p>the report</p></main><article><p>teaser</p></article>") == ["the report", "teaser"]
+    assert block_texts('<p>a <span class="ad"><span>x</span> y</span> b</p>') == ["a b"]
+    assert block_texts('<article><p>Sh.</p></article><div class="ad"><p>very long</p><p>advert of several blocks</p></div>') == ["Sh."]
+    assert block_texts('<p>short</p><div id="comments"><p>many more</p><p>words of readers</p></div>') == ["short"]
+    assert block_texts('<article><header class="entry-header"><h1>title</h1></header><p>x</p></article>') == ["title", "x"]
+
+
+def test_repeated_suffixes():
     rng = np.random.default_rng(8)
     for _ in range(200):
         sizes = rng.integers(0, 12, rng.integers(1, 6))
@@ -329,29 +347,69 @@ def test_repeated_places():
         runs = [i for i in range(len(tokens) - length + 1) if pages[i] == pages[i + length - 1]]
         for i in runs:
             held[tuple(tokens[i : i + length])].add(pages[i])
-        want = np.zeros(len(tokens), dtype=bool)
-        for i in runs:
-            if len(held[tuple(tokens[i : i + length])]) >= least:
-                want[i : i + length] = True
-        assert (html_text.repeated_places(tokens, pages, length, least) == want).all()
+        want = {i: n for i in runs if (n := len(held[tuple(tokens[i : i + length])])) >= least}
+        at, counts = html_text.repeated_suffixes(tokens, pages, length, least)
+        assert dict(zip(at.tolist(), counts.tolist(), strict=True)) == want
+
+
+def plain_main_text(rows, length=8, least=3, shares=(0.5, 0.01)):
+    """Every run of every page, counted by host in a dictionary."""
+    read, held, pages = [], defaultdict(set), Counter()
+    for n, (i, url, page) in enumerate(rows):
+        m = re.match(r"https?://([^/]+)", url or "")
+        tokens = [(w, k, b) for b, (t, k) in enumerate(html_text.content_blocks(page or "")) for w in t.split()]
+        read.append((i, url, m[1] if m else n, tokens))
+        pages[read[-1][2]] += 1
+        for at in range(len(tokens) - length + 1):
+            held[read[-1][2], tuple(w for w, _, _ in tokens[at : at + length])].add(n)
+    out = []
+    for i, url, host, tokens in read:
+        gone = set()
+        for at in range(len(tokens) - length + 1):
+            part = tokens[at : at + length]
+            share = shares[min(k for _, k, _ in part)]
+            if len(held[host, tuple(w for w, _, _ in part)]) >= max(least, math.ceil(share * pages[host])):
+                gone.update(range(at, at + length))
+        main = {n for n, (_, k, _) in enumerate(tokens) if k == 0}
+        if main and main <= gone:
+            gone -= main
+        blocks = defaultdict(list)
+        for n, (w, _, b) in enumerate(tokens):
+            if n not in gone:
+                blocks[b].append(w)
+        text = "\n".join(" ".join(b) for b in blocks.values())
+        out.append((i, url, text, len(text)))
+    return out
 
 
 def test_main_text(spark):
     rng = random.Random(9)
     notice = "please read our terms before you go on to use this site today"
+    rare = "this passage is said again in a few of the articles here but not in many"
     prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
-    texts = {i: [prose(), prose()] for i in range(30)}
-    rows = [(i, f"https://h.com/{i}", f"<body><p>{a}</p><p>{notice}</p><p>{b}</p></body>") for i, (a, b) in texts.items()]
-    rows += [(100, "https://other.com/", "<p>only\n page</p>"), (101, None, None), (102, "no host", "<p>x&nbsp;y"), (102, "no host", "<p>x&nbsp;y")]
+    rows = [(i, f"https://h.com/{i}", f"<body><p>{prose()}</p><p>{notice if i % 5 else prose()}</p><p>{prose()} {rare if i % 4 == 0 else ''}</p></body>") for i in range(60)]
+    rows += [(i, f"https://z.com/{i}", f"<body><p>{rare if i < 70 else notice}</p><article><p>{prose()}</p><p>{prose() if i % 4 else rare}</p></article></body>") for i in range(60, 110)]
+    rows += [(i, "https://wall.com/", f'<div class="cookie-banner"><p>{notice}</p><p>and so on</p></div>') for i in range(110, 114)]
+    rows += [(i, "https://same.com/", f"<p>{prose() if i == 114 else rare}</p>") for i in range(114, 119)]
+    rows += [(200, "https://other.com/", "<p>only\n page</p>"), (201, None, None), (202, "no host", "<p>x&nbsp;y"), (202, "no host", "<p>x&nbsp;y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    want = plain_main_text(rows)
     for shard in (400, 10):
         got = [(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.main_text(df, shard_pages=shard).collect()]
-        want = [(i, f"https://h.com/{i}", f"{a}\n{b}", len(a) + len(b) + 1) for i, (a, b) in texts.items()]
-        want += [(100, "https://other.com/", "only page", 9), (101, None, "", 0), (102, "no host", "x y", 3), (102, "no host", "x y", 3)]
         assert sorted(got, key=str) == sorted(want, key=str)
+    texts = {i: text for i, _, text, _ in want}
+    # The pages of a host decide: the notice of most pages goes, a passage of some stays unless it stands beside the articles.
+    assert not any(notice in texts[i] for i in range(110)) and rare in texts[4] and texts[110] == ""
+    assert [texts[i].count(rare) for i in (61, 64, 115)] == [0, 1, 1] and texts[202] == "x y"
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+def test_large_group_of_equal_pages(spark):
+    rows = spark.range(5000).selectExpr("CAST(NULL AS LONG) AS page_id", "'https://a.com/' AS url", "'<p>one two three four five six seven eight nine</p>' AS html")
+    got = html_text.main_text(rows).groupBy("text").count().collect()
+    assert [tuple(r) for r in got] == [("one two three four five six seven eight nine", 5000)]
+
+
 # --- mixing
 
 
