@@ -50,7 +50,7 @@ class WordIds:
         """The ids of all texts in a row, and where each text's ids begin (one place more than texts)."""
         # Special tokens keep their case.
         special = pc.match_substring(texts, "<|")
-        parted = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-zß-ÿ])([.,])", "\\1 \\2")
+        parted = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-zß-öø-ÿ])([.,])", "\\1 \\2")
         words = pc.ascii_split_whitespace(pc.if_else(special, texts, parted))
         flat = words.flatten().dictionary_encode()
         ids = self.of_words(flat.dictionary.to_pylist())
@@ -157,8 +157,9 @@ def pack(
     """Pieces of documents' token ids, packed into sequences of at most `capacity` tokens.
 
     Each document's ids end with end_id; only documents longer than the capacity are cut. Pieces, a few numbers each, are
-    dealt at random into groups of about group_size, whatever their number, and each group is packed on its own: with tens of thousands of pieces a group
-    wastes about as little as all pieces together would.
+    dealt at random by their number in the written table of pieces into groups of about group_size, whatever their number
+    and however many are alike, and each group is packed on its own: with tens of thousands of pieces a group wastes about
+    as little as all pieces together would.
 
     Null text: the end id alone. Null or repeated ids: each row is packed on its own. Empty table: empty result. Only
     id_col and text_col are read, so other columns do not matter.
@@ -168,5 +169,6 @@ def pack(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = scratch.keep(source.mapInArrow(cut_pieces(tokenizer_file, capacity, end_id), PIECES), "pieces")
     groups = max(1, -(-pieces.count() // group_size))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # The rows of a written table have the same numbers whenever a lost task is run again.
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInPandas(place(capacity), PACKED)

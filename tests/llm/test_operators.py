@@ -521,6 +521,27 @@ def test_packing(spark, odd):
     assert packing.pack(empty(spark), tokenizer_file=tokenizer_file()).count() == 0
 
 
+def test_ids_of_any_text():
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    tokenizer, rng, file = Tokenizer.from_file(tokenizer_file()), random.Random(14), tokenizer_file()
+    near = "aZ6÷×İıßẞſKÅé.,.,'s ’\u0307\u0301\u00a0\u0085\u2028\u3000\u200d\x1c\x0b\t\n^~`<|>ǅﬁΣςжЖ中あ👍🏽\u0378"
+    texts = ["".join(rng.choice(near) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x250), rng.randrange(0x3000), rng.randrange(0xE000, 0x11000)])) for _ in range(rng.randint(0, 9))) + rng.choice([".", ",", "<|endoftext|>", ""]) for _ in range(20_000)]
+    ids, ends = packing.WordIds(file).of_texts(pa.array(texts, pa.large_string()))
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, a, b, w in zip(texts, ends[:-1], ends[1:], want, strict=True) if ids[a:b].tolist() != w]
+    assert wrong == []
+
+
+def test_equal_rows_are_dealt(spark):
+    rows = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a b c' AS text")
+    packed = packing.pack(rows, tokenizer_file=tokenizer_file(), capacity=64, group_size=500)
+    groups = packed.groupBy(F.expr("sequence_id >> 32").alias("g")).count().collect()
+    assert len(groups) == 6 and sum(r["count"] for r in groups) == 3000 and max(r["count"] for r in groups) < 1000
+
+
 def test_sum_of_squares_wastes_little():
     rng = np.random.default_rng(13)
     lengths = np.minimum(4096, np.exp(rng.normal(6, 1, 20_000)).astype(int) + 1)
