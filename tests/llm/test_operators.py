@@ -72,25 +72,32 @@ def test_trie_shares_prefixes():
 # --- neighbours
 
 
+def answers(df):
+    got = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return got
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))
     data = (centres[rng.integers(0, 12, 900)] + 0.3 * rng.normal(size=(900, 16))).astype(np.float32)
     data[100:300] = data[100]
     rows = [(i, v.tolist()) for i, v in enumerate(data)]
-    rows += [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] + [1.0] * 15), (1150, [None] + [1.0] * 15), (1200, [1.0, 2.0]), (1250, []), (None, [1.0] * 16)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
-    got = defaultdict(list)
-    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, block_rows=200, block_queries=7).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    rows += [(1000, None), (1050, [0.0] * 16), (1100, [float("nan")] + [1.0] * 15), (1150, [None] + [1.0] * 15), (1250, []), (None, [1.0] * 16)]
+    rows += [(1200, [1.0, 2.0]), (1300, [2.0, 1.0]), (1301, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash")).withColumn("row", F.lit("clash"))
+    got = answers(neighbours.nearest(df, F.col("vec_id") % 50 == 0, cell_rows=120, block_queries=7))
     x = data.astype(float)
     norms, hits, total = np.sqrt((x * x).sum(axis=1)), 0, 0
-    assert set(got) == set(range(0, 900, 50))
-    for q, found in got.items():
+    assert set(got) == {*range(0, 900, 50), 1200, 1300}
+    assert [i for i, _ in got[1200]] == [1301, 1300] and got[1300][0][1] == pytest.approx(3 / 10**0.5)
+    for q in range(0, 900, 50):
         cos = (x * x[q]).sum(axis=1) / (norms * norms[q])
         order = [i for i in np.lexsort((np.arange(900), -cos)) if i != q][:5]
-        hits, total = hits + len({i for i, _ in found} & set(order)), total + 5
-        assert all(abs(cos[i] - s) < 1e-12 for i, s in found) and len(found) == 5
+        hits, total = hits + len({i for i, _ in got[q]} & set(order)), total + 5
+        assert all(abs(cos[i] - s) < 1e-12 for i, s in got[q]) and len(got[q]) == 5
     assert hits / total >= 0.9
     assert [i for i, _ in got[150]] == [100, 101, 102, 103, 104]
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
@@ -98,6 +105,38 @@ def test_neighbours(spark):
     assert neighbours.nearest(few.where("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(7, [1.0, 2.0, 3.0])] * 6 + [(100 + i, rng.normal(size=3).tolist()) for i in range(10)] + [(50, [1.1, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for cell in (16_384, 2):
+        assert [i for i, _ in answers(neighbours.nearest(df, F.col("vec_id") == 50, cell_rows=cell))[50]] == [7] * 5
+        assert [i for i, _ in answers(neighbours.nearest(df, F.col("vec_id") == 7, cell_rows=cell))[7]] == [7] * 30
+    huge = [(0, [3e200, 4e200]), (1, [4e300, 3e300]), (2, [1e-200, 0.0]), (3, [-1e308, 1e308]), (4, [5e-324, 0.0])]
+    got = answers(neighbours.nearest(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") == 0))
+    assert [i for i, _ in got[0]] == [1, 2, 4, 3] and [s for _, s in got[0]] == pytest.approx([24 / 25, 0.6, 0.6, 0.1 * 2**0.5])
+    same = spark.range(20_000).selectExpr("id AS vec_id", "array(1.0D, 2.0D, 2.0D) AS embedding")
+    got = answers(neighbours.nearest(same, F.col("vec_id") % 5000 == 0, cell_rows=1000))
+    assert {q: [i for i, _ in found] for q, found in got.items()} == {q: [i for i in range(6) if i != q][:5] for q in range(0, 20_000, 5000)}
+
+
+def test_cells_far_away_are_passed_by(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(64, 24))
+    x = np.repeat(centres, 200, axis=0) + 0.02 * rng.normal(size=(64 * 200, 24))
+    points = x / np.sqrt((x * x).sum(axis=1))[:, None] @ neighbours.projection(24, 20240)
+    tree = neighbours.CellTree(points[::5], 40)
+    cells = tree.cell_of(points)
+    assert tree.cells >= 60 and np.bincount(cells, minlength=tree.cells).max() < 500
+    numbers = np.arange(tree.cells)
+    low, high = (np.stack([f(points[cells == c], axis=0) for c in numbers]) for f in (np.min, np.max))
+    import pyarrow as pa
+
+    batch = pa.table({"row": [0], "vec_id": [0], "vector": [[1.0]], "dim": pa.array([24], pa.int32()), "cell": [int(cells[0])], "bound": [0.999], "point": [points[0].tolist()]})
+    opened = list(neighbours.open_cells({24: (numbers, low, high)}, neighbours.chi_square_point(0.95))(iter(batch.to_batches())))
+    assert sum(b.num_rows for b in opened) <= 4
+
+
 # --- near duplicates
 
 
