@@ -63,7 +63,10 @@ def row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def raw_scores(bias: float, weights: np.ndarray, factors: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scores before the logistic; each row's factor sums; the factors of its terms. A row's pairs count as their mean."""
+    """Scores before the logistic; each row's factor sums; the factors of its terms.
+
+    The sum over all pairs of a row's terms is half of what the squared sum of their factors has beyond the sum of squares.
+    """
     own = factors[ids]
     sums = row_sums(own, sizes)
     pairs = 0.5 * (sums**2 - row_sums(own**2, sizes)).sum(axis=1)
@@ -122,13 +125,14 @@ def held_out(id_col: str) -> Column:
 
 
 def hashed_terms(bits: int):
-    """For mapInArrow: (label, text) to (label, numbers of the distinct terms)."""
+    """For mapInArrow: (struct of id and label, text) to (id, label, numbers of the distinct terms)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = TermNumbers(bits)
-        for labels, texts in grouped_texts(batches):
+        for keys, texts in grouped_texts(batches):
             terms = [numbers.of(t) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(terms, pa.list_(pa.int32()))], names=["label", "terms"])
+            ids, labels = [k["id"] for k in keys], [k["label"] for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(labels, pa.int32()), pa.array(terms, pa.list_(pa.int32()))], names=["id", "label", "terms"])
 
     return run
 
@@ -206,15 +210,20 @@ def train(
 
     Only that bounded sample's hashed terms reach the driver. Features are terms of min_docs sampled documents at least whose
     share among toxic ones departs from their share among the others by min_deviation standard deviations, or which are in a
-    pair that departs by min_pair_deviation from what its two terms tell; all pairs are tested. Without any labelled row every
-    score is one half.
+    pair that departs by min_pair_deviation from what its two terms tell; all pairs are tested, so terms that tell nothing
+    alone come in by their pairs. Without any labelled row every score is one half. Of documents that share an id the one
+    with the smallest list of terms counts.
     """
     spark = docs.sparkSession
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     picked = usable.groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label")).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(max_rows)
     # At most max_rows rows of an id and a label.
-    sampled = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select("__label", F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = Scratch(spark, "toxicity").keep(sampled.mapInArrow(hashed_terms(bits), "label int, terms array<int>"), "sample").toArrow()
+    sampled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "__id")), "__id")
+    sampled = sampled.select(F.struct(F.col("__id").cast("string").alias("id"), F.col("__label").alias("label")).alias("key"), "text")
+    terms = sampled.mapInArrow(hashed_terms(bits), "id string, label int, terms array<int>")
+    # A row for each id, of whatever number of documents share it.
+    single = terms.groupBy("id").agg(F.first("label").alias("label"), F.min("terms").alias("terms")).select("label", "terms")
+    rows = Scratch(spark, "toxicity").keep(single, "sample").toArrow()
     lists = rows.column("terms").combine_chunks()
     flat = (lists.flatten() if len(rows) else pa.array([], pa.int32())).to_numpy()
     sizes = np.diff(lists.offsets.to_numpy()) if len(rows) else np.empty(0, dtype=np.int64)

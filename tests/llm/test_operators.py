@@ -263,6 +263,28 @@ def test_machine_learns_pairs():
     assert np.abs(machine.factors[0] @ machine.factors[1]) > 0.5
 
 
+def test_scores_are_sums_over_pairs():
+    rng = np.random.default_rng(15)
+    machine = toxicity.FactorizationMachine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    rows = [np.flatnonzero(rng.random(9) < 0.4).astype(np.int32) for _ in range(200)] + [np.empty(0, dtype=np.int32)]
+    for row, got in zip(rows, machine.score(rows), strict=True):
+        raw = 0.3 + sum(machine.weights[i] for i in row)
+        raw += sum(machine.factors[i] @ machine.factors[j] for n, i in enumerate(row) for j in row[:n])
+        assert got == pytest.approx(1 / (1 + math.exp(-raw)))
+
+
+def test_terms_that_only_their_pair_tells(spark):
+    rng = random.Random(16)
+    rows, labels = [], []
+    for i in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([rng.choice([f"w{n}" for n in range(200)]) for _ in range(8)] + ["left"] * a + ["right"] * b), "s"))
+        labels.append((i, int(a != b)))
+    docs, marks = spark.createDataFrame([*rows, *rows[:50]], DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, marks).collect() if r["held_out"]}
+    assert sum((got[i] > 0.5) == bool(labels[i][1]) for i in got) / len(got) > 0.97
+
+
 def test_pairs_of_neutral_terms(spark):
     rng = random.Random(12)
     rows, labels = [], []
