@@ -16,11 +16,12 @@ from tessera.llm.suffixes import deep_shallow_sort
 from tessera.llm.words import grouped_bytes
 
 GRAM = 32
-PLACE_BITS = 28
+PLACE_BITS = 31
 BYTE_CODES = np.random.default_rng(20240501).integers(0, 2**63, 256, dtype=np.uint64)
 STEP_CODES = np.random.default_rng(20240502).integers(0, 2**62, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A stretch's fingerprint, content hash, document, and place: start << 18 | windows << 10 | anchor's offset << 2 | state.
-STRETCHES = "fp long, content long, doc_id long, place long"
+#: A stretch's fingerprint, document, and place: start << 18 | windows << 10 | anchor's offset << 2 | state. Of COPY rows, fp
+#: is a range of bytes to remove, low << 32 | high.
+STRETCHES = "fp long, doc_id long, place long"
 LONE, FIRST, OTHER, COPY = range(4)
 START, WINDOWS, STATE = "place >> 18", "(place >> 10) & 255", "place & 3"
 
@@ -44,13 +45,13 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Maximal runs of windows with one anchor: text number, start, windows, anchor's offset, fingerprint, content hash.
+    """Maximal runs of windows with one anchor: text number, start in all texts, windows, anchor's offset, fingerprint.
 
     A window is `length` bytes; its anchor is the gram of least hash in it, the leftmost of equals. So a window's anchor
     depends on its bytes alone: equal windows have equal fingerprints, at equal offsets.
     """
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    none = (np.empty(0, dtype=np.int64),) * 4 + (np.empty(0, dtype=np.uint64),) * 2
+    none = (np.empty(0, dtype=np.int64),) * 4 + (np.empty(0, dtype=np.uint64),)
     if len(data) < length:
         return none
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
@@ -69,37 +70,73 @@ def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     stop = np.flatnonzero(valid & np.concatenate([change[1:] | ~valid[1:], [True]]))
     if not len(start):
         return none
-    windows, spot = stop - start + 1, anchor[start]
-    content = mixed((windows.astype(np.uint64) << np.uint64(8)) + (spot - start).astype(np.uint64))
-    last = stop + length - GRAM
-    for i in range(-(-(2 * length) // GRAM) + 1):
-        content = mixed(content * STEP_CODES[-1] + hashes[np.minimum(start + i * GRAM, last)])
-    text = np.searchsorted(begins, start, side="right") - 1
     # Empty texts share their place with the text behind them, which is the one that holds the start.
-    return text, start - begins[text], windows, spot - start, hashes[spot], content
+    text = np.searchsorted(begins, start, side="right") - 1
+    return text, start, stop - start + 1, anchor[start] - start, hashes[anchor[start]]
+
+
+def equal_stretches(data: np.ndarray, begin: np.ndarray, length: int, windows: np.ndarray, offset: np.ndarray, fp: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches by fingerprint and content, those of one content by document and start; and which are copies of an earlier one.
+
+    Deep-shallow sorting of the bytes decides what is equal. A repeated row of the table is no earlier occurrence.
+    """
+    _, group = np.unique(np.stack([fp.view(np.int64), windows << 8 | offset]), axis=1, return_inverse=True)
+    order, cls = deep_shallow_sort(data, begin, group, windows + length - 1)
+    by = np.lexsort((start[order], doc[order], cls))
+    order, cls = order[by], cls[by]
+    first = np.concatenate([[True], cls[1:] != cls[:-1]])[: len(cls)]
+    head = order[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
+    return order, (doc[order] != doc[head]) | (start[order] != start[head])
+
+
+def joined(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of documents, joined where they touch."""
+    by = np.lexsort((low, doc))
+    doc, low, high = doc[by], low[by], high[by]
+    # Documents one behind the other, so that a running maximum never reaches from one into the next.
+    shift = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]])[: len(doc)]) << 32
+    reach = np.maximum.accumulate(shift + high)
+    new = np.concatenate([[True], (shift + low)[1:] > reach[:-1]])[: len(doc)]
+    last = np.concatenate([new[1:], [True]])[: len(doc)]
+    return doc[new], low[new], (reach - shift)[last]
 
 
 def cut_stretches(length: int):
-    """For mapInArrow: (doc_id, text) to STRETCHES, with the copies among those at hand already told apart."""
+    """For mapInArrow: (doc_id, text) to STRETCHES; copies among the texts at hand are ranges to remove already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in grouped_bytes(batches, 1_000_000):
             by_key = sorted(range(len(keys)), key=keys.__getitem__)
-            text, start, windows, offset, fp, content = stretches([texts[i] for i in by_key], length)
+            texts = [texts[i] for i in by_key]
+            text, begin, windows, offset, fp = stretches(texts, length)
             if not len(text):
                 continue
+            sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+            start = begin - (np.cumsum(sizes) - sizes)[text]
             doc = np.array([keys[i] for i in by_key], dtype=np.int64)[text]
-            order = np.lexsort((content, fp))
-            f, c, d, s = fp[order], content[order], doc[order], start[order]
-            new_fp = np.concatenate([[True], f[1:] != f[:-1]])
-            new = new_fp | np.concatenate([[True], c[1:] != c[:-1]])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            # A repeated row of the table is no earlier occurrence.
-            copy = (d != d[head]) | (s != s[head])
-            more = np.concatenate([~new_fp[1:], [False]])
-            state = np.where(copy, COPY, np.where(new_fp, np.where(more, FIRST, LONE), OTHER))
-            place = (s << 18) | (windows[order] << 10) | (offset[order] << 2) | state
-            yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(place)], names=["fp", "content", "doc_id", "place"])
+            # Only what shares its fingerprint can have a copy here.
+            by_fp = np.argsort(fp, kind="stable")
+            same = fp[by_fp][1:] == fp[by_fp][:-1]
+            shared = by_fp[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            state = np.full(len(fp), LONE)
+            if len(shared):
+                data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+                order, copy = equal_stretches(data, begin[shared], length, windows[shared], offset[shared], fp[shared], doc[shared], start[shared])
+                state[shared[order[copy]]] = COPY
+                kept = shared[order[~copy]]
+                at, size = np.unique(fp[kept], return_counts=True)
+                several = size[np.searchsorted(at, fp[kept])] > 1
+                state[kept[several]] = OTHER
+                first = np.unique(fp[kept[several]], return_index=True)[1]
+                state[kept[several][first]] = FIRST
+            out, copies = state != COPY, state == COPY
+            of_doc, low, high = joined(doc[copies], start[copies], (start + windows - 1 + length)[copies])
+            columns = [
+                np.concatenate([fp[out].view(np.int64), low << 32 | high]),
+                np.concatenate([doc[out], of_doc]),
+                np.concatenate([(start << 18 | windows << 10 | offset << 2 | state)[out], np.full(len(low), COPY)]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["fp", "doc_id", "place"])
 
     return run
 
@@ -130,45 +167,50 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compare_windows(length: int, block: int = 40_000):
-    """For mapInArrow over (fp, content, doc_id, place, hot, body) in the order of fp: byte ranges of windows that occur
-    earlier in another stretch of the same fingerprint, as kind 0 rows (doc_id, low, high).
+    """For mapInArrow over (fp, doc_id, place, hot, body) in the order of fp: byte ranges that occur earlier in a stretch of
+    the same fingerprint, as kind 0 rows (doc_id, low, high).
 
-    Of hot fingerprints only a part may be at hand, so the earliest of equal windows follows as kind 1 with its hash.
+    Whole stretches are sorted first; of equal ones only the earliest goes on. Where a fingerprint has several contents,
+    their windows are sorted. Of hot fingerprints only a part may be at hand, so the earliest of equal windows follows as
+    kind 1 with its hash.
     """
 
-    def sort_block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def sort_block(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(rows)
         fp, doc, place, hot = (t.column(c).to_numpy() for c in ("fp", "doc_id", "place", "hot"))
         bodies = t.column("body").to_pylist()
-        sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
         data = np.frombuffer(b"".join(bodies), dtype=np.uint8)
+        sizes = np.fromiter(map(len, bodies), dtype=np.int64, count=len(bodies))
         begins = np.cumsum(sizes) - sizes
         windows, offset, start = (place >> 10) & 255, (place >> 2) & 255, place >> 18
-        row = np.repeat(np.arange(len(fp)), windows)
-        shift = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        _, of_fp = np.unique(fp, return_inverse=True)
-        group = of_fp[row] * 256 + (offset[row] - shift)
-        order, cls = deep_shallow_sort(data, begins[row] + shift, group, length)
+        order, copy = equal_stretches(data, begins, length, windows, offset, fp, doc, start)
+        copies = order[copy]
+        yield found(0, *joined(doc[copies], start[copies], (start + windows - 1 + length)[copies]))
+        own = order[~copy]
+        _, of_fp, size = np.unique(fp[own], return_inverse=True, return_counts=True)
+        own = own[(size[of_fp] > 1) | hot[own]]
+        if not len(own):
+            return
+        row = np.repeat(own, windows[own])
+        shift = np.arange(len(row)) - np.repeat(np.cumsum(windows[own]) - windows[own], windows[own])
+        _, of_fp = np.unique(fp[row], return_inverse=True)
+        order, cls = deep_shallow_sort(data, begins[row] + shift, of_fp * 256 + (offset[row] - shift), length)
         r, at = row[order], (start[row] + shift)[order]
         by = np.lexsort((at, doc[r], cls))
         r, at, cls = r[by], at[by], cls[by]
         first = np.concatenate([[True], cls[1:] != cls[:-1]])
         head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         later = (doc[r] != doc[r[head]]) | (at != at[head])
-        # Runs of neighbouring windows become one range.
-        r0, at0 = r[later], at[later]
-        by = np.lexsort((at0, r0))
-        r0, at0 = r0[by], at0[by]
-        begin = np.concatenate([[True], (r0[1:] != r0[:-1]) | (at0[1:] != at0[:-1] + 1)])[: len(r0)]
-        end = np.concatenate([begin[1:], [True]])[: len(r0)]
-        out = [(0, int(doc[i]), int(a), int(b) + length, None) for i, a, b in zip(r0[begin], at0[begin], at0[end], strict=True)]
+        yield found(0, *joined(doc[r[later]], at[later], at[later] + length))
         keep = np.flatnonzero(~later & hot[r])
-        for i, a in zip(r[keep].tolist(), at[keep].tolist(), strict=True):
-            body = bodies[i][a - start[i] : a - start[i] + length]
-            out.append((1, int(doc[i]), a, a + length, hashlib.blake2b(body, digest_size=16).digest()))
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        columns = zip(*out, strict=True) if out else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(columns, types, strict=True)], names=["kind", "doc_id", "low", "high", "window"])
+        places = (begins[r] + at - start[r])[keep].tolist()
+        digests = [hashlib.blake2b(data[a : a + length].tobytes(), digest_size=16).digest() for a in places]
+        yield found(1, doc[r[keep]], at[keep], at[keep] + length, digests)
+
+    def found(kind: int, doc: np.ndarray, low: np.ndarray, high: np.ndarray, window: list[bytes] | None = None) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(doc), kind, dtype=np.int32)), pa.array(doc), pa.array(low), pa.array(high)]
+        columns.append(pa.array(window, pa.binary()) if window is not None else pa.nulls(len(doc), pa.binary()))
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "doc_id", "low", "high", "window"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, n = [], 0
@@ -180,7 +222,7 @@ def compare_windows(length: int, block: int = 40_000):
                     fp = rows[-1].column("fp")[-1].as_py()
                     same = int((batch.column("fp").to_numpy() == fp).cumprod().sum())
                     if not same:
-                        yield sort_block(rows)
+                        yield from sort_block(rows)
                         rows, n = [], 0
                         continue
                     part = batch.slice(0, same)
@@ -188,7 +230,7 @@ def compare_windows(length: int, block: int = 40_000):
                 n += part.num_rows
                 batch = batch.slice(part.num_rows)
         if rows:
-            yield sort_block(rows)
+            yield from sort_block(rows)
 
     return run
 
@@ -204,38 +246,31 @@ def joined_ranges(packed: np.ndarray) -> list[tuple[int, int]]:
 def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, hot_limit: int = 30_000) -> DataFrame:
     """(doc_id, ranges): what to remove of each document (doc_id, body) that repeats anything, as low << 32 | high.
 
-    Windows are cut into stretches by their anchors and only stretches of repeated fingerprints go on. Equal stretches
-    need no more than the first of them. Fingerprints with several contents have the windows of those sorted, each
-    fingerprint in one task, or, beyond hot_limit contents, in several that exchange hashes of their first windows.
+    Windows are cut into stretches by their anchors; only stretches of repeated fingerprints go on, with their bytes, and
+    are sorted, and of those with several contents the windows too: each fingerprint in one task, or, beyond hot_limit
+    stretches, in several that exchange hashes of their first windows.
     """
     cut = docs.select("doc_id", F.col("body").cast("string").alias("text")).where("doc_id IS NOT NULL").mapInArrow(cut_stretches(length), STRETCHES)
-    # What is known to be repeated, or a copy, need not meet the others: it is dealt evenly, so no fingerprint grows hot.
+    # What is known to be repeated need not meet the others: it is dealt evenly, so no fingerprint grows hot.
     route = F.when(F.expr(STATE) < OTHER, F.col("fp")).otherwise(F.xxhash64("doc_id", "place"))
     found = scratch.keep(cut.repartition(route).sortWithinPartitions("fp").mapInArrow(repeated, STRETCHES), "stretches")
-    spot = F.struct("doc_id", F.expr(START).alias("start"), "place")
-    firsts = found.where(F.expr(STATE) != COPY).groupBy("fp", "content").agg(F.min(spot).alias("first"))
-    firsts = scratch.keep(firsts.select("fp", "content", "first.*"), "firsts")
-    earliest = firsts.select("fp", "content", F.col("doc_id").alias("d"), F.col("start").alias("s"))
-    later = found.join(earliest, ["fp", "content"]).where(f"doc_id <> d OR {START} <> s")
-    copies = later.select("doc_id", F.expr(START).alias("low"), F.expr(f"({START}) + ({WINDOWS}) - 1 + {length}").alias("high"))
-    copies = scratch.keep(copies, "copies")
-    scratch.drop("stretches")
-
-    several = firsts.groupBy("fp").agg(F.count("*").alias("contents")).where("contents > 1")
-    parts = F.ceil(F.col("contents") / hot_limit)
-    wanted = firsts.join(several, "fp").withColumn("part", F.pmod(F.xxhash64("content"), parts)).withColumn("hot", parts > 1)
-    body = F.expr(f"substring(body, cast(start + 1 AS int), cast(({WINDOWS}) - 1 + {length} AS int))")
-    bodies = wanted.join(docs, "doc_id").select("fp", "content", "doc_id", "place", "hot", "part", body.alias("body"))
+    copies = found.where(F.expr(STATE) == COPY).select("doc_id", F.col("fp").alias("range"))
+    waiting = found.where(F.expr(STATE) != COPY)
+
+    hot = waiting.groupBy("fp").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_limit)
+    parts = F.coalesce(F.ceil(F.col("rows") / hot_limit), F.lit(1))
+    wanted = waiting.join(hot, "fp", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "place"), parts)).withColumn("hot", parts > 1)
+    body = F.expr(f"substring(body, cast(({START}) + 1 AS int), cast(({WINDOWS}) - 1 + {length} AS int))")
+    bodies = wanted.join(docs, "doc_id").select("fp", "doc_id", "place", "hot", "part", body.alias("body"))
     split = bodies.repartition("fp", "part").sortWithinPartitions("fp", "part").drop("part")
     shape = "kind int, doc_id long, low long, high long, window binary"
     compared = scratch.keep(split.mapInArrow(compare_windows(length), shape), "compared")
-    scratch.drop("firsts")
-    waiting = compared.where("kind = 1")
-    opening = waiting.groupBy("window").agg(F.min(F.struct("doc_id", "low")).alias("first"))
-    beaten = waiting.join(opening, "window").where("doc_id <> first.doc_id OR low <> first.low")
-    ranges = copies.union(compared.where("kind = 0").select("doc_id", "low", "high")).union(beaten.select("doc_id", "low", "high"))
-    packed = F.shiftleft(F.col("low"), 32).bitwiseOR(F.col("high"))
-    return ranges.groupBy("doc_id").agg(F.collect_list(packed).alias("ranges"))
+    opened = compared.where("kind = 1")
+    opening = opened.groupBy("window").agg(F.min(F.struct("doc_id", "low")).alias("first"))
+    beaten = opened.join(opening, "window").where("doc_id <> first.doc_id OR low <> first.low")
+    packed = F.shiftleft(F.col("low"), 32).bitwiseOR(F.col("high")).alias("range")
+    ranges = copies.union(compared.where("kind = 0").select("doc_id", packed)).union(beaten.select("doc_id", packed))
+    return ranges.groupBy("doc_id").agg(F.collect_list("range").alias("ranges"))
 
 
 def digest_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,14 +292,14 @@ def digest_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), x) for c, x in zip(columns, types, strict=True)], names=names)
 
 
-def rewrite(text_col: str):
-    """For mapInArrow: rows with `__ranges`, without it and with the text that remains; bytes of cut characters go too."""
+def rewrite(text_col: str, ranges_col: str):
+    """For mapInArrow: rows with ranges, without them and with the text that remains; bytes of cut characters go too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [n for n in batch.schema.names if n != "__ranges"]
+            names = [n for n in batch.schema.names if n != ranges_col]
             texts = []
-            for text, ranges in zip(batch.column(text_col), batch.column("__ranges"), strict=True):
+            for text, ranges in zip(batch.column(text_col), batch.column(ranges_col), strict=True):
                 if ranges.is_valid:
                     body, at, rest = text.as_py().encode(), 0, []
                     for low, high in joined_ranges(ranges.values.to_numpy()):
@@ -290,7 +325,7 @@ def repeats_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Null text: an empty one. Null doc_id: the row takes no part and loses nothing. Rows that share a doc_id must be equal;
     they are no copies of each other. Texts shorter than `length` lose nothing. Empty table: empty result. Only id_col and
-    text_col are read, so other columns do not matter.
+    text_col are read, so other columns do not matter. Memory is that of one text, of up to 2 GB, and a few megabytes more.
     """
     bodies = as_bodies(docs, id_col, text_col)
     ranges = repeated_ranges(bodies, Scratch(docs.sparkSession, "substrings"), length)
@@ -301,6 +336,8 @@ def repeats_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """docs with the text that `repeats_report` leaves; characters that a removed range cuts into go whole."""
     ranges = repeated_ranges(as_bodies(docs, id_col, text_col), Scratch(docs.sparkSession, "substrings"), length)
-    of_doc = ranges.select(F.col("doc_id").alias("__doc"), F.col("ranges").alias("__ranges"))
-    joined = docs.join(of_doc, docs[id_col] == of_doc["__doc"], "left").drop("__doc")
-    return joined.mapInArrow(rewrite(text_col), docs.schema)
+    # Names that no column of docs has.
+    longest = "_" * (1 + max(map(len, docs.columns)))
+    of_doc = ranges.select(F.col("doc_id").alias(longest + "doc"), F.col("ranges").alias(longest + "ranges"))
+    joined_docs = docs.join(of_doc, docs[id_col] == of_doc[longest + "doc"], "left").drop(longest + "doc")
+    return joined_docs.mapInArrow(rewrite(text_col, longest + "ranges"), docs.schema)

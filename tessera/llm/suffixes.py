@@ -87,19 +87,25 @@ class BlindTrie:
         return out
 
 
-def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int, shallow: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the `length`-byte prefixes of suffixes within groups, and for each place of the order its class of equals."""
-    shallow = min(shallow, length) // WORD * WORD
+def deep_shallow_sort(
+    data: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int | np.ndarray, shallow: int = 32
+) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the `length`-byte prefixes of suffixes within groups, and for each place of the order its class of equals.
+
+    Lengths may be an array; then those of one group are equal.
+    """
+    lengths = np.broadcast_to(length, starts.shape)
+    shallow = min(shallow, int(lengths.min(initial=shallow))) // WORD * WORD
     padded = np.concatenate([data, np.zeros(WORD, dtype=np.uint8)])
     order, segment = multikey_quicksort(big_words(padded), starts, groups, shallow // WORD)
     size = np.bincount(segment)
     begin = np.cumsum(size) - size
     new_class = np.ones(len(order), dtype=bool)
-    text, bits = data.tobytes(), 8 * (length - shallow)
-    for b, n in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-        trie, members = BlindTrie(bits), order[b : b + n].tolist()
+    text = data.tobytes()
+    for b, n, deep in zip(begin[size > 1].tolist(), size[size > 1].tolist(), lengths[order[begin[size > 1]]].tolist(), strict=True):
+        trie, members = BlindTrie(8 * (deep - shallow)), order[b : b + n].tolist()
         for member, s in zip(members, starts[members].tolist(), strict=True):
-            trie.insert(int.from_bytes(text[s + shallow : s + length]), member)
+            trie.insert(int.from_bytes(text[s + shallow : s + deep]), member)
         at = b
         for leaf in trie.leaves():
             order[at : at + len(leaf)] = leaf

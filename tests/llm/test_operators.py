@@ -324,6 +324,17 @@ def test_deep_shallow_sort():
         assert keys == sorted(keys) and all((keys[i] == keys[i - 1]) == (cls[i] == cls[i - 1]) for i in range(1, len(keys)))
 
 
+def test_sort_of_several_lengths():
+    rng = random.Random(8)
+    text = bytes(rng.choice(b"ab") for _ in range(40)) * 60
+    data, starts = np.frombuffer(text, dtype=np.uint8), np.array([rng.randrange(len(text) - 168) for _ in range(900)])
+    groups = np.array([rng.randrange(5) for _ in starts])
+    lengths = np.array([100, 101, 120, 133, 168])[groups]
+    order, cls = suffixes.deep_shallow_sort(data, starts, groups, lengths)
+    keys = [(groups[i], text[starts[i] : starts[i] + lengths[i]]) for i in order]
+    assert keys == sorted(keys) and all((keys[i] == keys[i - 1]) == (cls[i] == cls[i - 1]) for i in range(1, len(keys)))
+
+
 def cut_plain(rows, length):
     seen, out = {}, {}
     for i, text in sorted((i, t or "") for i, t, *_ in rows):
@@ -366,6 +377,8 @@ def test_repeats_odd(spark, odd):
     rows = substrings.repeats_report(odd).collect()
     assert len(rows) == len(odd_documents()) and {r["n_bytes"] for r in rows if r["doc_id"] == 5} == {16000}
     assert substrings.repeats_report(empty(spark)).count() == 0
+    clash = spark.createDataFrame([(1, "r" * 150 + "s" * 150, 3), (2, "r" * 150, 4)], "doc_id long, text string, __ranges int").withColumn("ranges", F.lit("mine"))
+    assert {(r["doc_id"], r["text"], r["__ranges"], r["ranges"]) for r in substrings.remove_repeats(clash).collect()} == {(1, "rs", 3, "mine"), (2, "", 4, "mine")}
 
 
 # --- html
