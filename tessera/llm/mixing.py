@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tessera.llm.quality import bind, split_words
 from tessera.plans.scratch import Scratch
 
-SOURCE = "__source"
 #: More sources than that are not a mix of sources; the list of sources, not of documents, passes through the driver.
 MOST_SOURCES = 200_000
 
@@ -65,26 +64,50 @@ def permuted(index: Column, size: Column, key: Column, rounds: int = 16) -> Colu
 
 
 def measured(docs: DataFrame, scratch: Scratch, text_col: str, source_col: str, id_col: str, keep_text: bool) -> DataFrame:
-    """Rows with a number of their own, their source and their size in words."""
+    """Rows with a number of their own, their id, source and size in words, and all columns of docs in `doc` if wanted."""
     size = F.size(split_words(F.coalesce(F.col(text_col), F.lit("")))).cast("bigint")
-    kept = docs.columns if keep_text else [id_col]
-    rows = docs.select(*kept, F.col(source_col).alias(SOURCE), size.alias("__size"), F.xxhash64(text_col).alias("__tie"))
-    return scratch.keep(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    whole = [F.struct(*map(quoted, docs.columns)).alias("doc")] if keep_text else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"), *whole)
+    return scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def places(rows: DataFrame, sources: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFrame:
+    """(row, id, size, src, source_size, target, blocks, begin): where each row's words begin in its source.
+
+    Sizes are summed within buckets of about bucket_rows rows, by hash of id and text, and then over buckets. Of more equal
+    rows than a bucket has, each bucket_rows of the table make a bucket.
+    """
+    buckets = max(1, rows.count() // bucket_rows)
+    slim = rows.select("id", "source", "size", "tie", "row").join(sources.drop("slots"), F.col("source").eqNullSafe(F.col("of"))).drop("source", "of")
+    many = slim.groupBy("src", F.xxhash64("id", "tie").alias("same")).agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).drop("n").withColumn("hot", F.lit(True))
+    slim = slim.withColumn("same", F.xxhash64("id", "tie")).join(many, ["src", "same"], "left")
+    part = F.when(F.col("hot"), F.expr(f"row div {bucket_rows}")).otherwise(F.lit(-1).cast("long"))
+    slim = slim.withColumn("part", part).withColumn("bucket", F.pmod(F.col("same"), F.lit(buckets))).drop("hot", "same")
+    before = Window.partitionBy("src").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = slim.groupBy("src", "bucket", "part").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = Window.partitionBy("src", "bucket", "part").orderBy("id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = slim.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases.drop("n"), ["src", "bucket", "part"])
+    placed = placed.withColumn("begin", F.col("base") + F.col("local")).drop("base", "local", "bucket", "part", "tie")
+    return scratch.keep(placed, "placed")
 
 
 def plan_sources(rows: DataFrame, weights: tuple[float, ...], block: int, most_repeats: int) -> list[dict]:
     """For each source its words, target, blocks, full rounds over them and blocks of one more round."""
-    totals = rows.groupBy(SOURCE).agg(F.sum("__size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    totals = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals.sort(key=lambda r: (r[SOURCE] is None, r[SOURCE] or ""))
+    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in totals]
     plan = []
     for i, (row, size, target) in enumerate(zip(totals, sizes, targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most_repeats), strict=True)):
         full = min(int(target // size), most_repeats) if size else 0
         blocks = -(-size // block)
         part = min(round((target - full * size) / block), blocks) if full < most_repeats else 0
-        plan.append({SOURCE: row[SOURCE], "src": i, "source_size": size, "target": target, "blocks": blocks, "slots": full * blocks + part})
+        plan.append({"of": row["source"], "src": i, "source_size": size, "target": target, "blocks": blocks, "slots": full * blocks + part})
     return plan
 
 
@@ -98,40 +121,32 @@ def mix(
     block: int = 32,
     most_repeats: int = 3,
     seed: int = 1234567,
+    bucket_rows: int = 5_000,
     keep_text: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, takes): the rows of docs with `src`, `source_size`, `target`, `__size`, `__begin`; and what the mix takes of them.
-    With keep_text the rows hold all columns of docs, and `__src`, `__size` and `__begin` besides.
+    """(rows, takes): the rows of docs with id, src, source_size, target, size and begin; and what the mix takes of them.
+    With keep_text the rows hold all columns of docs in `doc`, and src, size and begin besides.
 
     The words of a source, in the order of its documents, are cut into blocks. Output shards draw how many blocks they hold
     of each source, multinomially by what the sources' targets still leave; the blocks of a source are numbered through
     all shards, and each number stands for a place in a pseudorandom permutation of the source's blocks, a new permutation
     for each round over them. Numbers and documents meet by a join on source and block.
 
-    takes: src, __begin (together a row's key), round, index, shard, taken. Sources, by code point with null last, weigh as
+    takes: src, begin (together a row's key), round, index, shard, taken. Sources, by code point with null last, weigh as
     `weights` repeat; target and limit as in `targets`. A source's taken words differ from its target by a block at most.
 
-    Offsets of documents are summed within buckets of about 20,000 rows and then over buckets, so a source that holds most
-    of all rows is no single task. Null text: size 0. Null source: a source of its own. Repeated rows: each is a document.
-    Empty table: empty results. Columns named as the temporary ones (two underscores first) must not come in.
+    Offsets of documents are summed within buckets of rows and then over buckets, so a source that holds most of all rows is
+    no single task. Null text: size 0. Null source: a source of its own. Null ids are ids like any other. Repeated rows: each
+    is a document. Empty table: empty results. Columns of docs may have any name.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     rows = measured(docs, scratch, text_col, source_col, id_col, keep_text)
     plan = plan_sources(rows, weights, block, most_repeats)
-    shape = "__of string, src int, source_size long, target double, blocks long, slots long"
+    shape = "of string, src int, source_size long, target double, blocks long, slots long"
     # At most MOST_SOURCES rows.
     sources = F.broadcast(spark.createDataFrame([tuple(p.values()) for p in plan], shape))
-
-    buckets = max(1, rows.count() // 20_000)
-    slim = rows.select(id_col, SOURCE, "__size", "__tie", "__row").join(sources.drop("slots"), F.col(SOURCE).eqNullSafe(F.col("__of"))).drop(SOURCE, "__of")
-    slim = slim.withColumn("__bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)))
-    before = Window.partitionBy("src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = slim.groupBy("src", "__bucket").agg(F.sum("__size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    inside = Window.partitionBy("src", "__bucket").orderBy(id_col, "__tie", "__row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = slim.withColumn("local", F.coalesce(F.sum("__size").over(inside), F.lit(0))).join(bases.drop("n"), ["src", "__bucket"])
-    placed = placed.withColumn("__begin", F.col("base") + F.col("local")).drop("base", "local", "__bucket", "__tie")
-    placed = scratch.keep(placed, "placed")
+    placed = places(rows, sources, scratch, bucket_rows)
 
     quotas = np.array([p["slots"] for p in plan], dtype=np.int64)
     most_shards = max(16, min(10_000, 1_000_000 // max(1, len(plan))))
@@ -141,55 +156,52 @@ def mix(
     at, src = np.nonzero(counts)
     draws = spark.createDataFrame(
         list(zip(at.tolist(), src.tolist(), firsts[at, src].tolist(), counts[at, src].tolist(), strict=True)), "shard int, src int, first long, n long"
-    ).repartition(spark.sparkContext.defaultParallelism)
+    ).repartition(max(spark.sparkContext.defaultParallelism, int(quotas.sum()) // 100_000))
     runs = draws.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(1024).cast("long"))).alias("low"), (F.col("first") + F.col("n")).alias("end"))
     slots = runs.select("shard", "src", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + 1023, F.col("end") - 1))).alias("slot"))
     slots = slots.join(sources.select("src", "blocks"), "src").withColumn("round", F.expr("slot div blocks"))
     spot = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "src", "round"))
     slots = slots.select("shard", "src", "round", spot.alias("index"))
 
-    last = F.expr(f"(__begin + __size - 1) div {block}")
-    pieces = placed.where("__size > 0").select("src", "__begin", "__size", F.explode(F.sequence(F.expr(f"__begin div {block}"), last)).alias("index"))
-    overlap = F.least(F.col("__begin") + F.col("__size"), (F.col("index") + 1) * block) - F.greatest("__begin", F.col("index") * block)
-    takes = pieces.join(slots, ["src", "index"]).select("src", "__begin", "round", "index", "shard", overlap.alias("taken"))
+    last = F.expr(f"(begin + size - 1) div {block}")
+    pieces = placed.where("size > 0").select("src", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), last)).alias("index"))
+    overlap = F.least(F.col("begin") + F.col("size"), (F.col("index") + 1) * block) - F.greatest("begin", F.col("index") * block)
+    takes = pieces.join(slots, ["src", "index"]).select("src", "begin", "round", "index", "shard", overlap.alias("taken"))
     if keep_text:
-        joined = rows.drop("__size", "__tie", SOURCE).join(placed.select("__row", F.col("src").alias("__src"), "__size", "__begin"), "__row")
-    else:
-        joined = placed
-    return joined, takes
+        placed = rows.select("row", "doc").join(placed.select("row", "src", "size", "begin"), "row")
+    return placed, takes
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """For each row of docs: doc_id, size, source_size, target and taken (words that the mix takes of it, repeats counted)."""
     rows, takes = mix(docs, **options)
-    taken = takes.groupBy("src", "__begin").agg(F.sum("taken").alias("taken"))
+    taken = takes.groupBy("src", "begin").agg(F.sum("taken").alias("taken"))
     # Documents without words share a place with the next one and have none of its words.
-    found = rows.join(taken, ["src", "__begin"], "left")
-    words = F.when(F.col("__size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint")
-    return found.select(options.get("id_col", "doc_id"), F.col("__size").alias("size"), "source_size", "target", words.alias("taken"))
+    found = rows.join(taken, ["src", "begin"], "left")
+    words = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+    return found.select(F.col("id").alias(options.get("id_col", "doc_id")), "size", "source_size", "target", words.alias("taken"))
 
 
 def mix_documents(docs: DataFrame, *, text_col: str = "text", block: int = 32, **options) -> DataFrame:
     """The mix as documents: for each round that takes words of a document, a row of docs with those words as its text.
 
     A round that takes all of a document gives its text unchanged; otherwise the words of its taken blocks, in order, are
-    joined by spaces. Documents that the mix takes nothing of, or that have no words, are not in the result.
+    joined by spaces; a column n_chars is counted anew. Documents that the mix takes nothing of, or that have no words, are
+    not in the result.
     """
     rows, takes = mix(docs, text_col=text_col, block=block, keep_text=True, **options)
-    of_round = takes.groupBy(F.col("src").alias("__src"), "__begin", F.col("round").alias("__round")).agg(F.sum("taken").alias("__taken"), F.sort_array(F.collect_list("index")).alias("__index"))
-    joined = rows.where("__size > 0").join(of_round, ["__src", "__begin"])
+    of_round = takes.groupBy("src", "begin", "round").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list("index")).alias("indexes"))
+    joined = rows.where("size > 0").join(of_round, ["src", "begin"])
+    old = F.col("doc").getField(text_col)
 
     def cut(words: Column) -> Column:
         def one(index: Column) -> Column:
-            low = F.greatest("__begin", index * block)
-            high = F.least(F.col("__begin") + F.col("__size"), (index + 1) * block)
-            return F.slice(words, (low - F.col("__begin") + 1).cast("int"), (high - low).cast("int"))
-
-        return F.array_join(F.flatten(F.transform("__index", one)), " ")
-
-    partial = bind(split_words(F.col(text_col)), cut)
-    text = F.when(F.col("__taken") == F.col("__size"), F.col(text_col)).otherwise(partial)
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    if "n_chars" in docs.columns:
-        columns = [F.length(text).cast("bigint").alias(c) if c == "n_chars" else x for c, x in zip(docs.columns, columns, strict=True)]
-    return joined.select(*columns)
+            low = F.greatest("begin", index * block)
+            high = F.least(F.col("begin") + F.col("size"), (index + 1) * block)
+            return F.slice(words, (low - F.col("begin") + 1).cast("int"), (high - low).cast("int"))
+
+        return F.array_join(F.flatten(F.transform("indexes", one)), " ")
+
+    text = F.when(F.col("taken") == F.col("size"), old).otherwise(bind(split_words(old), cut))
+    fresh = {"n_chars": F.length(text).cast("bigint"), text_col: text}
+    return joined.select(*(fresh.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))

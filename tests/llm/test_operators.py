@@ -523,11 +523,42 @@ def test_mix(spark, odd):
     assert all(out[i] == r["taken"] for i, r in report.items())
     strange = mixing.mix_report(odd.drop("size")).collect()
     assert len(strange) == len(odd_documents()) and all(r["taken"] <= 3 * r["size"] for r in strange)
-    clash = docs.limit(20).selectExpr("*", "'x' AS src", "'y' AS target", "'z' AS round", "1 AS taken", "2 AS blocks")
-    assert mixing.mix_documents(clash).select("src", "target", "round").distinct().collect() == [("x", "y", "z")]
+    clash = docs.limit(20).selectExpr("*", "'x' AS src", "'y' AS target", "'z' AS round", "1 AS taken", "2 AS size", "3 AS __size", "4 AS row", "5 AS `a.b`", "6 AS doc")
+    assert {tuple(r)[3:] for r in mixing.mix_documents(clash).collect()} == {("x", "y", "z", 1, 2, 3, 4, 5, 6)}
     assert mixing.mix_report(empty(spark)).count() == 0 and mixing.mix_documents(empty(spark)).count() == 0
 
 
+def test_mix_of_equal_rows(spark):
+    rows = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a b c d' AS text", "'s' AS source").union(spark.createDataFrame([(1, "x y", "t")], DOCS))
+    assert mixing.mix_report(rows).count() == 3001
+    placed, _ = mixing.mix(rows, bucket_rows=100)
+    begins = [r["begin"] for r in placed.where("size = 4").select("begin").collect()]
+    assert sorted(begins) == list(range(0, 12_000, 4))
+
+
+def test_mix_against_plain_slots(spark):
+    """Every slot of every source, permuted one by one, against the operator's joins."""
+    rng = random.Random(17)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 90)), rng.choice("abc")) for i in range(80)]
+    placed, takes = mixing.mix(spark.createDataFrame(rows, DOCS), block=8)
+    spots, wanted = placed.collect(), Counter()
+    for r in takes.collect():
+        wanted[r["src"], r["begin"]] += r["taken"]
+    plan = {r["src"]: (r["blocks"], r["source_size"], r["target"]) for r in spots}
+    used = defaultdict(Counter)
+    for r in takes.select("src", "round", "index").distinct().collect():
+        used[r["src"]][r["round"], r["index"]] += 1
+    for src, (blocks, size, target) in plan.items():
+        full = min(int(target // size), 3)
+        part = min(round((target - full * size) / 8), blocks) if full < 3 else 0
+        rounds = Counter(r for r, _ in used[src])
+        assert rounds == Counter({r: n for r, n in [(r, blocks) for r in range(full)] + [(full, part)] if n})
+        for r in spots:
+            if r["src"] == src and r["size"]:
+                own = sum(max(0, min(r["begin"] + r["size"], 8 * i + 8) - max(r["begin"], 8 * i)) for _, i in used[src])
+                assert wanted[src, r["begin"]] == own
+
+
 # --- quality
 
 
