@@ -24,12 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Cuts lineage with Parquet tables in the shared folder: they outlive any executor.
 
-    What a returned DataFrame still reads has to stay; everything else goes with `drop` as soon as its readers have run.
+    What a returned DataFrame still reads stays until the driver ends; everything else goes with `drop` as soon as its
+    readers have run.
     """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.base = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # Only what exists can be marked for deletion.
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
