@@ -257,26 +257,31 @@ class TokenHashes(dict):
         value = self[token] = self.hash(token.encode("utf-8", "surrogatepass")) & ~1
         return value
 
-    def of(self, blocks: list[tuple[str, int]]) -> np.ndarray:
-        """Hashes of the tokens of all blocks, with the block's place in the lowest bit."""
-        words = [text.split(" ") for text, _ in blocks]
+    def of(self, text: str, places: list[int]) -> np.ndarray:
+        """Hashes of the tokens of a page's blocks, with the block's place in the lowest bit."""
+        words = [block.split(" ") for block in text.split("\n")] if text else []
         sizes = list(map(len, words))
         found = np.fromiter((self[w] for own in words for w in own), dtype=np.uint32, count=sum(sizes))
-        return found | np.repeat(np.array([place for _, place in blocks], dtype=np.uint32), sizes)
+        return found | np.repeat(np.array(places, dtype=np.uint32), sizes)
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: (struct of the page's columns, html) to (the same, blocks joined by line feeds, hashes of their tokens)."""
-    hashes = TokenHashes()
+    """For mapInArrow: (struct of the page's columns, html) to (the same, blocks joined by line feeds, their places)."""
     for keys, pages in grouped_texts(batches):
-        texts, tokens = [], []
-        for page in pages.to_pylist():
-            blocks = content_blocks(page)
-            texts.append("\n".join(t for t, _ in blocks))
-            tokens.append(hashes.of(blocks).tobytes())
+        found = [content_blocks(page) for page in pages.to_pylist()]
         columns = [pa.array([k[n] for k in keys], t) for n, t in (("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()))]
-        columns += [pa.array(texts, pa.string()), pa.array(tokens, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "text", "tokens"])
+        columns += [pa.array(["\n".join(t for t, _ in blocks) for blocks in found], pa.string())]
+        columns += [pa.array([[place for _, place in blocks] for blocks in found], pa.list_(pa.int8()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "text", "places"])
+
+
+def token_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (host, shards, shard, text, places) to (host, shards, shard, hashes of the page's tokens)."""
+    hashes = TokenHashes()
+    for batch in batches:
+        tokens = [hashes.of(t, p).tobytes() for t, p in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)]
+        names = ["host", "shards", "shard"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(tokens, pa.binary())], names=[*names, "tokens"])
 
 
 def run_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -354,13 +359,14 @@ def shared_runs(length: int, least_pages: int, shares: tuple[float, float]):
 
 
 def held_runs(length: int):
-    """For mapInArrow: (host, tokens, runs) to (host, run), once for each of the runs that a page holds."""
+    """For mapInArrow: (host, text, places, runs) to (host, run), once for each of the runs that a page holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes()
         for batch in batches:
             hosts, held = [], []
-            for host, tokens, runs in zip(batch.column("host").to_pylist(), batch.column("tokens").to_pylist(), batch.column("runs"), strict=True):
-                own = np.intersect1d(run_hashes(np.frombuffer(tokens, dtype=np.uint32), length), runs.values.to_numpy())
+            for host, text, places, runs in zip(*(batch.column(n).to_pylist() for n in ("host", "text", "places")), batch.column("runs"), strict=True):
+                own = np.intersect1d(run_hashes(hashes.of(text, places), length), runs.values.to_numpy())
                 hosts += [host] * len(own)
                 held.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.concatenate([*held, np.empty(0, dtype=np.int64)]))], names=["host", "run"])
@@ -391,17 +397,17 @@ def without_runs(text: str, tokens: np.ndarray, verdicts: list[np.ndarray], leng
 
 
 def drop_runs(length: int):
-    """For mapInArrow: (page_id, url, text, tokens, runs by place) to (page_id, url, text) without those runs."""
+    """For mapInArrow: (page_id, url, text, places, runs by place) to (page_id, url, text) without those runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.empty(0, dtype=np.int64)
+        none, hashes = np.empty(0, dtype=np.int64), TokenHashes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             lists = [batch.column("main_runs"), batch.column("aside_runs")]
-            for i, tokens in enumerate(batch.column("tokens")):
+            for i, places in enumerate(batch.column("places")):
                 verdicts = [c[i].values.to_numpy() if c[i].is_valid else none for c in lists]
                 if any(map(len, verdicts)):
-                    texts[i] = without_runs(texts[i], np.frombuffer(tokens.as_py(), dtype=np.uint32), verdicts, length)
+                    texts[i] = without_runs(texts[i], hashes.of(texts[i], places.as_py()), verdicts, length)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return run
@@ -412,20 +418,22 @@ def boilerplate(pages: DataFrame, scratch: Scratch, length: int, least_pages: in
 
     A host has at most 1 / share times its mean page length of them.
     """
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).withColumn("shards", F.ceil(F.col("pages") / shard_pages))
+    # Written tables have a known size, by which Spark picks the joins before it shuffles any text.
+    sizes = scratch.keep(pages.groupBy("host").agg(F.count("*").alias("pages")).withColumn("shards", F.ceil(F.col("pages") / shard_pages)), "sizes")
     # The rows of a written table have the same numbers whenever a lost task is run again.
-    dealt = pages.select("host", "tokens", F.monotonically_increasing_id().alias("row")).join(sizes, "host")
-    dealt = dealt.select("host", "tokens", "shards", F.pmod(F.xxhash64("row"), "shards").alias("shard"))
-    runs = dealt.groupBy("host", "shard").applyInArrow(shared_runs(length, least_pages, shares), "host string, run long, place int, open boolean")
+    dealt = pages.select("host", "text", "places", F.monotonically_increasing_id().alias("row")).join(sizes, "host")
+    dealt = dealt.select("host", "shards", F.pmod(F.xxhash64("row"), "shards").alias("shard"), "text", "places")
+    streams = dealt.mapInArrow(token_streams, "host string, shards long, shard long, tokens binary")
+    runs = streams.groupBy("host", "shard").applyInArrow(shared_runs(length, least_pages, shares), "host string, run long, place int, open boolean")
     runs = scratch.keep(runs.distinct(), "runs")
     waiting = runs.where("open").groupBy("host").agg(F.collect_set("run").alias("runs"))
-    held = pages.select("host", "tokens").join(waiting, "host").mapInArrow(held_runs(length), "host string, run long")
+    held = pages.select("host", "text", "places").join(scratch.keep(waiting, "waiting"), "host").mapInArrow(held_runs(length), "host string, run long")
     counts = held.groupBy("host", "run").agg(F.count("*").alias("held")).join(sizes, "host")
     share = F.when(F.col("place") == MAIN, F.lit(shares[MAIN])).otherwise(F.lit(shares[ASIDE]))
     counted = runs.where("open").join(counts, ["host", "run"]).where(F.col("held") >= F.greatest(F.lit(least_pages), F.ceil(share * F.col("pages"))))
     verdicts = runs.where("NOT open").select("host", "run", "place").union(counted.select("host", "run", "place"))
     of_place = [F.collect_list(F.when(F.col("place") == p, F.col("run"))).alias(name) for p, name in ((MAIN, "main_runs"), (ASIDE, "aside_runs"))]
-    return verdicts.groupBy("host").agg(*of_place)
+    return scratch.keep(verdicts.groupBy("host").agg(*of_place), "verdicts")
 
 
 def main_text(
@@ -461,8 +469,8 @@ def main_text(
     # A page without a host has a group of its own.
     alone = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
     keyed = source.select(F.struct("page_id", "url", F.when(host != "", host).otherwise(alone).alias("host")).alias("key"), "html")
-    parsed = scratch.keep(keyed.mapInArrow(parse, "page_id long, url string, host string, text string, tokens binary"), "parsed")
+    parsed = scratch.keep(keyed.mapInArrow(parse, "page_id long, url string, host string, text string, places array<tinyint>"), "parsed")
     verdicts = boilerplate(parsed, scratch, run_length, least_pages, (main_share, aside_share), shard_pages)
-    joined = parsed.join(verdicts, "host", "left").select("page_id", "url", "text", "tokens", "main_runs", "aside_runs")
+    joined = parsed.join(verdicts, "host", "left").select("page_id", "url", "text", "places", "main_runs", "aside_runs")
     cleaned = joined.mapInArrow(drop_runs(run_length), "page_id long, url string, text string")
     return cleaned.withColumn("n_chars", F.length("text").cast("bigint"))
