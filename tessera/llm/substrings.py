@@ -257,7 +257,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, hot_limit: i
     copies = found.where(F.expr(STATE) == COPY).select("doc_id", F.col("fp").alias("range"))
     waiting = found.where(F.expr(STATE) != COPY)
 
-    hot = waiting.groupBy("fp").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_limit)
+    hot = scratch.keep(waiting.groupBy("fp").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_limit), "hot")
     parts = F.coalesce(F.ceil(F.col("rows") / hot_limit), F.lit(1))
     wanted = waiting.join(hot, "fp", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "place"), parts)).withColumn("hot", parts > 1)
     body = F.expr(f"substring(body, cast(({START}) + 1 AS int), cast(({WINDOWS}) - 1 + {length} AS int))")
@@ -270,7 +270,10 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, hot_limit: i
     beaten = opened.join(opening, "window").where("doc_id <> first.doc_id OR low <> first.low")
     packed = F.shiftleft(F.col("low"), 32).bitwiseOR(F.col("high")).alias("range")
     ranges = copies.union(compared.where("kind = 0").select("doc_id", packed)).union(beaten.select("doc_id", packed))
-    return ranges.groupBy("doc_id").agg(F.collect_list("range").alias("ranges"))
+    # Kept, so that the shuffles that led here are gone before texts meet their ranges.
+    ranges = scratch.keep(ranges.groupBy("doc_id").agg(F.collect_list("range").alias("ranges")), "ranges")
+    scratch.drop("stretches", "hot", "compared")
+    return ranges
 
 
 def digest_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
