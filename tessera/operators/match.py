@@ -15,14 +15,14 @@ from tessera.plans.scratch import Scratch
 def match_exact(records: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     """records with `entity`, the smallest id of all that have the same keys. A null in any key: an entity of its own.
 
-    Without keys all records are one entity, as an empty key is the same for all.
+    Without keys all records are one entity, as an empty key is the same for all. Keys meet as hashes, not as long texts.
     """
     if not keys:
         low = records.agg(F.min(id_col).alias("entity"))
         return records.join(F.broadcast(low))  # one row
     parts = [F.concat(F.length(key_text(k)).cast("string"), F.lit(":"), key_text(k)) for k in keys]
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    key = F.when(missing, F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(F.concat_ws("|", *parts))
+    key = F.when(missing, F.concat(F.lit("#"), F.col(id_col).cast("string"))).otherwise(F.sha2(F.concat_ws("|", *parts), 256))
     keyed = records.withColumn("__key", key)
     groups = keyed.groupBy("__key").agg(F.min(id_col).alias("entity"))
     return keyed.join(groups, "__key").drop("__key")

@@ -98,3 +98,11 @@ def job_status(tasks: DataFrame, entities: DataFrame, actions: DataFrame) -> Dat
     made = entities.groupBy("job_id").agg(F.count("*").alias("entities"))
     wait = actions.where("status = 'pending'").groupBy("job_id").agg(F.count("*").alias("pending_actions"))
     return done.join(made, "job_id", "left").join(wait, "job_id", "left").na.fill(0)
+
+
+def health(tasks: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
+    """One row: tasks (key, status) without a job, failed ones and pending ones."""
+    known = jobs.select(key).distinct().withColumn("known", F.lit(True))
+    return tasks.join(known, key, "left").agg(
+        F.count_if(F.col("known").isNull()).alias("orphaned"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "pending").alias("pending")
+    )

@@ -21,6 +21,29 @@ def matching(df: DataFrame, **equal: object) -> DataFrame:
     return df
 
 
+def least_quality(df: DataFrame, column: str, least: float, missing: float | None = None) -> DataFrame:
+    """Rows of that quality at least; rows without one count as `missing`, or not at all."""
+    quality = F.col(column) if missing is None else F.coalesce(F.col(column), F.lit(missing))
+    return df.where(quality >= least)
+
+
+def from_source(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """Rows of local runs (no source, or `local`) or of remote ones (`remote:` and a name)."""
+    source = F.col(column)
+    return df.where(source.isNull() | (source == "local") if kind == "local" else source.startswith("remote:"))
+
+
+def flagged(df: DataFrame, hit: Column, reason: str) -> DataFrame:
+    """Rows with the reason to extract them again, null where there is none."""
+    return df.withColumn("reason", F.when(hit, F.lit(reason)))
+
+
+def over_quota(tasks: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Whether jobs have completed as many tasks (job_id, status) as their quota (job_id, quota); never without a quota."""
+    done = tasks.groupBy("job_id").agg(F.count_if(F.col("status") == "completed").alias("completed"))
+    return done.join(quotas, "job_id", "left").withColumn("over", F.coalesce(F.col("completed") >= F.col("quota"), F.lit(False)))
+
+
 def record_text(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns))
 

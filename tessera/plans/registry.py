@@ -94,9 +94,9 @@ def crawl_completeness(t):
 # --- values -------------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, lower(trim(regexp_replace(left(text, 400), '\s+', ' ', 'g'))) AS normalized FROM documents""")
+@query(r"""SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS normalized FROM documents""")
 def normalize_text(t):
-    return t("documents").select("doc_id", X.normalize_text(F.left("text", F.lit(400)), casing="lower").alias("normalized"))
+    return t("documents").select("doc_id", X.normalize_text("text", casing="lower").alias("normalized"))
 
 
 @query("""SELECT p_partkey, array_to_string([upper(x[1]) || lower(x[2:]) FOR x IN string_split(p_name, ' ')], ' ') AS title FROM part""")
@@ -133,9 +133,9 @@ def normalize_measurement(t):
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(s, '^[=+@-]') THEN '"' || chr(9) || replace(s, '"', '""') || '"'
-  WHEN contains(s, ',') OR contains(s, '"') OR contains(s, chr(10)) THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell FROM (SELECT doc_id, left(text, 60) AS s FROM documents)""")
+  WHEN contains(s, ',') OR contains(s, '"') OR contains(s, chr(10)) THEN '"' || replace(s, '"', '""') || '"' ELSE s END AS cell FROM (SELECT doc_id, coalesce(text, '') AS s FROM documents)""")
 def csv_escape(t):
-    return t("documents").select("doc_id", X.csv_cell(F.left("text", F.lit(60))).alias("cell"))
+    return t("documents").select("doc_id", X.csv_cell("text").alias("cell"))
 
 
 @query(r"""SELECT conv_id, turn, regexp_replace(text || ' Bearer abcdefghijklmnopqrstuvwx' || turn, '\bBearer\s+[a-zA-Z0-9._-]{20,}\b', '[REDACTED]', 'gi') AS safe FROM conversations""")
@@ -226,10 +226,10 @@ def conflict_source_priority(t):
     return resolve.resolve(cells(t), "source_priority", sources.withColumn("trust", level))
 
 
-@query(f"""WITH c AS ({CELLS}), s AS (SELECT entity, count(DISTINCT value) > 1 AS conflict, bool_or(upper(value) <> value) AS changed, count(*) AS n FROM c WHERE ord % 7 < 2 GROUP BY 1)
+@query(f"""WITH c AS ({CELLS}), s AS (SELECT entity, count(DISTINCT value) > 1 AS conflict, bool_or(upper(value) <> value) AS changed, count(*) AS n FROM c GROUP BY 1)
 SELECT entity, CASE WHEN conflict THEN 'resolved' WHEN changed THEN 'normalized' WHEN n > 1 THEN 'merged' ELSE 'extracted' END AS type, n AS n_sources FROM s""")
 def provenance_types(t):
-    own = cells(t).where("ord % 7 < 2").withColumn("raw", F.upper("value"))
+    own = cells(t).withColumn("raw", F.upper("value"))
     done = resolve.provenance(own, resolve.resolve(own, "most_common"))
     return done.select("entity", "type", F.size("sources").cast("long").alias("n_sources"))
 
@@ -536,9 +536,9 @@ def corrected_values(t):
     return actions.overwrite_values(own, changes)
 
 
-@query("SELECT doc_id, len(list_distinct([x FOR x IN string_split(trim(regexp_replace(lower(left(text, 200)), '[^a-z0-9]+', ' ', 'g')), ' ') IF length(x) > 1 AND x NOT IN ('the','and','or','for','when','present','string','number','value','record','records','page','field')])) AS n FROM documents")
+@query("SELECT doc_id, len(list_distinct([x FOR x IN string_split(trim(regexp_replace(replace(lower(text), 'organisation', 'organization'), '[^a-z0-9]+', ' ', 'g')), ' ') IF length(x) > 1 AND x NOT IN ('the','and','or','for','when','present','string','number','value','record','records','page','field')])) AS n FROM documents")
 def match_words(t):
-    return t("documents").select("doc_id", F.size(X.match_words(F.left("text", F.lit(200)))).cast("long").alias("n"))
+    return t("documents").select("doc_id", F.size(X.match_words("text")).cast("long").alias("n"))
 
 
 @query("""WITH g AS (SELECT p_partkey, p_size % 7 AS g FROM part WHERE p_partkey % 2 = 0) SELECT p.p_partkey AS id, coalesce(m.entity, p.p_partkey) AS entity FROM part p LEFT JOIN (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY g) AS entity FROM g) m USING (p_partkey)""")
@@ -549,7 +549,7 @@ def proposed_groups(t):
     return match.match_groups(records, "id", own.union(unknown)).select("id", "entity")
 
 
-# The same rules over whole texts; the queries above keep the prefixes of their SQL.
+# The same rules under further names, which earlier reports use.
 
 
 @query(r"""SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS normalized FROM documents""")
