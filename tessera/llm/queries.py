@@ -68,25 +68,28 @@ def op4_perspective_rotation(spark: SparkSession, folder: str) -> DataFrame:
 OP4_SQL = """
 WITH t AS (
   SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE role END AS r0, coalesce(text, '') AS t0 FROM conversations),
-rows AS (
+named AS (
   SELECT conv_id, turn, replace(replace(r0, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') AS role,
     replace(replace(t0, '<|im_start|>', '<| im_start |>'), '<|im_end|>', '<| im_end |>') AS said FROM t),
+numbered AS (SELECT *, coalesce(turn // 256, 9223372036854775807) AS number FROM named),
+rows AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, number ORDER BY turn NULLS LAST, role, md5(said)) - 1) // 256 AS sub FROM numbered),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM rows WHERE role <> 'system'),
 seen AS (
-  SELECT rows.*, speaker, coalesce(turn // 256, 9223372036854775807) AS number,
+  SELECT rows.*, speaker,
     '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user ' || role END || chr(10) AS head,
     said || '<|im_end|>' AS tail
   FROM rows JOIN speakers ON rows.conv_id IS NOT DISTINCT FROM speakers.conv_id),
 placed AS (
-  SELECT *, length(head) + coalesce(sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, speaker, number
+  SELECT *, length(head) + coalesce(sum(length(head) + length(tail) + 1) OVER (PARTITION BY conv_id, speaker, number, sub
     ORDER BY turn NULLS LAST, role, said ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM seen),
 parts AS (
-  SELECT conv_id, speaker, number, string_agg(head || tail || chr(10), '' ORDER BY turn NULLS LAST, role, said) AS text,
+  SELECT conv_id, speaker, number, sub, string_agg(head || tail || chr(10), '' ORDER BY turn NULLS LAST, role, said) AS text,
     coalesce(string_agg(low::BIGINT || ':' || (low + length(tail))::BIGINT, ',' ORDER BY low) FILTER (WHERE role = speaker), '') AS spans,
     coalesce(sum(length(tail)) FILTER (WHERE role = speaker), 0)::BIGINT AS n_trained
-  FROM placed GROUP BY conv_id, speaker, number)
-SELECT conv_id, speaker, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY number) AS part, text,
-  coalesce(sum(length(text)) OVER (PARTITION BY conv_id, speaker ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin,
+  FROM placed GROUP BY conv_id, speaker, number, sub)
+SELECT conv_id, speaker, row_number() OVER (PARTITION BY conv_id, speaker ORDER BY number, sub) AS part, text,
+  coalesce(sum(length(text)) OVER (PARTITION BY conv_id, speaker ORDER BY number, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin,
   length(text)::BIGINT AS n_chars, spans, n_trained
 FROM parts
 """
