@@ -16,6 +16,8 @@ from tessera.llm.words import grouped_bytes
 # Texts of similarity 0.8 share none of the bands with probability 6e-7, of 0.85 with 7e-10.
 HASHES, BITS, BANDS, ROWS = 256, 2, 36, 5
 FINE = 2048
+# Classes of one band that one task compares with as many.
+BLOCK = 1024
 MULTIPLIERS = np.random.default_rng(20240229).integers(1, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
 OFFSETS = np.random.default_rng(20240301).integers(0, 2**32, HASHES, dtype=np.uint32)
 POSITIONS = (np.random.default_rng(20240302).integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alone = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("times"), F.min("node").alias("node"))
     own = alone.where("times = 1").groupBy("node").agg(F.count("*").alias("own"))
     among = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = among.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    split = among.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("x <> y")
     open_classes = (
         classes.select("node", "n", "bits", "bands")
         .join(own, "node", "left")
@@ -243,15 +245,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Many near copies of one text lie just below the threshold; more bits tell most of them apart without their sets.
     finer = sets.join(open_classes.select("node"), "node", "left_semi").mapInArrow(fine_bits, "node binary, fine array<long>")
     open_classes = open_classes.join(finer, "node")
-    rest = scratch.keep(among.drop("hub").join(split, "key", "left_semi").join(open_classes, "node"), "rest")
+    rest = scratch.keep(among.drop("hub").join(split.select("key", "blocks"), "key").join(open_classes, "node"), "rest")
     most = F.least("common_a", "common_b")
     possible = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
     earlier = F.exists(F.sequence(F.lit(0), F.col("band_a") - 1), lambda i: F.get("bands_a", i) == F.get("bands_b", i))
     meets_first_here = F.when(F.col("band_a") > 0, ~earlier).otherwise(F.lit(True))
-    a, b = sides(rest, "a"), sides(rest, "b")
+    # A band of many classes is cut by their keys, which are hashes, and each two of its blocks meet in a place of their own.
+    digest = F.conv(F.hex(F.substring("node", 1, 3)), 16, 10).cast("long")
+    rest = rest.withColumn("block", F.floor(digest * F.col("blocks") / 2**24))
+    a = sides(rest.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))), "a")
+    b = sides(rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block")))), "b")
     crossing = a.join(
         b,
         (F.col("key_a") == F.col("key_b"))
+        & (F.col("block_a") == F.col("other_b"))
+        & (F.col("other_a") == F.col("block_b"))
         & (F.col("node_a") < F.col("node_b"))
         & (F.col("component_a") != F.col("component_b"))
         & sizes

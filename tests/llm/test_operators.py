@@ -7,11 +7,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import html_text, minhash, mixing, neighbours, packing, quality, substrings, suffixes, token_counts, toxicity
+from tessera.llm import html_text, minhash, mixing, neighbours, packing, quality, queries, substrings, suffixes, token_counts, toxicity
 from tessera.llm.chat import perspectives
 from tessera.llm.queries import tokenizer_file
 
@@ -163,8 +164,9 @@ def near_groups(rows, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("percent", [80, 85])
-def test_near_duplicates(spark, percent):
+@pytest.mark.parametrize(("percent", "block"), [(80, 1024), (85, 1024), (80, 2)])
+def test_near_duplicates(spark, percent, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(percent)
     vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
     rows = []
@@ -220,6 +222,20 @@ def test_perspectives(spark):
     assert perspectives(df.where("false")).count() == 0
 
 
+def test_crowded_turns(spark):
+    rng = random.Random(4)
+    rows = [(1, rng.choice([None, 0, 0, 1, 7]), rng.choice(["ann", "bob", "system"]), rng.choice(["yes", "no", "é" * 40, None])) for _ in range(300)]
+    rows += [(None, None, "eve", "same")] * 50 + [(2, i, "ann", "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    db = duckdb.connect()
+    db.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = db.sql(queries.OP4_SQL.replace("256", "8")).df()
+    got = perspectives(df, part_turns=8).toPandas()
+    texts = lambda frame: sorted(tuple(map(str, r)) for r in frame[got.columns].fillna({"conv_id": -1}).astype({"conv_id": "int64"}).itertuples(index=False))
+    assert len(got) > 60 and texts(got) == texts(want)
+    assert got["text"].str.count("im_start").max() == 8
+
+
 # --- toxicity
 
 

@@ -31,3 +31,14 @@ def test_stages(spark, tmp_path):
     fill = kept[4][1].groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n"), F.count("*"), F.sum("n")).first()
     assert fill[0] <= 4096 and fill[1] <= -(-fill[2] // 4096) + 3
     assert corpus_pipeline.run(spark, SF).count() == kept[4][1].count()
+
+
+def test_one_of_repeated_rows_stays(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long, "en", "s", 1)] * 3 + [(2, long, "en", "s", 1), (None, long + " end", "en", "s", 1)]
+    rows += [(None, "another text of no id at all", "en", None, 1)] * 2 + [(5, "of its own words, told once", "en", "s", 1), (5, "some other words by that id", None, "s", 1)]
+    rows += [(None, None, None, None, None), (6, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_copies(spark, docs, SF).collect()
+    texts = sorted((str(r["doc_id"]), str(r["text"])[:12]) for r in left)
+    assert texts == sorted([("1", long[:12]), ("None", "another text"), ("5", "of its own w"), ("5", "some other w"), ("None", "None"), ("6", "")])
