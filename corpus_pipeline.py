@@ -24,9 +24,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of similarity 0.8 or more."""
-    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """The document of smallest doc_id of each group of similarity 0.8 or more; of repeated rows, one.
+
+    Documents without a doc_id take a hash of their text beyond all ids in its place, so copies of them go too.
+    """
+    key = F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(2**61 - 1) + 2**62)
+    keyed = docs.select(*COLUMNS, key.alias("row_key"))
+    kept = near_duplicates(keyed, id_col="row_key", percent=80).where("kept").groupBy(F.col("doc_id").alias("row_key")).agg(F.count("*").alias("times"))
+    # Only texts of repeated ids are told apart by their contents.
+    content = F.when(F.col("times") > 1, F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise("")
+    return keyed.join(kept, "row_key").withColumn("content", content).dropDuplicates(["row_key", "content"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
