@@ -513,10 +513,10 @@ def requeue(t):
     return tables.requeue(tasks, ["F"]).drop("error_message")
 
 
-@query("""WITH b AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), t AS (SELECT c_custkey FROM customer WHERE c_custkey <= 50)
+@query("""WITH b AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), t AS (SELECT c_custkey FROM customer)
 SELECT count(*) FILTER (WHERE c_custkey IS NULL)::BIGINT AS inserted, (sum(n) - count(*) FILTER (WHERE c_custkey IS NULL))::BIGINT AS updated FROM b LEFT JOIN t ON user_id = c_custkey""")
 def upsert_counts(t):
-    have = t("customer").where("c_custkey <= 50").select(F.col("c_custkey").alias("user_id"))
+    have = t("customer").select(F.col("c_custkey").alias("user_id"))
     out = tables.upsert_counts(have, t("events").select("user_id"), ["user_id"])
     return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
 
@@ -541,12 +541,12 @@ def match_words(t):
     return t("documents").select("doc_id", F.size(X.match_words("text")).cast("long").alias("n"))
 
 
-@query("""WITH g AS (SELECT p_partkey, p_size % 7 AS g FROM part WHERE p_partkey % 2 = 0) SELECT p.p_partkey AS id, coalesce(m.entity, p.p_partkey) AS entity FROM part p LEFT JOIN (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY g) AS entity FROM g) m USING (p_partkey)""")
+@query("""WITH g AS (SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS entity FROM supplier SEMI JOIN part ON s_suppkey = p_partkey)
+SELECT p_partkey AS id, coalesce(entity, p_partkey) AS entity FROM part LEFT JOIN g ON p_partkey = id""")
 def proposed_groups(t):
-    records = t("part").select(F.col("p_partkey").alias("id"))
-    own = t("part").where("p_partkey % 2 = 0").select((F.col("p_size") % 7).alias("group"), F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("id"))
-    unknown = own.limit(5).select("group", "seq", (-F.col("id")).alias("id"))
-    return match.match_groups(records, "id", own.union(unknown)).select("id", "entity")
+    """Suppliers as proposals: those beyond the parts are unknown ids, parts beyond the suppliers are in no group."""
+    own = t("supplier").select(F.col("s_nationkey").alias("group"), F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("id"))
+    return match.match_groups(t("part").select(F.col("p_partkey").alias("id")), "id", own).select("id", "entity")
 
 
 # The same rules under further names, which earlier reports use.
