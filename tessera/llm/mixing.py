@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.quality import bind, split_words
+from tessera.llm.quality import bind, quoted, split_words
 from tessera.plans.scratch import Scratch
 
 #: More sources than that are not a mix of sources; the list of sources, not of documents, passes through the driver.
@@ -71,10 +71,6 @@ def measured(docs: DataFrame, scratch: Scratch, text_col: str, source_col: str,
     return scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
 
 
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def places(rows: DataFrame, sources: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFrame:
     """(row, id, size, src, source_size, target, blocks, begin): where each row's words begin in its source.
 

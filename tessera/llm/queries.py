@@ -40,16 +40,17 @@ covered AS (SELECT doc_id, sum(g)::BIGINT AS n_repeat_words FROM gaps GROUP BY d
 counts AS (
   SELECT w.doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN covered USING (doc_id)),
 base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
-hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS f FROM base GROUP BY source),
+ruled AS (
+  SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 3 * n_words AS failed FROM base),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE failed)::DOUBLE AS f FROM ruled GROUP BY source),
 mean AS (SELECT sum(f) / sum(n) AS m FROM hosts),
-spread AS (SELECT m, sum(n * pow(f / n - m, 2)) / sum(n) AS v FROM hosts, mean GROUP BY m),
+spread AS (SELECT m, (sum(n * pow(f / n - m, 2)) - m * (1 - m) * count(*)) / sum(n) AS v FROM hosts, mean GROUP BY m),
 prior AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1), 10000) ELSE 10000 END AS k FROM spread),
-verdicts AS (SELECT source, (f + m * k) / (n + k) AS host_rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND host_rate <= 0.8 AS kept
+verdicts AS (SELECT source, (f + m * k) / (n + k) <= m + 0.5 * (1 - m) AS host_ok FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
 FROM base JOIN verdicts ON base.source IS NOT DISTINCT FROM verdicts.source
 """
 

@@ -613,6 +613,33 @@ def test_hosts_of_junk_go(spark):
     assert ok == {"junk": False, "fine": True, "small": True} or ok == {"junk": False, "fine": True, "small": False}
 
 
+def test_documents_go_with_their_host(spark):
+    """Documents that pass by themselves go with a host of failures by other rules, and only with such a host."""
+    plain = lambda i: " ".join(f"word{i}x{j}" for j in range(40))
+    failing = [
+        lambda i: " ".join(f"{i}#{j}|$" for j in range(40)),
+        lambda i: "one two\n" * 5 + plain(i),
+        lambda i: " ".join(f"{chr(97 + j % 26)}{j % 10}" for j in range(i, i + 90)),
+    ]
+    rows, bad = [], set()
+    for host, n, share in [("junk", 200, 0.8), ("a", 400, 0.1), ("b", 400, 0.1), ("c", 400, 0.12), (None, 300, 0.05)]:
+        for k in range(n):
+            i, fails = len(rows), k < share * n
+            bad |= {i} if fails else set()
+            rows.append((i, failing[i % 3](i) if fails else plain(i), host))
+    rows.append((len(rows), failing[0](0), "one"))
+    docs = spark.createDataFrame(rows, DOCS)
+    clashing = docs.withColumns({c: F.lit(7) for c in ("__host", "__ok", "host", "of", "doc", "c", "failed", "n_lines", "host_ok")})
+    for given in (docs, clashing):
+        got = {r["doc_id"]: r for r in quality.quality_rules(given).collect()}
+        assert set(quality.quality_rules(given).columns) == {*given.columns, *quality.COUNTS, "base_failed", "host_rate", "kept"}
+        for i, text, host in rows:
+            n = plain_counts(text)
+            base = n[0] < 20 or 100 * n[4] > 30 * n[0]
+            assert got[i]["base_failed"] == base and got[i]["kept"] == (not base and host != "junk"), (i, host)
+    assert sum(not r["base_failed"] and r["source"] == "junk" for r in got.values()) > 100
+
+
 # --- packing
 
 
