@@ -53,9 +53,10 @@ def match_composite(records: DataFrame, id_col: str, keys: list[str], threshold:
     """records with `entity`: linked where equal keys / comparable keys reach the threshold (above 0); then closed.
 
     A key is comparable if either side has it, so a link needs at least threshold * n equal keys for either side's n keys
-    that are not empty. Each row offers the sets of its keys that are large enough, and pairs meet on a set with equal
-    values, which loses none and keeps rows apart that share a common key or two. Records with the same keys are one class
-    and never paired.
+    that are not empty. Each row offers the sets of its keys that are large enough. Rows with equal values of a set and the
+    same keys filled are all linked, so each is tied to the smallest id of them only; of rows with different keys filled,
+    those smallest ids are tied where the set is large enough for both together. A pair that needs a larger set meets in
+    that one. So no entity is lost, and the ties grow with the rows however many share their keys.
     """
     scratch = Scratch(records.sparkSession, "composite")
     if not keys:
@@ -73,13 +74,16 @@ def match_composite(records: DataFrame, id_col: str, keys: list[str], threshold:
         return F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.col(k)).otherwise(F.lit("")) for i, k in enumerate(names)])
 
     sets = F.filter(F.sequence(F.lit(1), F.lit((1 << len(keys)) - 1)), large_enough)
-    offered = classes.withColumn("filled", filled).withColumn("mask", F.explode(sets)).withColumn("held", held(F.col("mask"))).drop("filled")
-    a, b = sides(offered, "a"), sides(offered, "b")
-    equal = [(F.col(f"{n}_a") == F.col(f"{n}_b")) & (F.col(f"{n}_a") != "") for n in names]
-    comparable = sum(((F.col(f"{n}_a") != "") | (F.col(f"{n}_b") != "")).cast("int") for n in names)
-    enough = sum(e.cast("int") for e in equal) >= threshold * comparable
-    met = a.join(b, (F.col("mask_a") == F.col("mask_b")) & (F.col("held_a") == F.col("held_b")) & (F.col("id_a") < F.col("id_b")) & enough)
-    links = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    offered = classes.withColumn("filled", filled).withColumn("mask", F.explode(sets)).withColumn("held", held(F.col("mask"))).select("id", "mask", "held", "filled")
+    hubs = offered.groupBy("mask", "held", "filled").agg(F.min("id").alias("hub"))
+
+    def enough(filled: Column) -> Column:
+        return F.bit_count("mask") >= F.lit(float(threshold)) * F.bit_count(filled)
+
+    spokes = offered.join(hubs, ["mask", "held", "filled"]).where((F.col("id") != F.col("hub")) & enough(F.col("filled")))
+    other = hubs.select("mask", "held", F.col("filled").alias("filled_b"), F.col("hub").alias("hub_b"))
+    between = hubs.join(other, ["mask", "held"]).where((F.col("filled") < F.col("filled_b")) & enough(F.col("filled").bitwiseOR(F.col("filled_b"))))
+    links = spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).union(between.select(F.least("hub", "hub_b").alias("a"), F.greatest("hub", "hub_b").alias("b"))).distinct()
     return closed(records, id_col, keys, classes, scratch.keep(links, "links"), scratch)
 
 

@@ -69,6 +69,24 @@ def test_composite_and_fuzzy_against_all_pairs(spark, seed):
     assert groups(match.match_fuzzy(df, "id", ["a", "c"], 0.7)) == two
 
 
+@pytest.mark.parametrize(("seed", "threshold"), [(3, 0.6), (4, 0.5), (5, 0.75), (6, 1.0)])
+def test_composite_of_many_keys(spark, seed, threshold):
+    rng = random.Random(seed)
+    rows = [(i, *(rng.choice([None, "", "x", "y", "z"][: 5 - k % 2]) for k in range(4))) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string, d string")
+    assert groups(match.match_composite(df, "id", ["a", "b", "c", "d"], threshold)) == brute(rows, lambda ps: sum(x == y for x, y in ps) / len(ps) >= threshold)
+
+
+def test_composite_ties_grow_with_rows(spark, monkeypatch):
+    """Rows that share three of four keys are tied to one, not to each other."""
+    seen = []
+    whole = match.closed
+    monkeypatch.setattr(match, "closed", lambda *args: seen.append(args[4].count()) or whole(*args))
+    df = spark.range(3000).selectExpr("id", "'x' AS a", "'y' AS b", "'z' AS c", "cast(id AS string) AS d")
+    assert match.match_composite(df, "id", ["a", "b", "c", "d"], 0.75).select("entity").distinct().count() == 1
+    assert seen == [2999]
+
+
 CASES = [
     ("most_common", [("blue", "a"), ("red", "b"), ("blue", "c"), ("red", "d"), ("blue", "e")], ("blue", "a", True)),
     ("most_common", [("4.5", "a"), ("4.0", "b"), ("4.5", "c"), ("4.0", "d")], ("4.5", "a", True)),
