@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import repeat
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.quality import bind, quoted, split_words
 from tessera.plans.scratch import Scratch
 
-#: More sources than that are not a mix of sources; the list of sources, not of documents, passes through the driver.
+#: So many sources are planned on the driver; a table of more is planned by Spark, to the same targets.
 MOST_SOURCES = 200_000
+#: Of more sources than MOST_SOURCES, shards first draw from groups of so many, and a task then draws within each group.
+SOURCES_OF_A_GROUP = 4096
 
 
 def targets(sizes: list[int], weights: list[float], most_repeats: int) -> list[float]:
@@ -30,15 +36,16 @@ def targets(sizes: list[int], weights: list[float], most_repeats: int) -> list[f
     return out
 
 
-def shard_counts(quotas: np.ndarray, shard: int, seed: int) -> np.ndarray:
-    """Blocks of each source in each shard of `shard` slots: multinomial draws by what each source has left.
+def shard_counts(quotas: np.ndarray, shard: int | Iterable[int], seed: int) -> np.ndarray:
+    """Blocks of each source in each shard of `shard` slots (or of each of those sizes): multinomial draws by what each source has left.
 
     A draw takes no more than is left, and what it lacks comes from the sources with most left, so that the shards
     together hold exactly the quotas.
     """
     rng, left, rows = np.random.default_rng(seed), quotas.astype(np.int64).copy(), []
+    sizes = repeat(shard) if isinstance(shard, int) else iter(shard)
     while (total := int(left.sum())) > 0:
-        size = min(shard, total)
+        size = min(int(next(sizes)), total)
         drawn = np.minimum(rng.multinomial(size, left / total), left)
         lack = size - int(drawn.sum())
         for i in np.argsort(-(left - drawn), kind="stable"):
@@ -91,11 +98,8 @@ def places(rows: DataFrame, sources: DataFrame, scratch: Scratch, bucket_rows: i
     return scratch.keep(placed, "placed")
 
 
-def plan_sources(rows: DataFrame, weights: tuple[float, ...], block: int, most_repeats: int) -> list[dict]:
+def plan_sources(totals: list, weights: tuple[float, ...], block: int, most_repeats: int) -> list[dict]:
     """For each source its words, target, blocks, full rounds over them and blocks of one more round."""
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in totals]
     plan = []
@@ -107,6 +111,58 @@ def plan_sources(rows: DataFrame, weights: tuple[float, ...], block: int, most_r
     return plan
 
 
+def plan_many(totals: DataFrame, scratch: Scratch, weights: tuple[float, ...], block: int, most_repeats: int) -> DataFrame:
+    """The rows of plan_sources for any number of sources: numbered by partitions of their order, targets from one rate of
+    words for each weight that rises until no further source reaches its limit."""
+    spark = totals.sparkSession
+    ordered = scratch.keep(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("at", 33)
+    first, firsts = 0, []
+    for row in ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each partition
+        firsts.append((row["part"], first))
+        first += row["n"]
+    src = F.col("first") + F.col("at").bitwiseAND(F.lit(2**33 - 1))
+    numbered = ordered.withColumn("part", part).join(F.broadcast(spark.createDataFrame(firsts, "part long, first long")), "part").withColumn("src", src)
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("src") % len(weights)).cast("int"))
+    weighed = scratch.keep(numbered.select("source", "src", F.col("size").alias("source_size"), weight.alias("weight")), "weighed")
+    limit = F.col("source_size") * float(most_repeats)
+    total, rate = float(weighed.agg(F.sum("source_size")).first()[0]), 0.0
+    while True:
+        open_one = (F.col("source_size") > 0) & (F.col("weight") * rate <= limit)
+        sums = weighed.agg(F.sum(F.when(open_one, F.col("weight")).otherwise(0.0)), F.sum(F.when(open_one, F.lit(0.0)).otherwise(limit))).first()
+        higher = (total - sums[1]) / sums[0] if sums[0] else rate
+        if higher <= rate:
+            break
+        rate = higher
+    planned = weighed.withColumn("target", F.least(limit, F.col("weight") * rate)).withColumn("blocks", F.ceil(F.col("source_size") / block))
+    full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most_repeats))).otherwise(F.lit(0))
+    more = F.least(F.bround((F.col("target") - F.col("full") * F.col("source_size")) / block).cast("long"), F.col("blocks"))
+    slots = F.col("full") * F.col("blocks") + F.when(F.col("full") < most_repeats, more).otherwise(F.lit(0))
+    return scratch.keep(planned.withColumn("full", full).select(F.col("source").alias("of"), "src", "source_size", "target", "blocks", slots.cast("long").alias("slots")), "plan")
+
+
+def draws_of(counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(shard, source, first, n) of shard_counts: the numbers first .. first + n - 1 of a source's slots fall to a shard."""
+    firsts = np.cumsum(counts, axis=0) - counts
+    at, src = np.nonzero(counts)
+    return at, src, firsts[at, src], counts[at, src]
+
+
+def draws_of_many(sources: DataFrame, shard: int, seed: int) -> DataFrame:
+    """Multinomial draws in two steps, which together are one: each shard's slots of each group, then those of its sources."""
+    grouped = sources.select("src", "slots", F.expr(f"src div {SOURCES_OF_A_GROUP}").alias("group"))
+    quotas = grouped.groupBy("group").agg(F.sum("slots").alias("n")).orderBy("group").collect()
+    at, group, _, n = draws_of(shard_counts(np.array([r["n"] for r in quotas], dtype=np.int64), shard, seed))
+    shares = sources.sparkSession.createDataFrame(list(zip(group.tolist(), at.tolist(), n.tolist(), strict=True)), "group long, shard int, n long")
+
+    def split(key: tuple, own: pd.DataFrame, shares: pd.DataFrame) -> pd.DataFrame:
+        own, shares = own.sort_values("src"), shares.sort_values("shard")
+        at, src, first, n = draws_of(shard_counts(own["slots"].to_numpy(), shares["n"].tolist(), seed + 1 + int(key[0])))
+        return pd.DataFrame({"shard": shares["shard"].to_numpy()[at], "src": own["src"].to_numpy()[src], "first": first, "n": n})
+
+    return grouped.groupBy("group").cogroup(shares.groupBy("group")).applyInPandas(split, "shard int, src long, first long, n long")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -119,6 +175,7 @@ def mix(
     seed: int = 1234567,
     bucket_rows: int = 5_000,
     keep_text: bool = False,
+    most_sources: int = MOST_SOURCES,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, takes): the rows of docs with id, src, source_size, target, size and begin; and what the mix takes of them.
     With keep_text the rows hold all columns of docs in `doc`, and src, size and begin besides.
@@ -132,27 +189,33 @@ def mix(
     `weights` repeat; target and limit as in `targets`. A source's taken words differ from its target by a block at most.
 
     Offsets of documents are summed within buckets of rows and then over buckets, so a source that holds most of all rows is
-    no single task. Null text: size 0. Null source: a source of its own. Null ids are ids like any other. Repeated rows: each
+    no single task. More than most_sources sources are planned by Spark instead of on the driver. Null text: size 0. Null source: a source of its own. Null ids are ids like any other. Repeated rows: each
     is a document. Empty table: empty results. Columns of docs may have any name.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     rows = measured(docs, scratch, text_col, source_col, id_col, keep_text)
-    plan = plan_sources(rows, weights, block, most_repeats)
-    shape = "of string, src int, source_size long, target double, blocks long, slots long"
-    # At most MOST_SOURCES rows.
-    sources = F.broadcast(spark.createDataFrame([tuple(p.values()) for p in plan], shape))
+    totals = rows.groupBy("source").agg(F.sum("size").alias("size"))
+    few = totals.limit(most_sources + 1).collect()
+    if len(few) <= most_sources:
+        plan = plan_sources(few, weights, block, most_repeats)
+        shape = "of string, src int, source_size long, target double, blocks long, slots long"
+        # At most most_sources rows.
+        sources = F.broadcast(spark.createDataFrame([tuple(p.values()) for p in plan], shape))
+        n_sources, n_slots = len(plan), sum(p["slots"] for p in plan)
+    else:
+        sources = plan_many(totals, scratch, weights, block, most_repeats)
+        n_sources, n_slots = sources.agg(F.count("*"), F.sum("slots")).first()
     placed = places(rows, sources, scratch, bucket_rows)
 
-    quotas = np.array([p["slots"] for p in plan], dtype=np.int64)
-    most_shards = max(16, min(10_000, 1_000_000 // max(1, len(plan))))
-    shard = max(4096, -(-int(quotas.sum()) // most_shards))
-    counts = shard_counts(quotas, shard, seed)
-    firsts = np.cumsum(counts, axis=0) - counts
-    at, src = np.nonzero(counts)
-    draws = spark.createDataFrame(
-        list(zip(at.tolist(), src.tolist(), firsts[at, src].tolist(), counts[at, src].tolist(), strict=True)), "shard int, src int, first long, n long"
-    ).repartition(max(spark.sparkContext.defaultParallelism, int(quotas.sum()) // 100_000))
+    most_shards = max(16, min(10_000, 1_000_000 // max(1, n_sources)))
+    shard = max(4096, -(-n_slots // most_shards))
+    if len(few) <= most_sources:
+        counts = shard_counts(np.array([p["slots"] for p in plan], dtype=np.int64), shard, seed)
+        draws = spark.createDataFrame(list(zip(*(x.tolist() for x in draws_of(counts)), strict=True)), "shard int, src int, first long, n long")
+    else:
+        draws = draws_of_many(sources, shard, seed)
+    draws = draws.repartition(max(spark.sparkContext.defaultParallelism, n_slots // 100_000))
     runs = draws.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(1024).cast("long"))).alias("low"), (F.col("first") + F.col("n")).alias("end"))
     slots = runs.select("shard", "src", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + 1023, F.col("end") - 1))).alias("slot"))
     slots = slots.join(sources.select("src", "blocks"), "src").withColumn("round", F.expr("slot div blocks"))

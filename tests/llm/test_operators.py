@@ -552,6 +552,26 @@ def test_mix_of_equal_rows(spark):
     assert sorted(begins) == list(range(0, 12_000, 4))
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    """Planned by Spark, to the targets of the plan on the driver."""
+    monkeypatch.setattr(mixing, "SOURCES_OF_A_GROUP", 16)
+    rng = random.Random(19)
+    names = sorted(f"s{i}" for i in range(50)) + [None]
+    rows = [(i, " ".join(["w"] * rng.choice([0, 5, 90, 400])), names[min(50, int(rng.expovariate(0.08)))]) for i in range(300)]
+    rows += [(1000 + i, None, n) for i, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, DOCS)
+    report = {r["doc_id"]: r for r in mixing.mix_report(docs, block=8, most_sources=10).collect()}
+    plain = {r["doc_id"]: r for r in mixing.mix_report(docs, block=8).collect()}
+    assert {i: r["size"] for i, r in report.items()} == {i: len(words_of(t)) for i, t, _ in rows}
+    for n in names:
+        own = [i for i, _, s in rows if s == n]
+        assert {(report[i]["source_size"], round(report[i]["target"], 6)) for i in own} == {(plain[i]["source_size"], round(plain[i]["target"], 6)) for i in own}
+        assert abs(sum(report[i]["taken"] for i in own) - report[own[0]]["target"]) <= 16
+    assert all(r["taken"] <= 3 * r["size"] for r in report.values())
+    again = mixing.mix_report(docs.repartition(3), block=8, most_sources=10).collect()
+    assert {i: r["taken"] for i, r in report.items()} == {r["doc_id"]: r["taken"] for r in again}
+
+
 def test_mix_against_plain_slots(spark):
     """Every slot of every source, permuted one by one, against the operator's joins."""
     rng = random.Random(17)
