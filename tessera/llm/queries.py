@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chat import perspectives
@@ -11,7 +11,8 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_report
 from tessera.llm.neighbours import nearest
 from tessera.llm.packing import pack
-from tessera.llm.quality import COUNTS, quality_rules
+from tessera.llm.periodic import periodic_runs
+from tessera.llm.quality import COUNTS, bind, quality_rules, split_words
 from tessera.llm.substrings import repeats_report
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import toxicity
@@ -126,6 +127,40 @@ def op10_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_file=tokenizer_file())
 
 
+def words_in_cycles(doc_id: Column, text: Column) -> Column:
+    """The contract's text of a document: where its id's hash is divisible by ten, words from one on come round again."""
+    h, words = F.crc32(doc_id.cast("string")), split_words(text)
+
+    def turned(state: Column) -> Column:
+        ws, a, p = state["ws"], state["a"], state["p"]
+        return F.array_join(F.transform(ws, lambda w, i: F.when(i >= a, F.get(ws, (a + (i - a) % p).cast("int"))).otherwise(w)), " ")
+
+    def planned(ws: Column) -> Column:
+        n, g = F.size(ws), F.floor(h / 10)
+        a = g % n
+        return bind(F.struct(ws.alias("ws"), a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")), turned)
+
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), bind(words, planned)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", words_in_cycles(F.col("doc_id"), F.col("text")).alias("text"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    runs = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    rows = periodic_runs(docs).withColumn("longest", longest)
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        "longest.length",
+        (-F.col("longest.period")).alias("period"),
+        F.floor(1000 * F.col("longest.length") / -F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(runs, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_trie_token_counts": op1_trie_token_counts,
     "op2_projected_neighbours": op2_projected_neighbours,
@@ -137,5 +172,6 @@ QUERIES = {
     "op7_host_suffix_array": op7_host_suffix_array,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op4_perspective_rotation": OP4_SQL, "op9_quality_rules": OP9_SQL}
