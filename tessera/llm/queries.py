@@ -12,6 +12,7 @@ from tessera.llm.mixing import mix_report
 from tessera.llm.neighbours import nearest
 from tessera.llm.packing import pack
 from tessera.llm.periodic import periodic_runs
+from tessera.llm.personal import BASE_KINDS, personal_data
 from tessera.llm.quality import COUNTS, bind, quality_rules, split_words
 from tessera.llm.substrings import repeats_report
 from tessera.llm.token_counts import token_counts
@@ -161,6 +162,15 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_crf_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    rows = personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    counts = [of_kind(k).alias(f"n_{k}") for k in BASE_KINDS]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_trie_token_counts": op1_trie_token_counts,
     "op2_projected_neighbours": op2_projected_neighbours,
@@ -173,5 +183,6 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_crf_personal_data": op13_crf_personal_data,
 }
 ORACLES: dict[str, str] = {"op4_perspective_rotation": OP4_SQL, "op9_quality_rules": OP9_SQL}
