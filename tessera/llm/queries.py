@@ -9,6 +9,7 @@ from tessera.llm.chat import perspectives
 from tessera.llm.html_text import main_text
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mix_report
+from tessera.llm.negatives import hard_negatives
 from tessera.llm.neighbours import nearest
 from tessera.llm.packing import pack
 from tessera.llm.periodic import periodic_runs
@@ -128,6 +129,11 @@ def op10_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_file=tokenizer_file())
 
 
+def op11_distance_key_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def words_in_cycles(doc_id: Column, text: Column) -> Column:
     """The contract's text of a document: where its id's hash is divisible by ten, words from one on come round again."""
     h, words = F.crc32(doc_id.cast("string")), split_words(text)
@@ -182,6 +188,7 @@ QUERIES = {
     "op7_host_suffix_array": op7_host_suffix_array,
     "op8_source_mixing": op8_source_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op11_distance_key_negatives": op11_distance_key_negatives,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_crf_personal_data": op13_crf_personal_data,
 }
