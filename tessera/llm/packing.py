@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -134,12 +133,13 @@ def pack_group(lengths: np.ndarray, capacity: int, shares: tuple[float, ...] = (
 
 
 def place(capacity: int):
-    """For applyInPandas: the pieces of one group, each with its sequence and its place there."""
+    """For applyInArrow: the pieces of one group, each with its sequence and its place there."""
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = pack_group(group["length"].to_numpy(), capacity)
-        return group.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)[[c.split()[0] for c in PACKED.split(", ")]]
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        group = group.take(pc.sort_indices(group, sort_keys=order)).select([c.split()[0] for c in PIECES.split(", ")])
+        bins, offsets = pack_group(group.column("length").to_numpy(), capacity)
+        return group.append_column("sequence_id", pa.array((key[0].as_py() << 32) + bins)).append_column("offset", pa.array(offsets))
 
     return run
 
@@ -171,4 +171,4 @@ def pack(
     groups = max(1, -(-pieces.count() // group_size))
     # The rows of a written table have the same numbers whenever a lost task is run again.
     dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("__group").applyInPandas(place(capacity), PACKED)
+    return dealt.groupBy("__group").applyInArrow(place(capacity), PACKED)
