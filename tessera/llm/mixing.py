@@ -13,27 +13,10 @@ from pyspark.sql import functions as F
 from tessera.llm.quality import bind, quoted, split_words
 from tessera.plans.scratch import Scratch
 
-#: So many sources are planned on the driver; a table of more is planned by Spark, to the same targets.
-MOST_SOURCES = 200_000
-#: Of more sources than MOST_SOURCES, shards first draw from groups of so many, and a task then draws within each group.
+#: Shards first draw from groups of so many sources, and a task then draws within each group.
 SOURCES_OF_A_GROUP = 4096
-
-
-def targets(sizes: list[int], weights: list[float], most_repeats: int) -> list[float]:
-    """Each source's share of all words by weight, but at most most_repeats times its size; the excess goes to the others by weight."""
-    out, left, open_ones = [0.0] * len(sizes), float(sum(sizes)), [i for i, n in enumerate(sizes) if n]
-    while open_ones:
-        rate = left / sum(weights[i] for i in open_ones)
-        over = [i for i in open_ones if weights[i] * rate > most_repeats * sizes[i]]
-        if not over:
-            for i in open_ones:
-                out[i] = weights[i] * rate
-            break
-        for i in over:
-            out[i] = float(most_repeats * sizes[i])
-            left -= out[i]
-        open_ones = [i for i in open_ones if i not in set(over)]
-    return out
+#: A source is cut into so many blocks at least, if it has the words: small sources into blocks of few words.
+BLOCKS_OF_A_SOURCE = 256
 
 
 def shard_counts(quotas: np.ndarray, shard: int | Iterable[int], seed: int) -> np.ndarray:
@@ -79,7 +62,7 @@ def measured(docs: DataFrame, scratch: Scratch, text_col: str, source_col: str,
 
 
 def places(rows: DataFrame, sources: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFrame:
-    """(row, id, size, src, source_size, target, blocks, begin): where each row's words begin in its source.
+    """(row, id, size, src, source_size, target, block, blocks, begin): where each row's words begin in its source.
 
     Sizes are summed within buckets of about bucket_rows rows, by hash of id and text, and then over buckets. Of more equal
     rows than a bucket has, each bucket_rows of the table make a bucket.
@@ -98,22 +81,14 @@ def places(rows: DataFrame, sources: DataFrame, scratch: Scratch, bucket_rows: i
     return scratch.keep(placed, "placed")
 
 
-def plan_sources(totals: list, weights: tuple[float, ...], block: int, most_repeats: int) -> list[dict]:
-    """For each source its words, target, blocks, full rounds over them and blocks of one more round."""
-    totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in totals]
-    plan = []
-    for i, (row, size, target) in enumerate(zip(totals, sizes, targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most_repeats), strict=True)):
-        full = min(int(target // size), most_repeats) if size else 0
-        blocks = -(-size // block)
-        part = min(round((target - full * size) / block), blocks) if full < most_repeats else 0
-        plan.append({"of": row["source"], "src": i, "source_size": size, "target": target, "blocks": blocks, "slots": full * blocks + part})
-    return plan
+def plan_sources(totals: DataFrame, scratch: Scratch, weights: tuple[float, ...], block: int, most_repeats: int) -> DataFrame:
+    """(of, src, source_size, target, block, blocks, slots) of sources (source, size), however many there are.
 
-
-def plan_many(totals: DataFrame, scratch: Scratch, weights: tuple[float, ...], block: int, most_repeats: int) -> DataFrame:
-    """The rows of plan_sources for any number of sources: numbered by partitions of their order, targets from one rate of
-    words for each weight that rises until no further source reaches its limit."""
+    Sources are numbered by partitions of their order. Targets come from one rate of words for each weight, that rises until
+    no further source reaches its limit. slots counts the blocks to take: full rounds, and of one more round as many as come
+    nearest to what is left; what rounding leaves is carried on to the next source of the same block length, so that it does
+    not add up over sources.
+    """
     spark = totals.sparkSession
     ordered = scratch.keep(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("at", 33)
@@ -122,11 +97,12 @@ def plan_many(totals: DataFrame, scratch: Scratch, weights: tuple[float, ...], b
         firsts.append((row["part"], first))
         first += row["n"]
     src = F.col("first") + F.col("at").bitwiseAND(F.lit(2**33 - 1))
+    # A row for each partition of the table of sources.
     numbered = ordered.withColumn("part", part).join(F.broadcast(spark.createDataFrame(firsts, "part long, first long")), "part").withColumn("src", src)
     weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("src") % len(weights)).cast("int"))
     weighed = scratch.keep(numbered.select("source", "src", F.col("size").alias("source_size"), weight.alias("weight")), "weighed")
     limit = F.col("source_size") * float(most_repeats)
-    total, rate = float(weighed.agg(F.sum("source_size")).first()[0]), 0.0
+    total, rate = float(weighed.agg(F.sum("source_size")).first()[0] or 0), 0.0
     while True:
         open_one = (F.col("source_size") > 0) & (F.col("weight") * rate <= limit)
         sums = weighed.agg(F.sum(F.when(open_one, F.col("weight")).otherwise(0.0)), F.sum(F.when(open_one, F.lit(0.0)).otherwise(limit))).first()
@@ -134,11 +110,21 @@ def plan_many(totals: DataFrame, scratch: Scratch, weights: tuple[float, ...], b
         if higher <= rate:
             break
         rate = higher
-    planned = weighed.withColumn("target", F.least(limit, F.col("weight") * rate)).withColumn("blocks", F.ceil(F.col("source_size") / block))
+    planned = weighed.withColumn("target", F.least(limit, F.col("weight") * rate))
+    planned = planned.withColumn("block", F.least(F.lit(block), F.greatest(F.lit(1), F.expr(f"source_size div {BLOCKS_OF_A_SOURCE}"))).cast("int"))
+    planned = planned.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")))
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most_repeats))).otherwise(F.lit(0))
-    more = F.least(F.bround((F.col("target") - F.col("full") * F.col("source_size")) / block).cast("long"), F.col("blocks"))
-    slots = F.col("full") * F.col("blocks") + F.when(F.col("full") < most_repeats, more).otherwise(F.lit(0))
-    return scratch.keep(planned.withColumn("full", full).select(F.col("source").alias("of"), "src", "source_size", "target", "blocks", slots.cast("long").alias("slots")), "plan")
+    planned = planned.withColumn("full", full).withColumn("rest", (F.col("target") - F.col("full") * F.col("source_size")) / F.col("block"))
+    planned = planned.withColumn("group", F.expr(f"src div {SOURCES_OF_A_GROUP}"))
+    # Sums of what is left, over groups and then inside each.
+    before = Window.partitionBy("block").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    bases = planned.groupBy("block", "group").agg(F.sum("rest").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0.0))).drop("n")
+    inside = Window.partitionBy("block", "group").orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
+    upto = planned.withColumn("upto", F.sum("rest").over(inside)).join(bases, ["block", "group"]).withColumn("upto", F.col("base") + F.col("upto"))
+    more = F.round(F.col("upto")) - F.round(F.col("upto") - F.col("rest"))
+    more = F.when(F.col("full") < most_repeats, F.least(F.greatest(more, F.lit(0.0)), F.col("blocks"))).otherwise(F.lit(0))
+    slots = F.col("full") * F.col("blocks") + more
+    return scratch.keep(upto.select(F.col("source").alias("of"), "src", "source_size", "target", "block", "blocks", slots.cast("long").alias("slots")), "plan")
 
 
 def draws_of(counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -148,7 +134,7 @@ def draws_of(counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return at, src, firsts[at, src], counts[at, src]
 
 
-def draws_of_many(sources: DataFrame, shard: int, seed: int) -> DataFrame:
+def draws_of_shards(sources: DataFrame, shard: int, seed: int) -> DataFrame:
     """Multinomial draws in two steps, which together are one: each shard's slots of each group, then those of its sources."""
     grouped = sources.select("src", "slots", F.expr(f"src div {SOURCES_OF_A_GROUP}").alias("group"))
     quotas = grouped.groupBy("group").agg(F.sum("slots").alias("n")).orderBy("group").collect()
@@ -175,46 +161,34 @@ def mix(
     seed: int = 1234567,
     bucket_rows: int = 5_000,
     keep_text: bool = False,
-    most_sources: int = MOST_SOURCES,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, takes): the rows of docs with id, src, source_size, target, size and begin; and what the mix takes of them.
-    With keep_text the rows hold all columns of docs in `doc`, and src, size and begin besides.
+    With keep_text the rows hold all columns of docs in `doc`, and src, size, block and begin besides.
 
-    The words of a source, in the order of its documents, are cut into blocks. Output shards draw how many blocks they hold
-    of each source, multinomially by what the sources' targets still leave; the blocks of a source are numbered through
-    all shards, and each number stands for a place in a pseudorandom permutation of the source's blocks, a new permutation
-    for each round over them. Numbers and documents meet by a join on source and block.
+    The words of a source, in the order of its documents, are cut into blocks of `block` words, or of fewer if the source is
+    small. Output shards draw how many blocks they hold of each source, multinomially by what the sources' targets still
+    leave; the blocks of a source are numbered through all shards, and each number stands for a place in a pseudorandom
+    permutation of the source's blocks, a new permutation for each round over them. Numbers and documents meet by a join on
+    source and block.
 
     takes: src, begin (together a row's key), round, index, shard, taken. Sources, by code point with null last, weigh as
-    `weights` repeat; target and limit as in `targets`. A source's taken words differ from its target by a block at most.
+    `weights` repeat and share all words; a target stops at most_repeats times its source's size, and the excess goes to the
+    others by weight. A source's taken words differ from its target by less than two of its blocks.
 
     Offsets of documents are summed within buckets of rows and then over buckets, so a source that holds most of all rows is
-    no single task. More than most_sources sources are planned by Spark instead of on the driver. Null text: size 0. Null source: a source of its own. Null ids are ids like any other. Repeated rows: each
-    is a document. Empty table: empty results. Columns of docs may have any name.
+    no single task; sources are planned by Spark, so there may be as many as there are rows. Null text: size 0. Null source:
+    a source of its own. Null ids are ids like any other. Repeated rows: each is a document. Empty table: empty results.
+    Columns of docs may have any name.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     rows = measured(docs, scratch, text_col, source_col, id_col, keep_text)
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"))
-    few = totals.limit(most_sources + 1).collect()
-    if len(few) <= most_sources:
-        plan = plan_sources(few, weights, block, most_repeats)
-        shape = "of string, src int, source_size long, target double, blocks long, slots long"
-        # At most most_sources rows.
-        sources = F.broadcast(spark.createDataFrame([tuple(p.values()) for p in plan], shape))
-        n_sources, n_slots = len(plan), sum(p["slots"] for p in plan)
-    else:
-        sources = plan_many(totals, scratch, weights, block, most_repeats)
-        n_sources, n_slots = sources.agg(F.count("*"), F.sum("slots")).first()
+    sources = plan_sources(rows.groupBy("source").agg(F.sum("size").alias("size")), scratch, weights, block, most_repeats)
+    n_sources, n_slots = sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
     placed = places(rows, sources, scratch, bucket_rows)
 
     most_shards = max(16, min(10_000, 1_000_000 // max(1, n_sources)))
-    shard = max(4096, -(-n_slots // most_shards))
-    if len(few) <= most_sources:
-        counts = shard_counts(np.array([p["slots"] for p in plan], dtype=np.int64), shard, seed)
-        draws = spark.createDataFrame(list(zip(*(x.tolist() for x in draws_of(counts)), strict=True)), "shard int, src int, first long, n long")
-    else:
-        draws = draws_of_many(sources, shard, seed)
+    draws = draws_of_shards(sources, max(4096, -(-n_slots // most_shards)), seed)
     draws = draws.repartition(max(spark.sparkContext.defaultParallelism, n_slots // 100_000))
     runs = draws.select("shard", "src", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(1024).cast("long"))).alias("low"), (F.col("first") + F.col("n")).alias("end"))
     slots = runs.select("shard", "src", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + 1023, F.col("end") - 1))).alias("slot"))
@@ -222,12 +196,12 @@ def mix(
     spot = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "src", "round"))
     slots = slots.select("shard", "src", "round", spot.alias("index"))
 
-    last = F.expr(f"(begin + size - 1) div {block}")
-    pieces = placed.where("size > 0").select("src", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), last)).alias("index"))
-    overlap = F.least(F.col("begin") + F.col("size"), (F.col("index") + 1) * block) - F.greatest("begin", F.col("index") * block)
+    indexes = F.sequence(F.expr("begin div block"), F.expr("(begin + size - 1) div block"))
+    pieces = placed.where("size > 0").select("src", "begin", "size", "block", F.explode(indexes).alias("index"))
+    overlap = F.least(F.col("begin") + F.col("size"), (F.col("index") + 1) * F.col("block")) - F.greatest("begin", F.col("index") * F.col("block"))
     takes = pieces.join(slots, ["src", "index"]).select("src", "begin", "round", "index", "shard", overlap.alias("taken"))
     if keep_text:
-        placed = rows.select("row", "doc").join(placed.select("row", "src", "size", "begin"), "row")
+        placed = rows.select("row", "doc").join(placed.select("row", "src", "size", "block", "begin"), "row")
     return placed, takes
 
 
@@ -241,22 +215,22 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return found.select(F.col("id").alias(options.get("id_col", "doc_id")), "size", "source_size", "target", words.alias("taken"))
 
 
-def mix_documents(docs: DataFrame, *, text_col: str = "text", block: int = 32, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The mix as documents: for each round that takes words of a document, a row of docs with those words as its text.
 
     A round that takes all of a document gives its text unchanged; otherwise the words of its taken blocks, in order, are
     joined by spaces; a column n_chars is counted anew. Documents that the mix takes nothing of, or that have no words, are
     not in the result.
     """
-    rows, takes = mix(docs, text_col=text_col, block=block, keep_text=True, **options)
+    rows, takes = mix(docs, text_col=text_col, keep_text=True, **options)
     of_round = takes.groupBy("src", "begin", "round").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list("index")).alias("indexes"))
     joined = rows.where("size > 0").join(of_round, ["src", "begin"])
     old = F.col("doc").getField(text_col)
 
     def cut(words: Column) -> Column:
         def one(index: Column) -> Column:
-            low = F.greatest("begin", index * block)
-            high = F.least(F.col("begin") + F.col("size"), (index + 1) * block)
+            low = F.greatest(F.col("begin"), index * F.col("block"))
+            high = F.least(F.col("begin") + F.col("size"), (index + 1) * F.col("block"))
             return F.slice(words, (low - F.col("begin") + 1).cast("int"), (high - low).cast("int"))
 
         return F.array_join(F.flatten(F.transform("indexes", one)), " ")
