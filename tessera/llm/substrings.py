@@ -250,7 +250,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, length: int, hot_limit: i
     are sorted, and of those with several contents the windows too: each fingerprint in one task, or, beyond hot_limit
     stretches, in several that exchange hashes of their first windows.
     """
-    cut = docs.select("doc_id", F.col("body").cast("string").alias("text")).where("doc_id IS NOT NULL").mapInArrow(cut_stretches(length), STRETCHES)
+    cut = docs.select("doc_id", F.col("body").cast("string").alias("text")).mapInArrow(cut_stretches(length), STRETCHES)
     # What is known to be repeated need not meet the others: it is dealt evenly, so no fingerprint grows hot.
     route = F.when(F.expr(STATE) < OTHER, F.col("fp")).otherwise(F.xxhash64("doc_id", "place"))
     found = scratch.keep(cut.repartition(route).sortWithinPartitions("fp").mapInArrow(repeated, STRETCHES), "stretches")
@@ -316,8 +316,38 @@ def rewrite(text_col: str, ranges_col: str):
     return run
 
 
-def as_bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+def keyed_bodies(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, documents): every row of docs with the columns to carry in `doc`, its bytes and the key of its document; and the
+    distinct documents (doc_id, body), by key.
+
+    The key is the doc_id. Rows that share a doc_id are one document if their texts are equal; of unequal ones that with the
+    smallest hash has the doc_id for its key, and the others, like rows without an id, come behind all documents, in the
+    order of a hash of their id and text.
+    """
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in carry)).alias("doc")
+    rows = docs.select(F.col(id_col).cast("long").alias("of"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"), whole)
+    # Ids only; none in most tables.
+    shared = rows.groupBy("of").agg(F.count("*").alias("n")).where("n > 1 OR of IS NULL").select(F.col("of").alias("shared"))
+    shared = scratch.keep(shared, "shared")
+    if shared.isEmpty():
+        keyed = rows.withColumnRenamed("of", "key")
+        return keyed, keyed.select(F.col("key").alias("doc_id"), "body")
+    told = rows.join(shared, F.col("of").eqNullSafe(F.col("shared")), "left_semi").select(F.col("of").alias("shared"), F.xxhash64("body").alias("content"))
+    least = scratch.keep(told.groupBy("shared").agg(F.min("content").alias("least")), "least")
+    own = F.when(F.col("least").isNull() | (F.col("of").isNotNull() & (F.xxhash64("body") == F.col("least"))), F.col("of"))
+    behind = F.xxhash64("of", "body").bitwiseAND(F.lit(2**61 - 1)) + F.lit(2**62)
+    keyed = rows.join(least, F.col("of").eqNullSafe(F.col("shared")), "left").withColumn("key", F.coalesce(own, behind))
+    documents = keyed.select(F.col("key").alias("doc_id"), "body", "least")
+    alone, copies = documents.where("least IS NULL").drop("least"), documents.where("least IS NOT NULL").drop("least")
+    return keyed.select("key", "body", "doc"), scratch.keep(alone.union(copies.dropDuplicates(["doc_id"])), "documents")
+
+
+def with_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, carry: list[str]) -> DataFrame:
+    """The rows of keyed_bodies with the ranges to remove of each."""
+    scratch = Scratch(docs.sparkSession, "substrings")
+    rows, documents = keyed_bodies(docs, scratch, id_col, text_col, carry)
+    ranges = repeated_ranges(documents, scratch, length).withColumnRenamed("doc_id", "key")
+    return rows.join(ranges, "key", "left")
 
 
 def repeats_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -326,21 +356,21 @@ def repeats_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Texts count as UTF-8 bytes. A byte goes if a `length`-byte string covers it that also starts earlier: in a document of
     smaller doc_id, or further ahead in the same one. Strings never cross documents and are judged on the input.
 
-    Null text: an empty one. Null doc_id: the row takes no part and loses nothing. Rows that share a doc_id must be equal;
-    they are no copies of each other. Texts shorter than `length` lose nothing. Empty table: empty result. Only id_col and
-    text_col are read, so other columns do not matter. Memory is that of one text, of up to 2 GB, and a few megabytes more.
+    Null text: an empty one. Repeated rows (one doc_id, equal texts) are one document, no copies of each other, and all have
+    its result. Of unequal texts with one doc_id that with the smallest hash stands at that id; the others, and rows without
+    an id, stand behind all documents, in the order of a hash. Texts shorter than `length` lose nothing. Empty table: empty
+    result. Only id_col and text_col are read, so other columns do not matter. Memory is that of one text, of up to 2 GB, and
+    a few megabytes more.
     """
-    bodies = as_bodies(docs, id_col, text_col)
-    ranges = repeated_ranges(bodies, Scratch(docs.sparkSession, "substrings"), length)
+    rows = with_ranges(docs, id_col, text_col, length, [id_col])
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return bodies.join(ranges, "doc_id", "left").select("doc_id", "body", "ranges").mapInArrow(digest_rest, shape)
+    return rows.select(F.col("doc").getField(id_col).cast("long").alias("doc_id"), "body", "ranges").mapInArrow(digest_rest, shape)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """docs with the text that `repeats_report` leaves; characters that a removed range cuts into go whole."""
-    ranges = repeated_ranges(as_bodies(docs, id_col, text_col), Scratch(docs.sparkSession, "substrings"), length)
-    # Names that no column of docs has.
-    longest = "_" * (1 + max(map(len, docs.columns)))
-    of_doc = ranges.select(F.col("doc_id").alias(longest + "doc"), F.col("ranges").alias(longest + "ranges"))
-    joined_docs = docs.join(of_doc, docs[id_col] == of_doc[longest + "doc"], "left").drop(longest + "doc")
-    return joined_docs.mapInArrow(rewrite(text_col, longest + "ranges"), docs.schema)
+    rows = with_ranges(docs, id_col, text_col, length, docs.columns).drop("body")
+    # A name that no column of docs has.
+    ranges = "_" * (1 + max(map(len, docs.columns))) + "ranges"
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*own, F.col("ranges").alias(ranges)).mapInArrow(rewrite(text_col, ranges), docs.schema)

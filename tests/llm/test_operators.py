@@ -379,8 +379,9 @@ def passage_rows(seed, n=150):
 def test_repeats(spark, hot_limit):
     rows = passage_rows(hot_limit)
     docs = spark.createDataFrame(rows, DOCS)
-    bodies = substrings.as_bodies(docs, "doc_id", "text")
-    ranges = substrings.repeated_ranges(bodies, substrings.Scratch(spark, "t"), 100, hot_limit)
+    scratch = substrings.Scratch(spark, "t")
+    _, bodies = substrings.keyed_bodies(docs, scratch, "doc_id", "text", ["doc_id"])
+    ranges = substrings.repeated_ranges(bodies, scratch, 100, hot_limit)
     got = bodies.join(ranges, "doc_id", "left").select("doc_id", "body", "ranges").mapInArrow(substrings.digest_rest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     want = cut_plain(rows, 100)
     assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == want
@@ -397,6 +398,25 @@ def test_repeats_odd(spark, odd):
     assert {(r["doc_id"], r["text"], r["__ranges"], r["ranges"]) for r in substrings.remove_repeats(clash).collect()} == {(1, "rs", 3, "mine"), (2, "", 4, "mine")}
 
 
+def test_repeated_rows_are_one_document(spark):
+    rng = random.Random(8)
+    text = " ".join(f"word{rng.randint(0, 900)}" for _ in range(500))
+    head = " ".join(f"head{rng.randint(0, 900)}" for _ in range(60))
+    rows = [(7, text + head, "s")] * 2000 + [(9, "of its own " + head, "s")] + [(None, head * 2, "s")] * 3
+    unequal = [(20, "x" * 30 + text[:400], "s"), (20, text[:300] + "y" * 30, "s"), (20, "no copy of anything", "s")]
+    docs = spark.createDataFrame(rows + unequal, DOCS)
+    got = Counter(tuple(r) for r in substrings.repeats_report(docs).collect())
+    distinct = {7: text + head, 9: rows[2000][1]}
+    _, documents = substrings.keyed_bodies(docs, substrings.Scratch(spark, "t"), "doc_id", "text", ["doc_id"])
+    keys = {bytes(r["body"]).decode(): r["doc_id"] for r in documents.collect()}
+    assert len(keys) == 6 and [keys[t] for t in distinct.values()] == [7, 9] and keys[head * 2] >= 2**62 and sum(keys[t] == 20 for _, t, _ in unequal) == 1
+    want = cut_plain([(k, t, "s") for t, k in keys.items()], 100)
+    assert got == Counter((i, *want[keys[t]]) for i, t, _ in rows + unequal)
+    assert want[7][1:3] == (0, 0) and want[9][2] == 1
+    left = substrings.remove_repeats(docs).collect()
+    assert Counter(r["doc_id"] for r in left) == Counter(i for i, _, _ in rows + unequal) and {r["text"] for r in left if r["doc_id"] == 7} == {text + head}
+
+
 # --- html
 
 
@@ -516,6 +536,19 @@ def test_permutation(spark):
         assert sorted(r["p"] for r in df.collect()) == list(range(n))
 
 
+def plain_targets(sizes, weights, most_repeats):
+    """Each source's share of all words by weight, but at most most_repeats times its size; the excess goes to the others by weight."""
+    out, left, open_ones = [0.0] * len(sizes), float(sum(sizes)), [i for i, n in enumerate(sizes) if n]
+    while open_ones:
+        rate = left / sum(weights[i] for i in open_ones)
+        over = [i for i in open_ones if weights[i] * rate > most_repeats * sizes[i]]
+        for i in over or open_ones:
+            out[i] = float(most_repeats * sizes[i]) if over else weights[i] * rate
+            left -= out[i]
+        open_ones = [i for i in open_ones if i not in set(over)] if over else []
+    return out
+
+
 def test_mix(spark, odd):
     rng = random.Random(10)
     rows = [(i, " ".join(f"w{i}x{j}" for j in range(rng.randint(0, 400))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(200)]
@@ -524,7 +557,7 @@ def test_mix(spark, odd):
     assert {i: r["size"] for i, r in report.items()} == {i: len(words_of(t)) for i, t, _ in rows}
     names = ["a", "b", "c", None]
     sizes = [sum(len(words_of(t)) for _, t, s in rows if s == n) for n in names]
-    want = dict(zip(names, mixing.targets(sizes, [5, 2, 1, 5], 3), strict=True))
+    want = dict(zip(names, plain_targets(sizes, [5, 2, 1, 5], 3), strict=True))
     for n, size in zip(names, sizes, strict=True):
         own = [report[i] for i, _, s in rows if s == n]
         assert {(r["source_size"], round(r["target"], 6)) for r in own} == {(size, round(want[n], 6))}
@@ -553,25 +586,31 @@ def test_mix_of_equal_rows(spark):
 
 
 def test_mix_of_many_sources(spark, monkeypatch):
-    """Planned by Spark, to the targets of the plan on the driver."""
+    """In groups of few, to the targets of a plain plan."""
     monkeypatch.setattr(mixing, "SOURCES_OF_A_GROUP", 16)
     rng = random.Random(19)
     names = sorted(f"s{i}" for i in range(50)) + [None]
     rows = [(i, " ".join(["w"] * rng.choice([0, 5, 90, 400])), names[min(50, int(rng.expovariate(0.08)))]) for i in range(300)]
     rows += [(1000 + i, None, n) for i, n in enumerate(names)]
     docs = spark.createDataFrame(rows, DOCS)
-    report = {r["doc_id"]: r for r in mixing.mix_report(docs, block=8, most_sources=10).collect()}
-    plain = {r["doc_id"]: r for r in mixing.mix_report(docs, block=8).collect()}
+    report = {r["doc_id"]: r for r in mixing.mix_report(docs, block=8).collect()}
     assert {i: r["size"] for i, r in report.items()} == {i: len(words_of(t)) for i, t, _ in rows}
-    for n in names:
+    sizes = [sum(len(words_of(t)) for _, t, s in rows if s == n) for n in names]
+    for n, size, target in zip(names, sizes, plain_targets(sizes, [(5, 2, 1)[i % 3] for i in range(51)], 3), strict=True):
         own = [i for i, _, s in rows if s == n]
-        assert {(report[i]["source_size"], round(report[i]["target"], 6)) for i in own} == {(plain[i]["source_size"], round(plain[i]["target"], 6)) for i in own}
-        assert abs(sum(report[i]["taken"] for i in own) - report[own[0]]["target"]) <= 16
+        assert {(report[i]["source_size"], round(report[i]["target"], 6)) for i in own} == {(size, round(target, 6))}
+        assert abs(sum(report[i]["taken"] for i in own) - target) < 2 * max(1, min(8, size // 256))
     assert all(r["taken"] <= 3 * r["size"] for r in report.values())
-    again = mixing.mix_report(docs.repartition(3), block=8, most_sources=10).collect()
+    again = mixing.mix_report(docs.repartition(3), block=8).collect()
     assert {i: r["taken"] for i, r in report.items()} == {r["doc_id"]: r["taken"] for r in again}
 
 
+def test_mix_of_sources_smaller_than_a_block(spark):
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "'a b c d e f g h i j' AS text", "concat('s', lpad(id, 6, '0')) AS source")
+    rows = mixing.mix_report(docs).collect()
+    assert abs(sum(r["taken"] for r in rows) - 100_000) <= 32 and all(abs(r["taken"] - r["target"]) <= 1 for r in rows)
+
+
 def test_mix_against_plain_slots(spark):
     """Every slot of every source, permuted one by one, against the operator's joins."""
     rng = random.Random(17)
@@ -580,18 +619,21 @@ def test_mix_against_plain_slots(spark):
     spots, wanted = placed.collect(), Counter()
     for r in takes.collect():
         wanted[r["src"], r["begin"]] += r["taken"]
-    plan = {r["src"]: (r["blocks"], r["source_size"], r["target"]) for r in spots}
+    plan = {r["src"]: (r["block"], r["blocks"], r["source_size"], r["target"]) for r in spots}
     used = defaultdict(Counter)
     for r in takes.select("src", "round", "index").distinct().collect():
         used[r["src"]][r["round"], r["index"]] += 1
-    for src, (blocks, size, target) in plan.items():
+    carried = Counter()
+    for src, (block, blocks, size, target) in sorted(plan.items()):
+        assert block == min(8, max(1, size // 256)) and blocks == -(-size // block)
         full = min(int(target // size), 3)
-        part = min(round((target - full * size) / 8), blocks) if full < 3 else 0
+        part = math.floor((target - full * size) / block + carried[block] + 0.5)
+        carried[block] += (target - full * size) / block - part
         rounds = Counter(r for r, _ in used[src])
         assert rounds == Counter({r: n for r, n in [(r, blocks) for r in range(full)] + [(full, part)] if n})
         for r in spots:
             if r["src"] == src and r["size"]:
-                own = sum(max(0, min(r["begin"] + r["size"], 8 * i + 8) - max(r["begin"], 8 * i)) for _, i in used[src])
+                own = sum(max(0, min(r["begin"] + r["size"], block * (i + 1)) - max(r["begin"], block * i)) for _, i in used[src])
                 assert wanted[src, r["begin"]] == own
 
 
@@ -687,6 +729,9 @@ def test_packing(spark, odd):
             at += length
         assert at <= 512
     assert packing.pack(empty(spark), tokenizer_file=tokenizer_file()).count() == 0
+    large = [(None, "a"), (2**60 + 1, "b c"), (2**53 + 1, "d"), (-(2**62) - 1, None)]
+    found = packing.pack(spark.createDataFrame(large, "doc_id long, text string").coalesce(1), tokenizer_file=tokenizer_file()).collect()
+    assert {r["doc_id"] for r in found} == {i for i, _ in large}
 
 
 def test_ids_of_any_text():
