@@ -56,21 +56,6 @@ def within_budget(links: DataFrame, max_pages: int, counted: int, order: list[Co
     return links.orderBy(*order).limit(max(0, int(max_pages) - counted))
 
 
-def spacing(requests: DataFrame, host_col: str, time_col: str, least_ms: int = 1000, delays: DataFrame | None = None) -> DataFrame:
-    """Milliseconds since the host's last request (`gap_ms`) and how long the request had to wait (`wait_ms`).
-
-    delays (host_col, delay_ms) overrides the spacing of single hosts.
-    """
-    by = Window.partitionBy(host_col).orderBy(time_col)
-    now = F.unix_millis(F.col(time_col).cast("timestamp"))
-    out = requests.withColumn("gap_ms", now - F.lag(now).over(by))
-    delay = F.lit(least_ms)
-    if delays is not None:
-        out = out.join(delays, host_col, "left")
-        delay = F.coalesce("delay_ms", delay)
-    return out.withColumn("wait_ms", F.greatest(F.lit(0), delay - F.coalesce("gap_ms", delay)))
-
-
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url) that rules (host, prefix, allow) let through: the longest matching prefix decides, allow on ties or none."""
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)

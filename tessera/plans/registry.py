@@ -70,12 +70,6 @@ def seed_changes(t):
     return crawl.seed_changes(bare.where("page_id % 3 <> 0").select("url"), bare.where("page_id % 3 <> 1").select("url"))
 
 
-@query("""SELECT event_id, user_id, coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id), -1) AS gap_ms,
-  greatest(0, 60000 - coalesce(epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id), 60000)) AS wait_ms FROM events""")
-def domain_spacing(t):
-    return crawl.spacing(t("events").select("event_id", "user_id", "ts"), "user_id", "ts", 60_000).select("event_id", "user_id", F.coalesce("gap_ms", F.lit(-1)).alias("gap_ms"), "wait_ms")
-
-
 @query("""SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_custkey, o_orderkey LIMIT 500""")
 def priority_frontier(t):
     tasks = t("orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("priority"), F.col("o_custkey").alias("depth"), F.col("o_orderkey").alias("seq"))
