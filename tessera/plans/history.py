@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import admission
 from tessera.plans.registry import query
+from tessera.streaming import jobs
 
 STEPS = """e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events)"""
 
@@ -49,3 +50,24 @@ def admitted_requests(t):
 SELECT event_id, user_id, allowed, state FROM b WHERE n > 0""")
 def breaker_states(t):
     return admission.breaker_states(t("events"), "user_id", at_ms(), "event_id", F.col("event_type") != "error", 2, 43_200_000, 2).drop("at_ms")
+
+
+NOON = 1_705_752_000_000  # a time within the events, in milliseconds
+
+
+@query(f"""WITH p AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE epoch_us(ts) // 1000 <= {NOON}),
+q AS (SELECT *, lead(ms, 1, {NOON}) OVER (PARTITION BY user_id ORDER BY ms, event_id) - ms AS pause FROM p),
+cut AS (SELECT user_id, max(ms) FILTER (WHERE pause >= 86400000) AS dead FROM q GROUP BY user_id),
+held AS (SELECT q.*, row_number() OVER (PARTITION BY q.user_id ORDER BY ms DESC, event_id DESC) AS n FROM q JOIN cut USING (user_id) WHERE dead IS NULL OR ms > dead)
+SELECT user_id::VARCHAR AS job_id, event_id, ms AS at_ms FROM held WHERE n <= 5""")
+def capped_log(t):
+    events = t("events").select(F.col("user_id").cast("string").alias("job_id"), "event_id", at_ms().alias("at_ms"))
+    return jobs.log_at(events, NOON, 5, 86_400_000)
+
+
+@query("""WITH x AS (SELECT o_custkey % 200 AS job, year(o_orderdate) AS v, o_orderkey AS id FROM orders),
+n AS (SELECT job, v, list_sort(list(id)) AS ids FROM x GROUP BY ALL)
+SELECT job::VARCHAR AS job_id, v::BIGINT AS schema_version, array_to_string(ids[1:12], ',') AS extraction_ids FROM n WHERE len(ids) >= 12""")
+def evolution_batches(t):
+    extractions = t("orders").select((F.col("o_custkey") % 200).cast("string").alias("job_id"), F.year("o_orderdate").cast("long").alias("schema_version"), F.col("o_orderkey").alias("extraction_id"))
+    return jobs.batches_due(extractions, 12).withColumn("extraction_ids", F.array_join("extraction_ids", ","))
