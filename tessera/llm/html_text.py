@@ -37,10 +37,12 @@ CLOSES_P = frozenset(
 )
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-COMMENT_NAMES = frozenset("comment comments reply replies disqus discussion respond".split())
+COMMENT_NAMES = frozenset("comment comments feedback reply replies disqus discussion respond responses".split())
 CHROME_NAMES = COMMENT_NAMES | frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads adsense advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended login search searchbox pagination pager toolbar widget".split()
 )
+# Inside an article these may as well name its subject or a part of it: a list of dishes, a lead, a quoted form.
+UNSURE_NAMES = frozenset("menu banner search searchbox fieldset".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 # The last part of a name tells what an element is, but for parts that tell of its shape or place.
 SHAPES = frozenset(
@@ -51,7 +53,7 @@ TITLED = frozenset("article content entry page post section story".split())
 # A name such as `has-sidebar` or `ad-free` tells about what is beside an element.
 NEGATED = frozenset("has with no without free".split())
 NAME_PARTS = re.compile(r"[^a-z0-9]+")
-PLAIN, MAYBE, CHROME = range(3)
+PLAIN, UNSURE, MAYBE, CHROME = range(4)
 #: Where a block stands: in the main text, or where boilerplate is likelier.
 MAIN, ASIDE = 0, 1
 
@@ -72,8 +74,8 @@ def named(mark: str) -> str | None:
 
 
 def kind_of(tag: str, attributes: str, in_text: bool) -> tuple[int, bool]:
-    """Whether an element is chrome for certain, maybe or not at all, and whether it holds readers' comments."""
-    kind = CHROME if tag in NEVER else MAYBE if tag in SELDOM and not (tag == "header" and in_text) else PLAIN
+    """Whether an element is chrome for certain, maybe, hardly or not at all, and whether it holds readers' comments."""
+    kind = UNSURE if in_text and tag in UNSURE_NAMES else CHROME if tag in NEVER else MAYBE if tag in SELDOM and not (tag == "header" and in_text) else PLAIN
     comments = False
     for name, a, b, c in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
@@ -81,7 +83,7 @@ def kind_of(tag: str, attributes: str, in_text: bool) -> tuple[int, bool]:
             found = set(filter(None, map(named, value.split())))
             comments = comments or not COMMENT_NAMES.isdisjoint(found)
             if found and tag not in ("html", "body", "main", "article") or comments and tag == "article":
-                kind = max(kind, MAYBE)
+                kind = max(kind, UNSURE if in_text and found <= UNSURE_NAMES else MAYBE)
         elif name == "role" and value.lower() in CHROME_ROLES and tag not in ("html", "body", "main", "article"):
             kind = max(kind, MAYBE)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -100,14 +102,15 @@ class Element:
 
 
 class PageReader:
-    """Blocks of a page as (text, in an article or main element, number of the outermost element that may be chrome or -1)."""
+    """Blocks of a page as (text, whether in an article or main element, number of the outermost element that may be chrome or
+    -1, whether in an element of an article that is hardly chrome)."""
 
     def __init__(self, page: str) -> None:
-        self.blocks: list[tuple[str, bool, int]] = []
+        self.blocks: list[tuple[str, bool, int, bool]] = []
         self.maybe: list[Element] = []
         self.parts: list[str] = []
         self.stack: list[Element] = []
-        self.skipping = self.zones = self.marked = 0
+        self.skipping = self.zones = self.marked = self.unsure = 0
         # Chrome inside a line: its tag, how many such tags are open, and the depth of the stack where it began.
         self.inline: tuple[str, int, int] | None = None
         self.read(page)
@@ -117,7 +120,7 @@ class PageReader:
             text = " ".join("".join(self.parts).split())
             self.parts.clear()
             if text:
-                self.blocks.append((text, self.zones > 0, len(self.maybe) - 1 if self.marked else -1))
+                self.blocks.append((text, self.zones > 0, len(self.maybe) - 1 if self.marked else -1, self.unsure > 0))
 
     def add(self, text: str) -> None:
         if not self.skipping and self.inline is None:
@@ -133,6 +136,7 @@ class PageReader:
                 self.maybe.append(element)
         self.stack.append(element)
         self.skipping += kind == CHROME
+        self.unsure += kind == UNSURE
         self.zones += tag in ("article", "main")
 
     def pop(self) -> None:
@@ -144,6 +148,7 @@ class PageReader:
         self.stack.pop()
         self.skipping -= element.kind == CHROME
         self.marked -= element.kind == MAYBE
+        self.unsure -= element.kind == UNSURE
         self.zones -= element.tag in ("article", "main")
         if self.inline and self.inline[2] > len(self.stack):
             self.inline = None
@@ -174,7 +179,7 @@ class PageReader:
             elif self.inline:
                 if self.inline[0] == tag and tag not in VOID:
                     self.inline = (tag, self.inline[1] + 1, self.inline[2])
-            elif attributes and tag not in VOID and kind_of(tag, attributes, True)[0] != PLAIN:
+            elif attributes and tag not in VOID and kind_of(tag, attributes, True)[0] > UNSURE:
                 self.inline = (tag, 1, len(self.stack))
             return
         if tag in CLOSES_P:
@@ -219,15 +224,16 @@ def content_blocks(page: str) -> list[tuple[str, int]]:
 
     Elements that tags, names or roles call chrome go, but a page is not emptied by names: where nothing else is in an
     article or main element, one that is all of the text, or most of it in several blocks, stays as ASIDE, and the pages
-    beside it have to tell. ASIDE too is what stands outside the article and main elements of a page that has such text.
+    beside it have to tell. ASIDE too is what stands outside the article and main elements of a page that has such text, and
+    what inside them has a name that may tell of its subject (UNSURE_NAMES): only repetition makes it boilerplate.
     """
     reader = PageReader(page)
-    free = [(text, zone) for text, zone, mark in reader.blocks if mark < 0]
+    free = [(text, zone) for text, zone, mark, _ in reader.blocks if mark < 0]
     zoned = any(zone for _, zone in free)
     contested: set[int] = set()
     if not zoned:
         sizes, blocks = defaultdict(int), defaultdict(int)
-        for text, _, mark in reader.blocks:
+        for text, _, mark, _ in reader.blocks:
             sizes[mark] += len(text)
             blocks[mark] += 1
         rest = sizes.pop(-1, 0)
@@ -235,9 +241,9 @@ def content_blocks(page: str) -> list[tuple[str, int]]:
         if most >= 0 and (not rest or (sizes[most] > rest and blocks[most] > 1 and not reader.maybe[most].comments)):
             contested.add(most)
     out = []
-    for text, zone, mark in reader.blocks:
+    for text, zone, mark, unsure in reader.blocks:
         if mark < 0:
-            out.append((text, MAIN if zone or not zoned else ASIDE))
+            out.append((text, MAIN if not unsure and (zone or not zoned) else ASIDE))
         elif mark in contested:
             out.append((text, ASIDE))
     return out
@@ -246,10 +252,10 @@ def content_blocks(page: str) -> list[tuple[str, int]]:
 class TokenHashes(dict):
     """31-bit hashes of tokens, doubled, worked out when first asked for."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, length: int, most: int = 300_000) -> None:
         import xxhash
 
-        self.hash, self.most = xxhash.xxh32_intdigest, most
+        self.hash, self.length, self.most = xxhash.xxh32_intdigest, length, most
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.most:
@@ -258,13 +264,21 @@ class TokenHashes(dict):
         return value
 
     def of(self, text: str, places: list[int]) -> np.ndarray:
-        """Hashes of the tokens of a page's blocks, with the block's place in the lowest bit."""
+        """Hashes of the tokens of a page's blocks, with the block's place in the lowest bit.
+
+        A block shorter than a run stands between signs that fill it up to one, so it is a run as a whole.
+        """
         words = [block.split(" ") for block in text.split("\n")] if text else []
-        sizes = list(map(len, words))
-        found = np.fromiter((self[w] for own in words for w in own), dtype=np.uint32, count=sum(sizes))
+        filled = [w if len(w) >= self.length else [BEGIN, *w, *[END] * (self.length - 1 - len(w))] for w in words]
+        sizes = list(map(len, filled))
+        found = np.fromiter((self[w] for own in filled for w in own), dtype=np.uint32, count=sum(sizes))
         return found | np.repeat(np.array(places, dtype=np.uint32), sizes)
 
 
+#: No tokens of a text, which have no white space.
+BEGIN, END = "\n", "\n\n"
+
+
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: (struct of the page's columns, html) to (the same, blocks joined by line feeds, their places)."""
     for keys, pages in grouped_texts(batches):
@@ -275,13 +289,17 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "text", "places"])
 
 
-def token_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def token_streams(length: int):
     """For mapInArrow: (host, shards, shard, text, places) to (host, shards, shard, hashes of the page's tokens)."""
-    hashes = TokenHashes()
-    for batch in batches:
-        tokens = [hashes.of(t, p).tobytes() for t, p in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)]
-        names = ["host", "shards", "shard"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(tokens, pa.binary())], names=[*names, "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = TokenHashes(length)
+        for batch in batches:
+            tokens = [hashes.of(t, p).tobytes() for t, p in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)]
+            names = ["host", "shards", "shard"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(tokens, pa.binary())], names=[*names, "tokens"])
+
+    return run
 
 
 def run_hashes(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -362,7 +380,7 @@ def held_runs(length: int):
     """For mapInArrow: (host, text, places, runs) to (host, run), once for each of the runs that a page holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = TokenHashes()
+        hashes = TokenHashes(length)
         for batch in batches:
             hosts, held = [], []
             for host, text, places, runs in zip(*(batch.column(n).to_pylist() for n in ("host", "text", "places")), batch.column("runs"), strict=True):
@@ -391,8 +409,9 @@ def without_runs(text: str, tokens: np.ndarray, verdicts: list[np.ndarray], leng
     out, at = [], 0
     for block in text.split("\n"):
         words = block.split(" ")
-        out.append(" ".join(w for w, g in zip(words, gone[at : at + len(words)].tolist(), strict=True) if not g))
-        at += len(words)
+        short = len(words) < length
+        out.append(" ".join(w for w, g in zip(words, gone[at + short : at + short + len(words)].tolist(), strict=True) if not g))
+        at += max(len(words), length)
     return "\n".join(b for b in out if b)
 
 
@@ -400,7 +419,7 @@ def drop_runs(length: int):
     """For mapInArrow: (page_id, url, text, places, runs by place) to (page_id, url, text) without those runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none, hashes = np.empty(0, dtype=np.int64), TokenHashes()
+        none, hashes = np.empty(0, dtype=np.int64), TokenHashes(length)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             lists = [batch.column("main_runs"), batch.column("aside_runs")]
@@ -423,7 +442,7 @@ def boilerplate(pages: DataFrame, scratch: Scratch, length: int, least_pages: in
     # The rows of a written table have the same numbers whenever a lost task is run again.
     dealt = pages.select("host", "text", "places", F.monotonically_increasing_id().alias("row")).join(sizes, "host")
     dealt = dealt.select("host", "shards", F.pmod(F.xxhash64("row"), "shards").alias("shard"), "text", "places")
-    streams = dealt.mapInArrow(token_streams, "host string, shards long, shard long, tokens binary")
+    streams = dealt.mapInArrow(token_streams(length), "host string, shards long, shard long, tokens binary")
     runs = streams.groupBy("host", "shard").applyInArrow(shared_runs(length, least_pages, shares), "host string, run long, place int, open boolean")
     runs = scratch.keep(runs.distinct(), "runs")
     waiting = runs.where("open").groupBy("host").agg(F.collect_set("run").alias("runs"))
@@ -452,7 +471,7 @@ def main_text(
 
     Elements that are no article text by tag, name, role or visibility go; what that leaves open (`content_blocks`) the
     pages of the host decide. Their token streams are concatenated, and a suffix array finds the runs of run_length tokens
-    that repeat over distinct pages: boilerplate is what least_pages pages and a share of the host's pages hold, main_share
+    that repeat over distinct pages (a shorter block counts as a run): boilerplate is what least_pages pages and a share of the host's pages hold, main_share
     of them inside the main text and aside_share beside it. Covered tokens go, unique runs stay. The main text of a page
     stays if all of it would go, for no page is boilerplate alone.
 

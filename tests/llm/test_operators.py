@@ -467,7 +467,9 @@ def plain_main_text(rows, length=8, least=3, shares=(0.5, 0.01)):
     read, held, pages = [], defaultdict(set), Counter()
     for n, (i, url, page) in enumerate(rows):
         m = re.match(r"https?://([^/]+)", url or "")
-        tokens = [(w, k, b) for b, (t, k) in enumerate(html_text.content_blocks(page or "")) for w in t.split()]
+        # A short block counts as a run of its own.
+        filled = lambda words: words if len(words) >= length else ["<", *words, *[">"] * (length - 1 - len(words))]
+        tokens = [(w, k, b) for b, (t, k) in enumerate(html_text.content_blocks(page or "")) for w in filled(t.split())]
         read.append((i, url, m[1] if m else n, tokens))
         pages[read[-1][2]] += 1
         for at in range(len(tokens) - length + 1):
@@ -485,7 +487,7 @@ def plain_main_text(rows, length=8, least=3, shares=(0.5, 0.01)):
             gone -= main
         blocks = defaultdict(list)
         for n, (w, _, b) in enumerate(tokens):
-            if n not in gone:
+            if n not in gone and w not in ("<", ">"):
                 blocks[b].append(w)
         text = "\n".join(" ".join(b) for b in blocks.values())
         out.append((i, url, text, len(text)))
@@ -514,6 +516,24 @@ def test_main_text(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+def test_pages_of_a_host_decide_about_short_and_named_blocks(spark):
+    """The text told by the fixture itself: what each page has of its own, between what its host repeats."""
+    rng = random.Random(21)
+    prose = lambda n=25: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(40):
+        lead, body, dishes, found, short = prose(), prose(), prose(12), prose(12), prose(3)
+        inside = f'<div class="banner">{lead}</div><p>{body}</p><div class="menu">{dishes}</div><div class="search">{found}</div><p>{short}</p>'
+        around = '<div>Home About Contact</div>{}<div>Follow us</div><div class="user-feedback"><p>I like it %d</p></div>' % i
+        rows.append((i, f"https://plain.com/{i}", around.format(f"<p>{lead}</p><p>{body}</p><p>{short}</p>")))
+        want[i] = "\n".join((lead, body, short))
+        again = '<div class="menu">All our pages at a glance, sorted by their names</div>' if i % 2 else ""
+        rows.append((100 + i, f"https://zoned.com/{i}", f"<nav>Home</nav><article>{inside}{again}<fieldset>{found} too</fieldset></article>"))
+        want[100 + i] = "\n".join((lead, body, dishes, found, short, f"{found} too"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()} == want
+
+
 def test_large_group_of_equal_pages(spark):
     rows = spark.range(5000).selectExpr("CAST(NULL AS LONG) AS page_id", "'https://a.com/' AS url", "'<p>one two three four five six seven eight nine</p>' AS html")
     got = html_text.main_text(rows).groupBy("text").count().collect()
