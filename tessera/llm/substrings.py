@@ -166,7 +166,7 @@ def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def compare_windows(length: int, block: int = 40_000):
+def compare_windows(length: int, block: int = 15_000):
     """For mapInArrow over (fp, doc_id, place, hot, body) in the order of fp: byte ranges that occur earlier in a stretch of
     the same fingerprint, as kind 0 rows (doc_id, low, high).
 
