@@ -12,9 +12,12 @@ RETRYABLE = (408, 425, 429)
 
 
 def content_dedup(pages: DataFrame, html_col: str, order: list[Column], tenant: list[str] | None = None) -> DataFrame:
-    """The first page of each content, by hash (within a tenant)."""
-    by = Window.partitionBy(*(tenant or []), F.sha2(F.col(html_col), 256)).orderBy(*order)
-    return pages.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
+    """The first page of each content, by hash (within a tenant).
+
+    Pages of one hash are reduced before they are shuffled, so a content that very many pages share is no single task.
+    """
+    first = F.min_by(F.struct("*"), F.struct(*order)).alias("page")
+    return pages.groupBy(*(tenant or []), F.sha2(F.col(html_col), 256).alias("__hash")).agg(first).select("page.*")
 
 
 def http_gate(pages: DataFrame, status_col: str = "status_code") -> DataFrame:
@@ -27,13 +30,14 @@ def extractable(pages: DataFrame, column: str = "classification") -> DataFrame:
     return pages.where(F.col(column).isin(*EXTRACTABLE))
 
 
-def score_links(links: DataFrame, answers: DataFrame) -> DataFrame:
-    """links (url) with scores from answers (url, score, expected, priority).
+def score_links(links: DataFrame, answers: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """links (url) with scores from answers (url, score, expected, priority): a URL's first answer by the columns of `order`
+    (by its own texts, if none).
 
     Missing: 0.5, unknown, medium. A score of 0 counts as missing; scores stay within 0 and 1; odd words become the defaults.
     """
-    first = Window.partitionBy("url").orderBy(F.monotonically_increasing_id())
-    known = answers.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    told = F.struct("score", "expected", "priority")
+    known = answers.groupBy("url").agg(F.min_by(told, F.struct(*(order or []), "score", "expected", "priority")).alias("a")).select("url", "a.*")
     score = F.coalesce(F.nullif(F.col("score").try_cast("double"), F.lit(0.0)), F.lit(0.5))
     expected = F.when(F.col("expected").isin(*EXTRACTABLE, "navigation", "irrelevant"), F.col("expected")).otherwise("unknown")
     priority = F.when(F.col("priority").isin("high", "medium", "low"), F.col("priority")).otherwise("medium")
@@ -56,15 +60,6 @@ def within_budget(links: DataFrame, max_pages: int, counted: int, order: list[Co
     return links.orderBy(*order).limit(max(0, int(max_pages) - counted))
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url) that rules (host, prefix, allow) let through: the longest matching prefix decides, allow on ties or none."""
-    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
-    keyed = urls.withColumn("__host", host("url")).withColumn("__path", F.when(path == "", "/").otherwise(path)).withColumn("__row", F.monotonically_increasing_id())
-    hits = keyed.join(rules, (keyed["__host"] == rules["host"]) & keyed["__path"].startswith(rules["prefix"]))
-    best = hits.groupBy("__row").agg(F.max_by("allow", F.struct(F.length("prefix"), F.col("allow"))).alias("__allow"))
-    return keyed.join(best, "__row", "left").where(F.coalesce("__allow", F.lit(True))).select(*urls.columns)
-
-
 def completeness(tasks: DataFrame, by: str = "job_id") -> DataFrame:
     """Counts by status for each job; complete if nothing waits or runs; failed if all that ended failed."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)

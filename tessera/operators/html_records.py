@@ -12,9 +12,10 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from tessera.functions.text import CURRENCY_CODES, CURRENCY_MARKS, STOP_WORDS
 from tessera.functions.urls import resolve_one
@@ -28,6 +29,10 @@ BLOCKS = frozenset("p div section article header footer main aside nav ul ol tab
 PRICE = re.compile(rf"[{CURRENCY_MARKS}]\s*\d[\d,]*(?:\.\d+)?|\d[\d,]*(?:\.\d+)?\s*(?:{'|'.join(CURRENCY_CODES)})\b")
 
 
+def tree(page: str | Node) -> Node:
+    return page if isinstance(page, Node) else parse(page)
+
+
 class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
@@ -95,19 +100,19 @@ def parse(page: str) -> Node:
     return Tree(page).root
 
 
-def links_of(page: str, base: str) -> list[tuple[str, str | None, str | None]]:
+def links_of(page: str | Node, base: str) -> list[tuple[str, str | None, str | None]]:
     """Resolved links in order, each address once, with text and rel where they have any."""
     found: dict[str, tuple] = {}
-    for a in parse(page).all("a"):
+    for a in tree(page).all("a"):
         url = resolve_one(a.attrs.get("href"), base)
         if url and url not in found:
             found[url] = (url, a.text() or None, a.attrs.get("rel") or None)
     return list(found.values())
 
 
-def clean_text(page: str, most_tokens: int = 25_000) -> tuple[str, str | None, bool]:
+def clean_text(page: str | Node, most_tokens: int = 25_000) -> tuple[str, str | None, bool]:
     """Text for reading by a model, the title, and whether the text was cut: headings, items, breaks and cells keep a mark."""
-    root, out = parse(page), []
+    root, out = tree(page), []
 
     def visit(node: Node | str) -> None:
         if isinstance(node, str):
@@ -203,9 +208,9 @@ def typed(text: str, kind: str):
     return text
 
 
-def table_records(page: str, url: str, schema: Schema) -> list[dict]:
+def table_records(page: str | Node, url: str, schema: Schema) -> list[dict]:
     """Records of the first table whose headers name enough of the schema's fields."""
-    for table in parse(page).all("table"):
+    for table in tree(page).all("table"):
         rows = grid(table)
         if len(rows) < 2 or len(rows[0]) < 2:
             continue
@@ -272,10 +277,10 @@ def block_value(block: Node, field, others: set[str], url: str) -> tuple[object,
     return (typed(text, field.type) if text else None), best[0]
 
 
-def block_candidates(page: str, url: str, schema: Schema) -> list[tuple[str, int, str, int, int]]:
+def block_candidates(page: str | Node, url: str, schema: Schema) -> list[tuple[str, int, str, int, int]]:
     """Elements that may be one record each: key (tag and classes), place, record as JSON, score, length of text."""
     out, names = [], [words(f.name.replace("_", " ")) for f in schema.fields]
-    for i, node in enumerate(parse(page).walk()):
+    for i, node in enumerate(tree(page).walk()):
         if node.tag not in ("article", "section", "li", "div") or node.inside("table") or not node.attrs.get("class", "").strip():
             continue
         size = len(node.text())
@@ -292,15 +297,19 @@ def block_candidates(page: str, url: str, schema: Schema) -> list[tuple[str, int
     return out
 
 
+ARROW_TYPES = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+
+
 def over_pages(pages: DataFrame, work, columns: list[str], shape: str, *extra: str) -> DataFrame:
     """Rows that work(page's html, url) gives, behind the page's id."""
+    kinds = pa.schema([("page_id", pa.int64()), *((n, ARROW_TYPES[t]) for n, t in (c.split() for c in shape.split(", ")))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(p, *r) for p, u, h in zip(frame["page_id"], frame["url"], frame["html"], strict=True) for r in work(h or "", u or "")]
-            yield pd.DataFrame(rows, columns=["page_id", *columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, *r) for p, u, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True) for r in work(h or "", u or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, {shape}")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, f"page_id long, {shape}")
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -336,11 +345,56 @@ def first_records(rows: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "data").agg(F.min("seq").alias("seq"))
 
 
+PARTS = "part string, seq long, method string, data string, confidence double"
+
+
+def records_of(page: str | Node, url: str, schema: Schema) -> list[tuple[int, str, str, float]]:
+    """(seq, method, data, confidence) of a page's records: of its first table that names the fields, or else of the largest
+    group of like blocks, two at least; of equal groups the better scored, then the one of shorter texts."""
+    method, confidence, found = "table", 0.9, [(i, json.dumps(r, sort_keys=True, ensure_ascii=False)) for i, r in enumerate(table_records(page, url, schema))]
+    if not found:
+        groups: dict[str, list[tuple[int, str, int, int]]] = {}
+        for key, seq, data, score, size in block_candidates(page, url, schema):
+            groups.setdefault(key, []).append((seq, data, score, size))
+        mean = lambda own, i: sum(r[i] for r in own) / len(own)
+        ranked = sorted((-len(own), -round(mean(own, 2), 3), mean(own, 3), key) for key, own in groups.items() if len(own) >= 2)
+        method, confidence, found = "blocks", 0.85, [r[:2] for r in groups[ranked[0][3]]] if ranked else []
+    first: dict[str, int] = {}
+    for seq, data in found:
+        first.setdefault(data, seq)
+    return [(seq, method, data, confidence) for data, seq in first.items()]
+
+
+def page_parts(pages: DataFrame, schema: Schema | None = None, most_chunk: int = 3000, most_tokens: int = 25_000) -> DataFrame:
+    """The columns of pages (html, url and others) beside each part that one parse of the page gives, by a lateral join.
+
+    part is title, link, chunk or, with a schema, record; seq orders parts of a kind; data is a text, or JSON for links (url,
+    text, rel) and records; method and confidence are those of records. A null html is an empty page, which has no parts.
+    """
+
+    @udtf(returnType=PARTS)
+    class Parts:
+        def eval(self, html, url):
+            root = parse(html or "")
+            text, title, _ = clean_text(root, most_tokens)
+            if title:
+                yield "title", 0, None, title, None
+            for i, link in enumerate(links_of(root, url or "")):
+                yield "link", i, None, json.dumps(dict(zip(("url", "text", "rel"), link, strict=True)), sort_keys=True, ensure_ascii=False), None
+            for i, chunk in enumerate(chunks(text, most_chunk)):
+                yield "chunk", i, None, chunk, None
+            if schema is not None:
+                for seq, method, data, confidence in records_of(root, url or "", schema):
+                    yield "record", seq, method, data, confidence
+
+    return pages.lateralJoin(Parts(F.col("html").outer(), F.col("url").outer()))
+
+
 def extract_records(pages: DataFrame, schema: Schema) -> DataFrame:
-    """Records of headed tables, or of repeated blocks on pages without them; the fallback of model-read chunks is the caller's."""
-    tables = extract_tables(pages, schema).withColumn("method", F.lit("table"))
-    rest = pages.join(tables.select("page_id").distinct(), "page_id", "left_anti")
-    return tables.unionByName(extract_blocks(rest, schema).withColumn("method", F.lit("blocks")))
+    """page_id, seq, data, confidence and method of the records of headed tables, or of repeated blocks on pages without them;
+    the fallback of model-read chunks is the caller's."""
+    parts = page_parts(pages.select("page_id", "url", "html"), schema).where("part = 'record'")
+    return parts.select("page_id", "seq", "data", "confidence", "method")
 
 
 def chunks(text: str, most: int = 3000) -> list[str]:
@@ -363,17 +417,47 @@ def chunks(text: str, most: int = 3000) -> list[str]:
 
 
 def scan_output(records: DataFrame, data_col: str, prompt_col: str, caps: dict[str, int], window: int = 40) -> DataFrame:
-    """Flags (kind, field) for values of a map column that echo the prompt, hold another field's name, or fill their cap."""
-    pairs = records.select("*", F.posexplode(F.map_entries(data_col)).alias("__n", "__e"))
+    """Flags (kind, field) for values of a map column that echo the prompt, hold another field's name, or fill their cap.
+
+    A value echoes the prompt if they share `window` characters. The hashes of the prompt's runs of so many are worked out once
+    for a record and those of a value meet them in a hash table, so long values and prompts cost what they are long; only
+    where hashes meet are the characters compared.
+    """
+
+    block = 512
+
+    def runs(text: Column) -> Column:
+        # By blocks, as finding the n-th character of a text costs n steps.
+        n = F.greatest(F.length(text) - window + 1, F.lit(0))
+        begins = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+        pieces = F.transform(begins, lambda b: F.substring(text, b + 1, F.lit(block + window - 1)))
+        return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - window + 1), lambda i: F.substring(p, i, F.lit(window)))))
+
+    hashes = lambda text: F.transform(runs(text), lambda r: F.xxhash64(r))
+    pairs = records.withColumn("__runs", hashes(F.coalesce(F.col(prompt_col), F.lit("")))).select("*", F.posexplode(F.map_entries(data_col)).alias("__n", "__e"))
     name, value = F.col("__e.key"), F.coalesce(F.col("__e.value"), F.lit(""))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(value) - window + 1, F.lit(1)))
-    echo = (F.length(value) >= window) & F.exists(starts, lambda i: F.contains(F.col(prompt_col), F.substring(value, i, F.lit(window))))
+    # Where hashes meet, the runs of the value whose hashes the prompt has are looked up in it.
+    confirmed = F.transform(F.array(F.array_intersect(hashes(value), "__runs")), lambda common: F.exists(F.filter(runs(value), lambda r: F.array_contains(common, F.xxhash64(r))), lambda r: F.contains(F.col(prompt_col), r)))[0]
+    echo = F.arrays_overlap(hashes(value), "__runs") & confirmed
     leak = F.exists(F.array(*[F.lit(c) for c in caps]), lambda f: (f != name) & F.contains(value, f)) if caps else F.lit(False)
     full = F.length(value) == F.coalesce(F.create_map(*[F.lit(x) for p in caps.items() for x in p])[name], F.lit(-1)) if caps else F.lit(False)
     kinds = F.array_compact(F.array(F.when(echo, F.lit("prompt_echo")), F.when(leak, F.lit("field_name_leak")), F.when(full, F.lit("cap_hit"))))
     return pairs.select(*records.columns, name.alias("field"), F.explode(kinds).alias("kind"))
 
 
+def archive_suspicious(records: DataFrame, flags: DataFrame, id_col: str, meta: dict[str, str], path: str) -> DataFrame:
+    """Records with flags (id_col, kind, field), written to `path` by day with what to look into them by, and read back.
+
+    One row for each record: the record, its flags in order, and the given facts (job, model ...) with the day. Each run adds
+    its rows in files of its own.
+    """
+    told = flags.groupBy(id_col).agg(F.sort_array(F.collect_set(F.struct("kind", "field"))).alias("flags"))
+    facts = [F.lit(v).alias(k) for k, v in meta.items()]
+    kept = records.join(told, id_col).select("*", F.current_timestamp().alias("archived_at"), F.current_date().alias("day"), *facts)
+    kept.write.mode("append").partitionBy("day").parquet(path)
+    return records.sparkSession.read.parquet(path)
+
+
 SHOWN = ("aria-label", "title", "href", "src", "alt")
 
 

@@ -87,53 +87,94 @@ def match_composite(records: DataFrame, id_col: str, keys: list[str], threshold:
     return closed(records, id_col, keys, classes, scratch.keep(links, "links"), scratch)
 
 
+def alike_texts(texts: DataFrame, least: float, scratch: Scratch, name: str) -> DataFrame:
+    """(x, y, score), both ways and each with itself, of the distinct texts (t) whose similarity is `least` (above 0) or more.
+
+    Such texts lie within (1 - least) times the longer length of edits, so they share a piece when the longer is cut into one
+    piece more than that. Pairs meet on such a piece, its number and the longer length. A piece need only be looked for
+    where the edits before it are no more than the pieces before it, and those behind it no more than the pieces behind it
+    and itself: with more on one side, a piece on the other side is shared as well. So no pair is lost.
+    """
+    texts = texts.withColumn("n", F.length("t"))
+    # Edits that a pair with a longer text of n characters can have.
+    edits = F.floor(F.lit(1 - least + 1e-9) * F.col("n")).cast("int")
+    begin = lambda i, n, e: F.floor(n * i / (e + 1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("e")), lambda i: F.substring(F.col("t"), begin(i, F.col("n"), F.col("e")) + 1, begin(i + 1, F.col("n"), F.col("e")) - begin(i, F.col("n"), F.col("e"))))
+    cut = texts.withColumn("e", edits).select(F.col("t").alias("long"), F.col("n").alias("length"), F.posexplode(parts).alias("number", "piece"))
+    # Shorter (or equal) texts offer the runs that a piece of a text of each length may be.
+    shapes = texts.select(F.col("n").alias("length")).distinct()
+    most = F.floor(F.lit(1 - least + 1e-9) * F.col("length")).cast("int")
+    fits = texts.join(shapes, (F.col("length") >= F.col("n")) & (F.col("length") - F.col("n") <= most))
+    numbered = fits.select("t", "n", "length", most.alias("e"), F.explode(F.sequence(F.lit(0), most)).alias("number"))
+    at = begin(F.col("number"), F.col("length"), F.col("e"))
+    span = begin(F.col("number") + 1, F.col("length"), F.col("e")) - at
+    behind, shorter = F.col("e") - F.col("number"), F.col("length") - F.col("n")
+    low = F.greatest(F.lit(0), at - F.col("number"), at - shorter - behind)
+    high = F.least(F.col("n") - span, at + F.col("number"), at - shorter + behind)
+    runs = numbered.where(low <= high).select("t", "length", "number", F.explode(F.transform(F.sequence(low, high), lambda p: F.substring(F.col("t"), p + 1, span))).alias("piece")).distinct()
+    met = cut.join(runs, ["length", "number", "piece"]).select(F.least("t", "long").alias("x"), F.greatest("t", "long").alias("y")).distinct()
+    alike = met.where(F.col("x") != F.col("y")).withColumn("score", similarity(F.col("x"), F.col("y"))).where(F.col("score") >= least)
+    both = scratch.keep(alike, name)
+    itself = texts.select(F.col("t").alias("x"), F.col("t").alias("y"), F.lit(1.0).alias("score"))
+    return both.union(both.select(F.col("y").alias("x"), F.col("x").alias("y"), "score")).union(itself)
+
+
+def fuzzy_candidates(classes: DataFrame, names: list[str], threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of classes (id and the keys of `names`) among which are all whose mean similarity reaches the threshold."""
+    # A little less, for rounding.
+    first, second = threshold - 1e-9, 2 * threshold - 1 - 1e-9
+    two = len(names) > 1 and second > 0
+    alike = {}
+    for k in names:
+        texts = classes.where(F.col(k) != "").select(F.lower(k).alias("t")).distinct()
+        alike[k] = alike_texts(texts, second if two else first, scratch, f"alike-{k}")
+    lowered = classes.select("id", *[F.lower(k).alias(k) for k in names])
+    pairs = []
+
+    def links(k: str, least: float, other: str) -> DataFrame:
+        return alike[k].where(F.col("score") >= least).select(F.col("x").alias(k), F.col("y").alias(other))
+
+    for i, k in enumerate(names):
+        if not two:
+            met = lowered.select(F.col("id").alias("i"), k).where(F.col(k) != "").join(links(k, first, "to"), k)
+            pairs.append(met.select("i", F.col("to").alias(k)).join(lowered.select(F.col("id").alias("j"), k), k).select("i", "j"))
+            continue
+        # Rows that have this key alone meet each other.
+        empty = reduce(lambda a, b: a & b, [F.col(o) == "" for o in names if o != k])
+        lone = lowered.where(empty).select("id", k)
+        met = lone.select(F.col("id").alias("i"), k).join(links(k, first, "to"), k)
+        pairs.append(met.select("i", F.col("to").alias(k)).join(lone.select(F.col("id").alias("j"), k), k).select("i", "j"))
+        for o in names[i + 1 :]:
+            own = lowered.where((F.col(k) != "") & (F.col(o) != ""))
+            best = alike[k].select(F.col("x").alias(k), F.col("y").alias("to"), F.col("score").alias("score_a"))
+            other = alike[o].select(F.col("x").alias(o), F.col("y").alias("to_o"), F.col("score").alias("score_b"))
+            offers = own.select(F.col("id").alias("i"), k, o).join(best, k).join(other, o).where(F.greatest("score_a", "score_b") >= first)
+            offers = offers.select("i", F.col("to").alias(k), F.col("to_o").alias(o))
+            pairs.append(offers.join(own.select(F.col("id").alias("j"), k, o), [k, o]).select("i", "j"))
+    return reduce(DataFrame.union, pairs).where("i < j").distinct().select(F.col("i").alias("a"), F.col("j").alias("b"))
+
+
 def match_fuzzy(records: DataFrame, id_col: str, keys: list[str], threshold: float = 0.85) -> DataFrame:
     """records with `entity`: linked where the mean similarity of comparable keys reaches the threshold; then closed.
 
-    A mean that reaches it needs a key whose similarity does, and so two texts at an edit distance of at most
-    (1 - threshold) times the longer length. Such texts share a piece when one is cut into one piece more than that
-    distance: pairs meet on such a piece (its number and place within reach) for texts of like length. That loses no
-    pair; the exact mean decides.
+    A mean of m keys that reaches it needs a key whose similarity does, and if there are more, a second one of at least
+    (threshold * m - 1) / (m - 1), which is least for two: 2 * threshold - 1. Values alike enough are found for each key on
+    its own; then each row offers, for two keys, the pairs of values that its own are alike to, and meets rows that have just
+    these two. A value that very many rows share (a brand) thus brings together only those whose second value is alike
+    too. Where only one key is comparable, or the threshold is so low that a second need not be alike, one key decides who
+    meets. No pair is lost; the exact mean decides.
     """
     scratch = Scratch(records.sparkSession, "fuzzy")
     if not keys:
         return records.withColumn("entity", F.col(id_col))
     classes = scratch.keep(key_classes(records, id_col, keys), "classes")
     names = [f"k{i}" for i in range(len(keys))]
-    candidates = None
-    for k in names:
-        texts = classes.where(F.col(k) != "").select(F.lower(k).alias("t")).distinct().withColumn("n", F.length("t"))
-        # Edits that a pair with a longer text of n characters can have.
-        edits = F.floor(F.lit(1 - threshold + 1e-9) * F.col("n")).cast("int")
-        size = lambda i, n, e: F.floor(n * (i + 1) / (e + 1)) - F.floor(n * i / (e + 1))
-        begin = lambda i, n, e: F.floor(n * i / (e + 1))
-        cut = texts.select(
-            "t",
-            "n",
-            edits.alias("e"),
-            F.posexplode(F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(begin(i, F.col("n"), edits).cast("int").alias("at"), F.substring(F.col("t"), (begin(i, F.col("n"), edits) + 1).cast("int"), size(i, F.col("n"), edits).cast("int")).alias("piece")))).alias("number", "part"),
-        ).select(F.col("t").alias("long"), F.col("n").alias("length"), "e", "number", F.col("part.at").alias("at"), F.col("part.piece").alias("piece"))
-        # Shorter (or equal) texts offer each run that a longer text's piece may be, within the edits.
-        shapes = texts.select(F.col("n").alias("length")).distinct()
-        fits = texts.join(shapes, (F.col("length") >= F.col("n")) & (F.col("length") - F.col("n") <= F.floor(F.lit(1 - threshold + 1e-9) * F.col("length"))))
-        e = F.floor(F.lit(1 - threshold + 1e-9) * F.col("length")).cast("int")
-        numbered = fits.select("t", "n", "length", e.alias("e"), F.explode(F.sequence(F.lit(0), e)).alias("number"))
-        at = F.floor(F.col("length") * F.col("number") / (F.col("e") + 1)).cast("int")
-        span = F.floor(F.col("length") * (F.col("number") + 1) / (F.col("e") + 1)).cast("int") - at
-        low, high = F.greatest(F.lit(0), at - F.col("e")), F.least(F.col("n") - span, at + F.col("e"))
-        runs = numbered.where(low <= high).select("t", "length", "number", F.explode(F.transform(F.sequence(low, high), lambda p: F.substring(F.col("t"), p + 1, span))).alias("piece")).distinct()
-        met = cut.join(runs, ["length", "number", "piece"]).select(F.least("t", "long").alias("x"), F.greatest("t", "long").alias("y")).distinct()
-        alike = met.where((F.col("x") != F.col("y")) & (similarity(F.col("x"), F.col("y")) >= threshold))
-        both = alike.union(texts.select(F.col("t").alias("x"), F.col("t").alias("y")))
-        a, b = classes.withColumn("x", F.lower(k)), classes.withColumn("y", F.lower(k))
-        pairs = both.join(a.select("x", F.col("id").alias("i")), "x").join(b.select("y", F.col("id").alias("j")), "y")
-        pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b")
-        candidates = pairs if candidates is None else candidates.union(pairs)
-    joined = candidates.distinct().join(sides(classes, "a").withColumnRenamed("id_a", "a"), "a").join(sides(classes, "b").withColumnRenamed("id_b", "b"), "b")
+    candidates = fuzzy_candidates(classes, names, threshold, scratch)
+    joined = candidates.join(sides(classes, "a").withColumnRenamed("id_a", "a"), "a").join(sides(classes, "b").withColumnRenamed("id_b", "b"), "b")
     comparable = sum(((F.col(f"{n}_a") != "") | (F.col(f"{n}_b") != "")).cast("int") for n in names)
     total = sum(F.when((F.col(f"{n}_a") == "") & (F.col(f"{n}_b") == ""), F.lit(0.0)).otherwise(similarity(F.col(f"{n}_a"), F.col(f"{n}_b"))) for n in names)
-    links = joined.where(total >= F.lit(threshold) * comparable).select("a", "b")
-    return closed(records, id_col, keys, classes, scratch.keep(links, "links"), scratch)
+    links_found = joined.where(total >= F.lit(threshold) * comparable).select("a", "b")
+    return closed(records, id_col, keys, classes, scratch.keep(links_found, "links"), scratch)
 
 
 def match_groups(records: DataFrame, id_col: str, groups: DataFrame) -> DataFrame:

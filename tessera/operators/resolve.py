@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRUST = ("low", "medium", "high", "authoritative")
@@ -76,18 +76,30 @@ def provenance_type(had_conflict: Column, changed: Column, n_values: Column) ->
 
 
 def provenance(cells: DataFrame, resolved: DataFrame) -> DataFrame:
-    """resolved with the type of provenance and the contributing sources (source, raw, value), in order.
+    """resolved with the type of provenance and n_sources, the number of contributing cells.
 
-    cells has `raw` besides; a field is changed if any of its raw values differs from the normalized one.
+    cells has `raw` besides; a field is changed if any of its raw values differs from the normalized one. Cells are counted
+    before they meet; what each source said is in provenance_sources, a row for each, however many there are.
     """
-    detail = cells.where(F.col("value").isNotNull()).groupBy("entity", "field").agg(
-        F.max((~F.col("raw").eqNullSafe(F.col("value"))).cast("int")).alias("changed"),
-        F.transform(F.sort_array(F.collect_list(F.struct("ord", "source", "raw", "value"))), lambda s: F.struct(s["source"].alias("source"), s["raw"].alias("raw"), s["value"].alias("value"))).alias("sources"),
-    )
+    changed = F.max((~F.col("raw").eqNullSafe(F.col("value"))).cast("int")).alias("changed")
+    detail = cells.where(F.col("value").isNotNull()).groupBy("entity", "field").agg(changed, F.count("*").alias("n_sources"))
     joined = resolved.join(detail, ["entity", "field"])
     return joined.withColumn("type", provenance_type(F.col("had_conflict"), F.col("changed") == 1, F.col("n_values"))).drop("changed")
 
 
+def provenance_sources(cells: DataFrame) -> DataFrame:
+    """What each source contributed: entity, field, ord, source, raw and value of the cells with a value."""
+    return cells.where(F.col("value").isNotNull()).select("entity", "field", "ord", "source", "raw", "value")
+
+
+def gathered_sources(sources: DataFrame, most: int = 1000) -> DataFrame:
+    """entity, field, n_sources and sources (source, raw, value), the first `most` by ord, for records that go out as one JSON text."""
+    by = Window.partitionBy("entity", "field").orderBy("ord", "source")
+    first = sources.withColumn("n", F.row_number().over(by)).where(F.col("n") <= most)
+    lists = first.groupBy("entity", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "source", "raw", "value"))), lambda s: s.dropFields("n")).alias("sources"))
+    return sources.groupBy("entity", "field").agg(F.count("*").alias("n_sources")).join(lists, ["entity", "field"])
+
+
 def merge_records(resolved: DataFrame) -> DataFrame:
     """entity and data, a map from fields to values."""
     pairs = F.sort_array(F.collect_list(F.struct("field", "value")))

@@ -9,6 +9,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scans import RANGE_ROWS, Running, in_ranges, with_running
+from tessera.plans.scratch import Scratch
+
 # Days that rows of each kind are kept.
 RETENTION = {"completed_jobs": 90, "failed_jobs": 30, "pages": 30, "exports": 30, "audit_log": 365, "llm_usage": 365, "dead_letters": 90}
 
@@ -100,6 +103,18 @@ def pages_of(df: DataFrame, key: str, n: int = 500) -> Iterator[list[Row]]:
         yield page
 
 
+def page_bounds(df: DataFrame, keys: list[str], n: int = 500, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """page (from 0), rows, and the first and last keys of all pages of n rows in the order of the keys, in one job.
+
+    Rows are numbered inside ranges of the order and then over the ranges. Readers take pages by keyset_page from the bounds,
+    any of them and side by side, where `pages_of` hands on one after the other. keys have to tell rows apart.
+    """
+    ranged = in_ranges(df.select(*keys), Scratch(df.sparkSession, "pages"), [], keys, "ranges", range_rows)
+    numbered = with_running(ranged, [], keys, {"__row": Running("sum", F.lit(1))})
+    page = F.floor((F.col("__row") - 1) / n).cast("long").alias("page")
+    return numbered.groupBy(page).agg(F.count("*").alias("rows"), F.min(F.struct(*keys)).alias("first"), F.max(F.struct(*keys)).alias("last"))
+
+
 def with_counts(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
     """left with the number of rows of right for its key, 0 where there is none."""
     counts = right.groupBy(key).agg(F.count("*").alias(name))

@@ -225,7 +225,7 @@ SELECT entity, CASE WHEN conflict THEN 'resolved' WHEN changed THEN 'normalized'
 def provenance_types(t):
     own = cells(t).withColumn("raw", F.upper("value"))
     done = resolve.provenance(own, resolve.resolve(own, "most_common"))
-    return done.select("entity", "type", F.size("sources").cast("long").alias("n_sources"))
+    return done.select("entity", "type", "n_sources")
 
 
 @query(f"""WITH c AS ({CELLS}) SELECT entity, count(*) AS sources, count(*) / (SELECT count(*) FROM c)::DOUBLE AS quality FROM c GROUP BY 1""")
@@ -573,7 +573,7 @@ def provenance_types_all(t):
     fine = F.concat(F.col("entity").cast("string"), F.lit("/"), (F.col("ord") % 32).cast("string"))
     own = cells(t).withColumn("entity", fine).withColumn("raw", F.when(F.col("source") == "src0", F.upper("value")).otherwise(F.col("value")))
     done = resolve.provenance(own, resolve.resolve(own, "most_common"))
-    return done.select("entity", "type", F.size("sources").cast("long").alias("n_sources"))
+    return done.select("entity", "type", "n_sources")
 
 
 @query("""WITH b AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), t AS (SELECT c_custkey FROM customer)

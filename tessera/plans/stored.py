@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.urls import host
-from tessera.operators import actions, crawl, evolve, html_records, profile, resolve, tables
+from tessera.operators import actions, crawl, evolve, html_records, profile, resolve, robots, tables
 from tessera.operators.evolve import Field, Schema
 from tessera.plans.registry import HOST, query
 from tessera.sources import sinks
@@ -174,11 +174,50 @@ def classified_pages(t):
     return crawl.classified(t("pages").select("page_id"), answers)
 
 
-@query("""SELECT s_suppkey FROM supplier WHERE NOT (s_suppkey % 2 = 0) OR s_suppkey::VARCHAR LIKE '1%'""")
+@query("""SELECT s_suppkey FROM supplier WHERE s_nationkey % 3 = 0 OR (s_nationkey % 3 = 1 AND s_suppkey % 7 <> 0) OR (s_nationkey % 3 = 2 AND (s_suppkey::VARCHAR LIKE '1%' OR s_suppkey::VARCHAR LIKE '%5'))""")
 def robots_rules(t):
-    base = F.concat(F.lit("https://a.com/"), F.when(F.col("s_suppkey") % 2 == 0, "even/").otherwise("odd/"), F.col("s_suppkey").cast("string"))
-    rules = t("region").sparkSession.createDataFrame([("a.com", "/even/", False), ("a.com", "/even/1", True), ("b.com", "/", False)], "host string, prefix string, allow boolean")
-    return crawl.robots_allowed(t("supplier").select("s_suppkey", base.alias("url")), rules).select("s_suppkey")
+    kind = F.col("n_nationkey") % 3
+    closed = F.when(kind == 0, "User-agent: other\nDisallow: /\n").when(kind == 1, "User-agent: *\nDisallow: /*/7mod0/\n\nUser-agent: Tessera # own\nAllow: /\nDisallow: /*/mod0\n")
+    body = F.coalesce(closed, F.lit("User-Agent: a\nUser-agent: *\nDisallow: /shop\nAllow: /shop/1\nAllow: /shop*5/mod*$\nCrawl-delay: 2\n"))
+    files = t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".com")).alias("host"), body.alias("body"))
+    url = F.concat(F.lit("https://N"), F.col("s_nationkey").cast("string"), F.lit(".com/shop/"), F.col("s_suppkey").cast("string"), F.lit("/mod"), (F.col("s_suppkey") % 7).cast("string"))
+    rules = robots.rule_rows(robots.parse_robots(files, "Tessera/1.0"))
+    return robots.robots_allowed(t("supplier").select("s_suppkey", url.alias("url")), rules).select("s_suppkey")
+
+
+@query("""SELECT p_partkey // 40 AS page_id, p_partkey % 40 + 0 AS place, '{"brand": "' || p_brand || '", "code": "P' || p_partkey || '", "name": "' || p_name || '", "price": ' || p_retailprice::DOUBLE::VARCHAR || '}' AS data FROM part""")
+def catalog_tables(t):
+    """Headed tables with a cell over all rows, a cell over two columns and a table of navigation before them."""
+    part = t("part")
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.concat(F.lit("P"), F.col("p_partkey").cast("string"))), cell(F.col("p_name")), cell(F.col("p_brand")), F.lit("<td>$ "), F.format_string("%.2f", "p_retailprice"), F.lit("<td colspan=2>x</tr>"))
+    pages = part.groupBy(F.expr("p_partkey div 40").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda r: r["row"]), "").alias("rows"))
+    head = "<table><tr><td>home</table><table><tr><th>Code<th>Product name<th>Brand<th>Retail price<th>A<th>B</tr>"
+    pages = pages.select("page_id", F.lit("https://s.t/").alias("url"), F.concat(F.lit(head), "rows", F.lit("</table>")).alias("html"))
+    schema = evolve.Schema(1, (evolve.Field("code", required=True), evolve.Field("name", description="product"), evolve.Field("brand"), evolve.Field("price", "number", description="retail price")))
+    found = html_records.extract_records(pages, schema).where("method = 'table'")
+    return found.select("page_id", (F.regexp_extract("data", '"code": "P([0-9]+)"', 1).cast("long") % 40).alias("place"), "data")
+
+
+@query("""SELECT s_suppkey // 20 AS page_id, '{"name": "' || s_name || '", "phone": "T-' || s_nationkey || '", "url": "https://s.t/s/' || s_suppkey || '"}' AS data FROM supplier
+WHERE s_suppkey // 20 IN (SELECT s_suppkey // 20 FROM supplier GROUP BY 1 HAVING count(*) >= 2)""")
+def catalog_blocks(t):
+    """Cards of a list page, between other blocks."""
+    card = F.concat(F.lit('<div class="card supplier"><h3 class="supplier-name">'), "s_name", F.lit('</h3><span class="phone">T-'), F.col("s_nationkey").cast("string"), F.lit('</span><a href="/s/'), F.col("s_suppkey").cast("string"), F.lit('#top">more</a></div>'))
+    pages = t("supplier").groupBy(F.expr("s_suppkey div 20").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("cards"))
+    pages = pages.select("page_id", F.lit("https://s.t/list").alias("url"), F.concat(F.lit('<div class="note">hello</div><div class="list">'), "cards", F.lit('</div><ul><li class="x">a<li class="x">b</ul>')).alias("html"))
+    schema = evolve.Schema(1, (evolve.Field("name", required=True), evolve.Field("phone"), evolve.Field("url", "url")))
+    return html_records.extract_records(pages, schema).where("method = 'blocks'").select("page_id", "data")
+
+
+@query("""SELECT n_nationkey AS page_id, 'title' AS part, 0::BIGINT AS seq, n_name AS data FROM nation
+UNION ALL SELECT n_nationkey, 'link', 0, '{"rel": null, "text": "region", "url": "https://s.t/r/' || n_regionkey || '"}' FROM nation
+UNION ALL SELECT n_nationkey, 'chunk', 0, '# ' || n_name || chr(10) || chr(10) || 'region' FROM nation
+UNION ALL SELECT n_nationkey, 'chunk', 1, repeat('x', 30) FROM nation""")
+def nation_page_parts(t):
+    html = F.concat(F.lit("<title>"), "n_name", F.lit("</title><body><h1>"), "n_name", F.lit('</h1><p><a href="/r/'), F.col("n_regionkey").cast("string"), F.lit('">region</a></p><p>' + "x" * 30 + "</p></body>"))
+    pages = t("nation").select(F.col("n_nationkey").cast("long").alias("page_id"), F.lit("https://s.t/").alias("url"), html.alias("html"))
+    return html_records.page_parts(pages, most_chunk=30).select("page_id", "part", "seq", "data")
 
 
 @query("""SELECT 'https://a.com/' || s_suppkey AS url, s_suppkey AS seq, CASE WHEN s_nationkey < 8 THEN 'duplicate' WHEN s_nationkey < 16 THEN 'crawled' ELSE 'new' END AS kind FROM supplier
@@ -307,14 +346,27 @@ def sanitized_records(t):
     return clean.where(~F.map_contains_key("data", "other")).select("c_custkey", F.col("data")["name"].alias("name"), F.col("data")["segment"].alias("segment"))
 
 
-@query("SELECT c_custkey, contains('this prompt quotes Customer#000000001 and more', c_name) AS echo, length(c_mktsegment) = 8 AS full FROM customer")
+@query("""SELECT c_custkey, c_custkey % 100 = 1 AND c_custkey < 30000 AS echo, c_custkey % 3 = 0 AS leak, length(c_mktsegment) = 8 AS full FROM customer""")
 def scanned_output(t):
-    data = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"))
-    rows = t("customer").select("c_custkey", data.alias("data"), F.lit("this prompt quotes Customer#000000001 and more").alias("prompt"))
-    flags = html_records.scan_output(rows, "data", "prompt", {"segment": 8}, window=18)
-    names = {"prompt_echo": "echo", "cap_hit": "full"}
-    found = flags.groupBy("c_custkey").agg(*[F.max(F.col("kind") == k).alias(n) for k, n in names.items()])
-    return rows.join(found, "c_custkey", "left").select("c_custkey", *[F.coalesce(n, F.lit(False)).alias(n) for n in names.values()])
+    """Values of thousands of characters against a prompt of thousands, of which some quote a run of it."""
+    names = [f"Customer#{i:09d} of the list" for i in range(1, 300)]
+    prompt = " ".join(names)
+    quote = F.when((F.col("c_custkey") % 100 == 1) & (F.col("c_custkey") < 30_000), F.concat(F.lit(f" {names[0]} {names[1]}"[3:50]), F.lit(" and more"))).otherwise(F.lit(""))
+    filler = F.concat(F.repeat(F.concat(F.col("c_name"), F.lit(" says ")), 60), quote, F.repeat(F.lit("so on "), 100))
+    note = F.when(F.col("c_custkey") % 3 == 0, "see segment").otherwise("plain")
+    data = F.create_map(F.lit("name"), filler, F.lit("segment"), F.col("c_mktsegment"), F.lit("note"), note)
+    rows = t("customer").select("c_custkey", data.alias("data"), F.lit(prompt).alias("prompt"))
+    flags = html_records.scan_output(rows, "data", "prompt", {"segment": 8, "note": 99, "name": 1})
+    kinds = {"prompt_echo": "echo", "field_name_leak": "leak", "cap_hit": "full"}
+    found = flags.groupBy("c_custkey").agg(*[F.max(F.col("kind") == k).alias(n) for k, n in kinds.items()])
+    return rows.join(found, "c_custkey", "left").select("c_custkey", *[F.coalesce(n, F.lit(False)).alias(n) for n in kinds.values()])
+
+
+@query("""WITH n AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i FROM orders)
+SELECT i // 250 AS page, count(*) AS rows, arg_min(o_orderkey, i) AS first_key, arg_max(o_orderkey, i) AS last_key, min(o_totalprice) AS first_price, max(o_totalprice) AS last_price FROM n GROUP BY 1""")
+def page_bounds(t):
+    found = tables.page_bounds(t("orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], 250)
+    return found.select("page", "rows", F.col("first.o_orderkey").alias("first_key"), F.col("last.o_orderkey").alias("last_key"), F.col("first.o_totalprice").alias("first_price"), F.col("last.o_totalprice").alias("last_price"))
 
 
 @query("""SELECT event_id, '{"a":[1,{"b":' || event_id || ',"c":null}],"z":"' || event_type || '"}' AS json FROM events""")

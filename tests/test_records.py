@@ -1,10 +1,11 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import crawl, evolve, html_records, match, resolve, tables
+from tessera.operators import crawl, evolve, html_records, match, resolve, robots, tables
 from tessera.operators.evolve import Field, Schema
 
 
@@ -77,6 +78,25 @@ def test_composite_of_many_keys(spark, seed, threshold):
     assert groups(match.match_composite(df, "id", ["a", "b", "c", "d"], threshold)) == brute(rows, lambda ps: sum(x == y for x, y in ps) / len(ps) >= threshold)
 
 
+@pytest.mark.parametrize(("seed", "threshold"), [(3, 0.75), (4, 0.85), (5, 0.4)])
+def test_fuzzy_of_three_keys(spark, seed, threshold):
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(rng.randint(0, n)))
+    rows = [(i, word(8), word(6), rng.choice(["", "Brand", "Bland", None, "other"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a string, b string, c string")
+    want = brute(rows, lambda ps: sum(alike(x, y) for x, y in ps) / len(ps) >= threshold - 1e-12)
+    assert groups(match.match_fuzzy(df, "id", ["a", "b", "c"], threshold)) == want
+
+
+def test_fuzzy_rows_of_one_brand_do_not_all_meet(spark):
+    rng = random.Random(9)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(10, 16))) for _ in range(2000)]
+    names += [n[:-1] + "#" for n in names[:300]]
+    classes = spark.createDataFrame([(i, n, "acme") for i, n in enumerate(names)], "id long, k0 string, k1 string")
+    found = match.fuzzy_candidates(classes, ["k0", "k1"], 0.85, match.Scratch(spark, "t"))
+    assert 300 <= found.count() < 2 * 2300
+
+
 def test_composite_ties_grow_with_rows(spark, monkeypatch):
     """Rows that share three of four keys are tied to one, not to each other."""
     seen = []
@@ -150,8 +170,75 @@ def test_link_scores_and_robots(spark):
     links = spark.createDataFrame([("https://a.com/x",), ("https://a.com/y",), ("https://b.com/z",)], "url string")
     answers = spark.createDataFrame([("https://a.com/x", "0", "odd", "high"), ("https://a.com/y", "7", "partial", "none")], "url string, score string, expected string, priority string")
     assert {tuple(r) for r in crawl.score_links(links, answers).collect()} == {("https://a.com/x", 0.5, "unknown", "high"), ("https://a.com/y", 1.0, "partial", "medium"), ("https://b.com/z", 0.5, "unknown", "medium")}
-    rules = spark.createDataFrame([("a.com", "/", False), ("a.com", "/x", True)], "host string, prefix string, allow boolean")
-    assert {r["url"] for r in crawl.robots_allowed(links, rules).collect()} == {"https://a.com/x", "https://b.com/z"}
+    rules = spark.createDataFrame([("a.com", "/", False), ("a.com", "/x", True)], "host string, pattern string, allow boolean")
+    assert {r["url"] for r in robots.robots_allowed(links, rules).collect()} == {"https://a.com/x", "https://b.com/z"}
+
+
+ROBOTS = """# all
+User-agent: *
+Disallow: /private/
+Allow: /private/open
+Disallow: /*.pdf$
+Crawl-delay: 1.5
+
+User-agent: Other
+User-agent: tessera/2.0
+Disallow: /a*b
+Allow: /a?b\\Ec
+disallow:
+crawl-delay: 3
+Sitemap: https://x/y
+"""
+
+
+def plain_allowed(rules, path):
+    """Every rule tried on a path."""
+    found = [(len(p), a) for p, a in rules if re.match("".join(".*" if c == "*" else re.escape(c) for c in p.removesuffix("$")) + ("$" if p.endswith("$") else ""), path, re.S)]
+    return max(found, default=(0, True))[1]
+
+
+def test_robots_files(spark):
+    files = spark.createDataFrame([("A.com", ROBOTS), ("b.com", None), ("c.com", "<html>no</html>")], "host string, body string")
+    for agent, delay in (("Tessera/1.0", 3000), ("crawler", 1500)):
+        parsed = robots.parse_robots(files, agent)
+        assert [tuple(r) for r in robots.crawl_delays(parsed).collect()] == [("a.com", delay)]
+        rules = robots.rule_rows(parsed)
+        own = [(r["pattern"], r["allow"]) for r in rules.collect()]
+        paths = ["/", "/private/", "/private/x", "/private/open/1", "/x.pdf", "/x.pdf?q", "/ab", "/axxb", "/a?b", "/a?b\\Ec", "/b"]
+        urls = spark.createDataFrame([(f"https://{h}{p}",) for h in ("a.com", "b.com") for p in paths], "url string")
+        want = {f"https://a.com{p}" for p in paths if plain_allowed(own, p)} | {f"https://b.com{p}" for p in paths}
+        assert {r["url"] for r in robots.robots_allowed(urls, rules).collect()} == want and len(own) == 3 - (agent == "Tessera/1.0")
+
+
+def test_robots_of_very_many_rules(spark):
+    rules = spark.range(10_000).selectExpr("'a.com' AS host", "concat('/p', lpad(id, 5, '0')) AS pattern", "id % 3 = 0 AS allow")
+    urls = spark.range(5_000).selectExpr("concat('https://a.com/p', lpad(id * 3 + 1, 5, '0'), '/x') AS url")
+    assert robots.robots_allowed(urls, rules).count() == 5_000 - 3_333
+
+
+def test_ids_beside_nulls(spark):
+    df = spark.createDataFrame([(2**60 + 1, "https://s.t/", '<a href="/a">A</a>'), (None, "https://s.t/", '<a href="/b">B</a>')], "page_id long, url string, html string").coalesce(1)
+    assert {(r["page_id"], r["text"]) for r in html_records.extract_links(df).collect()} == {(2**60 + 1, "A"), (None, "B")}
+
+
+def test_long_values_and_the_archive(spark, tmp_path):
+    prompt = " ".join(f"rule{i}" for i in range(3000))
+    echo = "x" * 5000 + prompt[7000:7040] + "y" * 5000
+    near = "x" * 5000 + prompt[7000:7039] + "#" + "y" * 5000
+    rows = [(1, {"note": echo}, prompt), (2, {"note": near}, prompt), (3, {"note": None}, None), (4, {"note": "é" * 600}, "é" * 39)]
+    df = spark.createDataFrame(rows, "id long, data map<string,string>, prompt string")
+    flags = html_records.scan_output(df, "data", "prompt", {"note": 1})
+    assert [(r["id"], r["kind"]) for r in flags.collect()] == [(1, "prompt_echo")]
+    kept = html_records.archive_suspicious(df, flags.select("id", "kind", "field"), "id", {"job": "j"}, str(tmp_path)).collect()
+    assert [(r["id"], r["job"], [tuple(f) for f in r["flags"]]) for r in kept] == [(1, "j", [("prompt_echo", "note")])]
+
+
+def test_sources_of_values(spark):
+    cells = spark.createDataFrame([("e", "f", i, f"s{i}", str(i), str(i % 2)) for i in range(5)] + [("e", "f", 9, "s9", None, None)], "entity string, field string, ord long, source string, raw string, value string")
+    [row] = resolve.gathered_sources(resolve.provenance_sources(cells), most=3).collect()
+    assert (row["n_sources"], [tuple(s) for s in row["sources"]]) == (5, [("s0", "0", "0"), ("s1", "1", "1"), ("s2", "2", "0")])
+    [done] = resolve.provenance(cells, resolve.resolve(cells, "most_common")).collect()
+    assert (done["type"], done["n_sources"]) == ("resolved", 5)
 
 
 def test_links_and_text(spark):
