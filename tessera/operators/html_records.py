@@ -419,11 +419,10 @@ def chunks(text: str, most: int = 3000) -> list[str]:
 def scan_output(records: DataFrame, data_col: str, prompt_col: str, caps: dict[str, int], window: int = 40) -> DataFrame:
     """Flags (kind, field) for values of a map column that echo the prompt, hold another field's name, or fill their cap.
 
-    A value echoes the prompt if they share `window` characters. The hashes of the prompt's runs of so many are worked out once
-    for a record and those of a value meet them in a hash table, so long values and prompts cost what they are long; only
-    where hashes meet are the characters compared.
+    A value echoes the prompt if they share `window` characters. The hashes of all runs of so many are an index of each distinct
+    prompt, which the hashes of each distinct value's runs meet by a join; where they do, the characters are compared. So
+    long values and prompts cost what they are long, and a prompt that all records share is indexed once.
     """
-
     block = 512
 
     def runs(text: Column) -> Column:
@@ -433,16 +432,24 @@ def scan_output(records: DataFrame, data_col: str, prompt_col: str, caps: dict[s
         pieces = F.transform(begins, lambda b: F.substring(text, b + 1, F.lit(block + window - 1)))
         return F.flatten(F.transform(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - window + 1), lambda i: F.substring(p, i, F.lit(window)))))
 
-    hashes = lambda text: F.transform(runs(text), lambda r: F.xxhash64(r))
-    pairs = records.withColumn("__runs", hashes(F.coalesce(F.col(prompt_col), F.lit("")))).select("*", F.posexplode(F.map_entries(data_col)).alias("__n", "__e"))
-    name, value = F.col("__e.key"), F.coalesce(F.col("__e.value"), F.lit(""))
-    # Where hashes meet, the runs of the value whose hashes the prompt has are looked up in it.
-    confirmed = F.transform(F.array(F.array_intersect(hashes(value), "__runs")), lambda common: F.exists(F.filter(runs(value), lambda r: F.array_contains(common, F.xxhash64(r))), lambda r: F.contains(F.col(prompt_col), r)))[0]
-    echo = F.arrays_overlap(hashes(value), "__runs") & confirmed
+    def hashed(texts: DataFrame, text: str) -> DataFrame:
+        keys = [c for c in texts.columns if c.endswith("key")]
+        return texts.select(*keys, F.explode(F.array_distinct(F.transform(runs(F.col(text)), lambda r: F.xxhash64(r)))).alias("run"))
+
+    pairs = records.select("*", F.posexplode(F.map_entries(data_col)).alias("__n", "__e"))
+    value = F.coalesce(F.col("__e.value"), F.lit(""))
+    long = pairs.where((F.length(value) >= window) & (F.length(prompt_col) >= window))
+    told = long.select(F.sha2(prompt_col, 256).alias("prompt_key"), F.sha2(value, 256).alias("value_key"), F.col(prompt_col).alias("prompt"), value.alias("value"))
+    prompts, values = told.select("prompt_key", "prompt").dropDuplicates(["prompt_key"]), told.select("prompt_key", "value_key", "value").dropDuplicates(["prompt_key", "value_key"])
+    met = hashed(values, "value").join(hashed(prompts, "prompt"), ["prompt_key", "run"]).select("prompt_key", "value_key").distinct()
+    both = met.join(values, ["prompt_key", "value_key"]).join(prompts, "prompt_key")
+    echoes = both.where(F.exists(runs(F.col("value")), lambda r: F.contains(F.col("prompt"), r))).select("prompt_key", "value_key", F.lit(True).alias("__echo"))
+    keyed = pairs.withColumn("prompt_key", F.sha2(prompt_col, 256)).withColumn("value_key", F.sha2(value, 256)).join(echoes, ["prompt_key", "value_key"], "left")
+    name, echo = F.col("__e.key"), F.col("__echo")
     leak = F.exists(F.array(*[F.lit(c) for c in caps]), lambda f: (f != name) & F.contains(value, f)) if caps else F.lit(False)
     full = F.length(value) == F.coalesce(F.create_map(*[F.lit(x) for p in caps.items() for x in p])[name], F.lit(-1)) if caps else F.lit(False)
     kinds = F.array_compact(F.array(F.when(echo, F.lit("prompt_echo")), F.when(leak, F.lit("field_name_leak")), F.when(full, F.lit("cap_hit"))))
-    return pairs.select(*records.columns, name.alias("field"), F.explode(kinds).alias("kind"))
+    return keyed.select(*records.columns, name.alias("field"), F.explode(kinds).alias("kind"))
 
 
 def archive_suspicious(records: DataFrame, flags: DataFrame, id_col: str, meta: dict[str, str], path: str) -> DataFrame:
