@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import SPACE
+from tessera.functions.text import SPACE, normalize_enum
 
 LOGICAL = {"string": T.StringType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "url": T.StringType(), "currency": T.DoubleType(), "enum": T.StringType()}
 
@@ -63,21 +63,20 @@ def changed(schema: Schema, action: dict) -> Schema:
         after = schema.place(action["after"]) if action.get("after") else None
         return replace(schema, fields=put(fields, len(fields) if after is None else after + 1, [action["definition"]]))
     if kind == "merge_fields":
-        gone = [a for a in action["aliases"] if schema.place(a) is not None and a != name]
-        if not gone and at is not None:
-            return schema
-        first = min((schema.place(a) for a in [*gone, *([name] if at is not None else [])]), default=len(fields))
+        # The canonical field keeps its place, or comes last; it is never an alias of itself.
+        rest = tuple(f for f in fields if f.name not in action["aliases"] or f.name == name)
         kept = action.get("definition") or (fields[at] if at is not None else Field(name))
-        rest = tuple(f for f in fields if f.name not in (*gone, name))
-        first = sum(f.name not in (*gone, name) for f in fields[:first])
-        return replace(schema, fields=put(rest, first, [kept]), aliases=(*schema.aliases, (name, tuple(action["aliases"]))))
+        new = tuple(kept if f.name == name else f for f in rest) if at is not None else (*rest, kept)
+        return replace(schema, fields=new, aliases=(*schema.aliases, (name, tuple(action["aliases"]))))
     if kind == "group_fields":
         places = [p for s in action["sources"] if (p := schema.place(s)) is not None]
         if not places:
             return schema
-        inner = tuple(fields[p] for p in places)
-        rest = tuple(f for f in fields if f not in inner)
-        return replace(schema, fields=put(rest, sum(f not in inner for f in fields[: min(places)]), [Field(name, "object", fields=inner)]))
+        named = action.get("mapping") or {}
+        inner = tuple(replace(fields[p], name=named.get(fields[p].name, fields[p].name)) for p in places)
+        rest = [f for i, f in enumerate(fields) if i not in places]
+        group = Field(name, "object", description=f"Grouped from: {', '.join(action['sources'])}", fields=inner)
+        return replace(schema, fields=put(tuple(rest), min(min(places), len(rest)), [group]))
     if at is None:
         return schema
     if kind == "remove_field":
@@ -113,6 +112,24 @@ def project(records: DataFrame, json_col: str, schema: Schema, keep: list[str])
     return records.select(*keep, *typed)
 
 
+def read_under(records: DataFrame, json_col: str, schema: Schema, keep: list[str]) -> DataFrame:
+    """JSON records of any version as the schema's typed columns: a merged field takes the first value that it or one of its
+    aliases has, an object takes its members from its own JSON, and enum rules hold."""
+    json = F.try_parse_json(F.col(json_col))
+    aliases: dict[str, list[str]] = {}
+    for name, others in schema.aliases:
+        aliases.setdefault(name, []).extend(o for o in others if o != name)
+
+    def column(f: Field) -> Column:
+        kind = f.spark_type()
+        value = F.coalesce(*[F.try_variant_get(json, f"$.{n}", kind.simpleString()) for n in (f.name, *aliases.get(f.name, []))])
+        if (f.rule or {}).get("type") == "enum":
+            value = normalize_enum(value, f.rule.get("synonyms", {}))
+        return value.alias(f.name)
+
+    return records.select(*keep, *map(column, schema.fields))
+
+
 def coalesce_aliases(records: DataFrame, schema: Schema) -> DataFrame:
     """Columns of merged fields filled from their aliases, which go."""
     out = records

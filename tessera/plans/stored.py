@@ -301,17 +301,30 @@ def projected_records(t):
     return evolve.project(t("part").withColumn("json", record), "json", schema, ["p_partkey"])
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 10 THEN p_name ELSE p_brand END AS title, p_type AS kind FROM part")
+@query("""SELECT p_partkey, p_retailprice::DOUBLE AS price, CASE p_brand WHEN 'Brand#11' THEN 'First' WHEN 'Brand#12' THEN 'First' WHEN 'Brand#13' THEN 'Third' ELSE p_brand END AS brand,
+  p_size::VARCHAR AS size, 'left' || p_partkey % 3 AS left_code, NULL::VARCHAR AS right_code, p_size * 2.0::DOUBLE AS shape_width, 'tall' AS shape_height,
+  CASE WHEN p_size > 10 THEN p_name ELSE p_type END AS title FROM part""")
 def schema_after_actions(t):
-    """Fields added, renamed and merged, and records read under the schema that this gives."""
-    first = Schema(1, (Field("name"), Field("brand"), Field("colour")))
-    acts = [{"type": "remove_field", "field": "colour"}, {"type": "merge_fields", "fields": ["name", "brand"], "into": "title"}]
-    schema = evolve.apply_actions(first, [acts[0]])
-    assert [f.name for f in schema.fields] == ["name", "brand"] and schema.version == 2
-    rows = t("part").select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_name")).alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
-    merged = Schema(3, (Field("title"),), 2, (("title", ("name", "brand")),))
-    out = rows.withColumn("title", F.lit(None).cast("string"))
-    return evolve.coalesce_aliases(out, merged).select("p_partkey", "title", "kind")
+    """All nine kinds of actions applied in order, and records of old and new versions read under the schema that they give."""
+    first = Schema(1, tuple(Field(n) for n in ("name", "brand", "label", "box", "width", "tall", "code", "colour")) + (Field("size", "number"),))
+    enum = {"type": "enum", "synonyms": {"First": ["Brand#11", "Brand#12"]}}
+    acts = [
+        {"type": "add_field", "definition": Field("price", "number"), "field": "price", "after": "name"},
+        {"type": "remove_field", "field": "colour"},
+        {"type": "modify_field", "field": "size", "changes": {"type": "string"}},
+        {"type": "modify_field", "field": "width", "changes": {"type": "number"}},
+        {"type": "rename_field", "field": "tall", "to": "height"},
+        {"type": "merge_fields", "field": "title", "aliases": ["name", "label"], "definition": Field("title", required=True)},
+        {"type": "split_field", "field": "code", "targets": [Field("left_code"), Field("right_code")]},
+        {"type": "group_fields", "field": "shape", "sources": ["box", "width", "height"], "mapping": {"box": "kind"}},
+        {"type": "set_normalization_rule", "field": "brand", "rule": enum},
+        {"type": "update_enum_map", "field": "brand", "synonyms": {"Third": ["Brand#13"]}},
+        {"type": "rename_field", "field": "none", "to": "nothing"},
+    ]
+    schema = evolve.apply_actions(first, acts)
+    old = F.to_json(F.struct(F.when(F.col("p_size") > 10, F.col("p_name")).alias("name"), F.col("p_type").alias("label"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"), F.concat(F.lit("left"), (F.col("p_partkey") % 3).cast("string")).alias("left_code"), F.struct((F.col("p_size") * 2).alias("width"), F.lit("tall").alias("height"), F.lit("x").alias("other")).alias("shape"), F.lit("red").alias("colour")))
+    rows = evolve.read_under(t("part").withColumn("json", old), "json", schema, ["p_partkey"])
+    return rows.select("p_partkey", "price", "brand", "size", "left_code", "right_code", F.col("shape.width").alias("shape_width"), F.col("shape.height").alias("shape_height"), "title")
 
 
 @query("""SELECT p_partkey AS extraction_id, 'brand' AS name, to_json(p_brand)::VARCHAR AS value FROM part UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part""")

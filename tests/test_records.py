@@ -148,6 +148,11 @@ def test_schema_actions():
     assert names(grouped) == ["a", "g"] and [f.name for f in grouped.fields[1].fields] == ["b", "c"]
     split = evolve.apply_actions(schema, [{"type": "split_field", "field": "b", "targets": [Field("x"), Field("y")]}, {"type": "rename_field", "field": "x", "to": "z"}])
     assert names(split) == ["a", "z", "y", "c"]
+    assert names(evolve.apply_actions(schema, [{"type": "merge_fields", "field": "n", "aliases": ["a", "b", "n"]}])) == ["c", "n"]
+    renamed = evolve.apply_actions(schema, [{"type": "group_fields", "field": "g", "sources": ["c", "a", "zz"], "mapping": {"c": "x"}}])
+    assert names(renamed) == ["g", "b"] and [f.name for f in renamed.fields[0].fields] == ["x", "a"]
+    typed = evolve.apply_actions(schema, [{"type": "modify_field", "field": "b", "changes": {"type": "boolean", "odd": 1}}, {"type": "add_field", "field": "a", "definition": Field("a")}])
+    assert typed.fields[1].type == "boolean" and typed.version == 2 and names(typed) == names(schema)
     ruled = evolve.apply_actions(schema, [{"type": "set_normalization_rule", "field": "a", "rule": {"type": "enum", "synonyms": {"B": ["b"]}}}, {"type": "update_enum_map", "field": "a", "synonyms": {"C": ["c"]}}])
     assert ruled.fields[0].rule["synonyms"] == {"B": ["b"], "C": ["c"]}
 
