@@ -108,14 +108,20 @@ def perspectives(
     rendered = parts.select(
         "conv_id", "speaker", "number", "sub", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("text"), F.aggregate("segments", start, advance).alias("mask")
     )
+    # Where parts stand follows from their lengths, which are summed without their texts.
+    lengths = seen.groupBy("conv_id", "speaker", "number", "sub").agg(F.sum(F.length(head) + F.length(tail) + 1).alias("n"))
     by_part = Window.partitionBy("conv_id", "speaker").orderBy("number", "sub")
-    before = F.coalesce(F.sum(F.length("text")).over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rendered.select(
+    before = F.coalesce(F.sum("n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lengths.select(
+        F.col("conv_id").alias("c"), F.col("speaker").alias("s"), F.col("number").alias("m"), F.col("sub").alias("u"), F.row_number().over(by_part).cast("long").alias("part"), before.cast("long").alias("begin")
+    )
+    here = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("speaker") == F.col("s")) & (F.col("number") == F.col("m")) & (F.col("sub") == F.col("u"))
+    return rendered.join(placed, here).select(
         "conv_id",
         "speaker",
-        F.row_number().over(by_part).cast("long").alias("part"),
+        "part",
         "text",
-        before.cast("long").alias("begin"),
+        "begin",
         F.length("text").cast("long").alias("n_chars"),
         F.array_join("mask.spans", ",").alias("spans"),
         F.col("mask.trained").alias("n_trained"),
