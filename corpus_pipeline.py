@@ -19,7 +19,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, from hosts that do."""
+    """Documents that pass the rules, from hosts that do.
+
+    Null and empty texts fail; a null source is a host of its own; each repeated row is judged; an empty table stays empty.
+    """
     return quality_rules(docs).where("kept").select(*COLUMNS)
 
 
@@ -37,18 +40,26 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 100 bytes that occur earlier; texts of which nothing is left go."""
+    """Texts without the strings of 100 bytes that occur earlier; texts of which nothing is left, null ones too, go.
+
+    Rows without a doc_id, and all but one of unequal texts that share one, stand behind all documents in a fixed order, so
+    what they repeat goes from them. Repeated rows are one document. An empty table stays empty.
+    """
     left = remove_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
     return left.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(*COLUMNS)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; each round over a source gives its documents anew."""
+    """Sources at their target weights; each round over a source gives its documents anew.
+
+    A null source is a source of its own; texts without words are in no mix; repeated rows are documents of their own; an
+    empty table stays empty.
+    """
     return mix_documents(docs).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids in sequences of 4096."""
+    """Pieces of the documents' token ids in sequences of 4096; each row of its own, with its doc_id or without."""
     return pack(docs, tokenizer_file=tokenizer_file())
 
 
@@ -65,6 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage makes of the documents in sf_dir; no rows of an empty table."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):

@@ -42,3 +42,23 @@ def test_one_of_repeated_rows_stays(spark):
     left = corpus_pipeline.near_copies(spark, docs, SF).collect()
     texts = sorted((str(r["doc_id"]), str(r["text"])[:12]) for r in left)
     assert texts == sorted([("1", long[:12]), ("None", "another text"), ("5", "of its own w"), ("5", "some other w"), ("None", "None"), ("6", "")])
+
+
+def test_odd_documents_pass_all_stages(spark, tmp_path):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    rng_words = lambda seed: " ".join(f"w{(seed * 7919 + i * 104729) % 5003}" for i in range(80))
+    shared = rng_words(99)
+    rows = [(1, rng_words(1), "en", "a", 1), (2, rng_words(2), "en", None, 1), (None, rng_words(3) + " " + shared, "en", "a", 1), (None, rng_words(4) + " " + shared, "en", "b", 1)]
+    rows += [(5, rng_words(5), "en", "b", 1)] * 3 + [(6, rng_words(6), None, "b", 1), (6, rng_words(7), None, "b", 1), (7, None, None, None, None), (8, "", "en", "a", 0), (2**60 + 1, rng_words(8), "en", "a", 1)]
+    spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([], shape).write.parquet(f"{tmp_path}/none/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    texts = [Counter(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/{i}").collect()) for i in range(3)]
+    assert texts[0] == Counter({1: 1, 2: 1, None: 2, 5: 3, 6: 2, 2**60 + 1: 1}) and texts[1] == Counter({1: 1, 2: 1, None: 2, 5: 1, 6: 2, 2**60 + 1: 1})
+    kept = [r["text"] for r in spark.read.parquet(f"{tmp_path}/2").where("doc_id IS NULL").collect()]
+    assert sum(shared in t for t in kept) == 1
+    assert 2**60 + 1 in {r["doc_id"] for r in docs.collect()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
