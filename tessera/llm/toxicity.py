@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.scratch import Scratch
@@ -137,11 +137,12 @@ def hashed_terms(bits: int):
     return run
 
 
-def interacting(flat: np.ndarray, sizes: np.ndarray, label: np.ndarray, numbers: np.ndarray, deviation: float) -> np.ndarray:
+def interacting(flat: np.ndarray, sizes: np.ndarray, label: np.ndarray, numbers: np.ndarray, deviation: float, most: int = 2_000_000) -> np.ndarray:
     """Terms of pairs whose share of toxic rows departs by so many standard deviations from what their two terms tell.
 
     Rows hold sorted distinct terms. Of each term of numbers, all pairs with later terms are counted. What two terms tell is
-    the sum of their log odds; the departure is the signed root of the deviance, since rare pairs are far from normal.
+    the sum of their log odds; the departure is the signed root of the deviance, since rare pairs are far from normal. Pairs
+    of a term are counted about `most` at a time, or those of one row.
     """
     n_terms = int(flat.max()) + 1 if len(flat) else 0
     order = np.argsort(flat, kind="stable")
@@ -156,14 +157,19 @@ def interacting(flat: np.ndarray, sizes: np.ndarray, label: np.ndarray, numbers:
     for a in numbers[numbers < n_terms]:
         at = order[bounds[a] : bounds[a + 1]]
         left = ends[row[at]] - at - 1
-        skip = np.cumsum(left) - left
-        others = flat[np.arange(left.sum()) + np.repeat(at + 1 - skip, left)]
-        hit = np.repeat(toxic[row[at]], left)
-        if len(others) < n_terms:
-            b, places, n = np.unique(others, return_inverse=True, return_counts=True)
-            c = np.bincount(places[hit], minlength=len(b))
-        else:
-            n, c = np.bincount(others, minlength=n_terms), np.bincount(others[hit], minlength=n_terms)
+        parts = np.searchsorted(np.cumsum(left), np.arange(most, left.sum(), most))
+        n = c = b = None
+        for at_part, left_part in zip(np.split(at, parts), np.split(left, parts), strict=True):
+            skip = np.cumsum(left_part) - left_part
+            others = flat[np.arange(left_part.sum()) + np.repeat(at_part + 1 - skip, left_part)]
+            hit = np.repeat(toxic[row[at_part]], left_part)
+            if not len(parts) and len(others) < n_terms:
+                b, places, n = np.unique(others, return_inverse=True, return_counts=True)
+                c = np.bincount(places[hit], minlength=len(b))
+            else:
+                n = np.bincount(others, minlength=n_terms) + (0 if n is None else n)
+                c = np.bincount(others[hit], minlength=n_terms) + (0 if c is None else c)
+        if b is None:
             b = np.flatnonzero(n)
             n, c = n[b], c[b]
         p = np.clip(1 / (1 + np.exp(-(odds[a] + odds[b] - base))), 1e-6, 1 - 1e-6)
@@ -201,12 +207,14 @@ def train(
     label_col: str = "toxic",
     bits: int = 20,
     max_rows: int = 20_000,
+    max_terms: int = 20_000_000,
     min_docs: int = 4,
     min_deviation: float = 5.0,
     min_pair_deviation: float = 6.0,
     seed: int = 11,
 ) -> FactorizationMachine:
-    """A model from at most max_rows labelled rows, which the hashes of their ids pick, none of them held out.
+    """A model from at most max_rows labelled rows, which the hashes of their ids pick, none of them held out; of very long
+    texts as many, in that order, as have max_terms distinct terms together.
 
     Only that bounded sample's hashed terms reach the driver. Features are terms of min_docs sampled documents at least whose
     share among toxic ones departs from their share among the others by min_deviation standard deviations, or which are in a
@@ -222,8 +230,11 @@ def train(
     sampled = sampled.select(F.struct(F.col("__id").cast("string").alias("id"), F.col("__label").alias("label")).alias("key"), "text")
     terms = sampled.mapInArrow(hashed_terms(bits), "id string, label int, terms array<int>")
     # A row for each id, of whatever number of documents share it.
-    single = terms.groupBy("id").agg(F.first("label").alias("label"), F.min("terms").alias("terms")).select("label", "terms")
-    rows = Scratch(spark, "toxicity").keep(single, "sample").toArrow()
+    single = terms.groupBy("id").agg(F.first("label").alias("label"), F.min("terms").alias("terms"))
+    kept = Scratch(spark, "toxicity").keep(single.withColumn("place", F.xxhash64("id", F.lit(seed))), "sample")
+    # At most max_rows rows of numbers.
+    upto = kept.select("place", "id", F.sum(F.size("terms")).over(Window.orderBy("place", "id")).alias("upto"))
+    rows = kept.join(upto, ["place", "id"]).where(F.col("upto") <= max_terms).select("label", "terms").toArrow()
     lists = rows.column("terms").combine_chunks()
     flat = (lists.flatten() if len(rows) else pa.array([], pa.int32())).to_numpy()
     sizes = np.diff(lists.offsets.to_numpy()) if len(rows) else np.empty(0, dtype=np.int64)

@@ -279,6 +279,17 @@ def test_machine_learns_pairs():
     assert np.abs(machine.factors[0] @ machine.factors[1]) > 0.5
 
 
+def test_pairs_are_counted_in_parts():
+    rng = np.random.default_rng(31)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(0, 30))) for _ in range(400)]
+    label = np.array([{3, 7} <= set(r.tolist()) or rng.random() < 0.05 for r in rows]).astype(int)
+    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+    whole = toxicity.interacting(flat, sizes, label, np.arange(40), 2.5)
+    assert 2 <= len(whole) < 40
+    for most in (1, 37, 1000):
+        assert toxicity.interacting(flat, sizes, label, np.arange(40), 2.5, most).tolist() == whole.tolist()
+
+
 def test_scores_are_sums_over_pairs():
     rng = np.random.default_rng(15)
     machine = toxicity.FactorizationMachine(np.arange(9), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
