@@ -69,7 +69,7 @@ def cut_pieces(tokenizer_file: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds(tokenizer_file)
         end = np.asarray([end_id], dtype="<u4")
-        for keys, texts in grouped_texts(batches):
+        for keys, texts in grouped_texts(batches, 3_000_000):
             ids, ends = known.of_texts(texts)
             rows: list[tuple] = []
             for key, a, b in zip(keys, ends[:-1], ends[1:], strict=True):
