@@ -368,11 +368,14 @@ def scanned_output(t):
     filler = F.concat(F.repeat(F.concat(F.col("c_name"), F.lit(" says ")), 60), quote, F.repeat(F.lit("so on "), 100))
     note = F.when(F.col("c_custkey") % 3 == 0, "see segment").otherwise("plain")
     data = F.create_map(F.lit("name"), filler, F.lit("segment"), F.col("c_mktsegment"), F.lit("note"), note)
-    rows = t("customer").select("c_custkey", data.alias("data"), F.lit(prompt).alias("prompt"))
+    # Dealt out before the texts are made, which are far larger than the table.
+    customers = t("customer")
+    parts = int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = customers.repartition(parts, "c_custkey").select("c_custkey", data.alias("data"), F.lit(prompt).alias("prompt"))
     flags = html_records.scan_output(rows, "data", "prompt", {"segment": 8, "note": 99, "name": 1})
     kinds = {"prompt_echo": "echo", "field_name_leak": "leak", "cap_hit": "full"}
     found = flags.groupBy("c_custkey").agg(*[F.max(F.col("kind") == k).alias(n) for k, n in kinds.items()])
-    return rows.join(found, "c_custkey", "left").select("c_custkey", *[F.coalesce(n, F.lit(False)).alias(n) for n in kinds.values()])
+    return rows.join(found.hint("merge"), "c_custkey", "left").select("c_custkey", *[F.coalesce(n, F.lit(False)).alias(n) for n in kinds.values()])
 
 
 @query("""WITH n AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i FROM orders)

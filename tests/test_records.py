@@ -279,6 +279,27 @@ def test_scan(spark):
     assert found == {(1, "name", "prompt_echo"), (1, "name", "field_name_leak"), (1, "price", "field_name_leak"), (2, "name", "cap_hit")}
 
 
+@pytest.mark.parametrize("window, few", [(1, 0), (7, 0), (7, 200_000), (40, 0), (40, 200_000)])
+def test_scan_against_all_runs(spark, monkeypatch, window, few):
+    monkeypatch.setattr(html_records, "FEW_CHARACTERS", few)
+    rng = random.Random(window)
+    text = lambda n: "".join(rng.choices("abcdé 😀", k=n))
+    prompts = [text(n) for n in (window - 1, window, 90, 700, 700)]
+    rows = [(0, {"note": None, "size": "note"}, None), (1, {"note": prompts[1], "size": ""}, prompts[1])]
+    for i in range(2, 150):
+        prompt = rng.choice(prompts)
+        at, n = rng.randrange(len(prompt) + 1), window + rng.choice((-1, 0, 1))
+        value = text(rng.choice((0, 3, 130, 300))) + prompt[at : at + n] + text(rng.choice((0, 5, 200)))
+        rows.append((i, {"note": value, "size": value[:60]}, prompt))
+    flags = html_records.scan_output(spark.createDataFrame(rows, "id long, data map<string,string>, prompt string"), "data", "prompt", {"note": 60, "size": 9}, window)
+    runs = lambda v: (v[i : i + window] for i in range(len(v) - window + 1))
+    want = {(i, f, "prompt_echo") for i, data, prompt in rows for f, v in data.items() if any(r in (prompt or "") for r in runs(v or ""))}
+    want |= {(0, "size", "field_name_leak")} | {(i, f, "cap_hit") for i, data, _ in rows for f, v in data.items() if v is not None and len(v) == {"note": 60, "size": 9}[f]}
+    assert sorted(tuple(r) for r in flags.select("id", "field", "kind").collect()) == sorted(want)
+    # What grows with the records is never broadcast.
+    assert flags._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == (2 if few else 0)
+
+
 def test_pages_and_upserts(spark):
     df = spark.range(10).withColumn("x", F.col("id") % 3)
     first = tables.keyset_page(df, ["x", "id"], None, 4).collect()
