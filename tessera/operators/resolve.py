@@ -149,17 +149,17 @@ def normalize_cells(cells: DataFrame, rules: dict[str, Callable[[Column], Column
 
     A rule takes the text of a JSON string or number and returns a text, list or struct; other values, and null, stay.
     """
-    json = F.try_parse_json("value")
-    text = F.try_variant_get(json, "$", "string")
-    plain = F.col("value").rlike(r'^("|-?\d)')
-    out = F.col("value")
+    ruled = F.col("field").isin(*rules) & F.col("value").rlike(r'^("|-?\d)')
+    text = F.when(ruled, F.try_variant_get(F.try_parse_json("value"), "$", "string"))
+    out = F.lit(None).cast("string")
     for name, rule in rules.items():
-        out = F.when(plain & (F.col("field") == name), F.coalesce(F.get_json_object(F.to_json(F.struct(rule(text).alias("v"))), "$.v"), F.lit(""))).otherwise(out)
-    done = cells.withColumn("raw", F.col("value")).withColumn("__text", text).withColumn("value", out)
-    as_json = F.when((F.col("value") != F.col("raw")) & ~F.col("value").rlike(r"^[\[{]"), F.to_json(F.array("value"))).otherwise(F.lit(None))
-    quoted = F.when(as_json.isNotNull(), F.substring(as_json, 2, 2**31 - 1)).otherwise(F.lit(None))
-    value = F.when(F.col("value") == F.col("__text"), F.col("raw")).when(quoted.isNotNull(), F.left(quoted, F.length(quoted) - 1)).otherwise(F.col("value"))
-    return done.withColumn("value", value).drop("__text")
+        out = F.when(F.col("field") == name, F.to_json(F.array(rule(F.col("__text"))))).otherwise(out)
+    # Exploded, so that a filter on the value, or several uses of it, don't work it out anew.
+    done = cells.withColumn("raw", F.col("value")).withColumns({"__ruled": ruled, "__text": text})
+    done = done.select("*", F.explode(F.array(F.when(F.col("__ruled"), out))).alias("__json"))
+    same = F.col("__json").isin(F.to_json(F.array("__text")), F.concat(F.lit('["'), "raw", F.lit('"]')))  # the last: a number as it was written
+    told = F.when(F.col("__json") == "[null]", F.when(F.col("__text") == "", F.col("raw")).otherwise('""')).when(~same, F.substring("__json", F.lit(2), F.length("__json") - 2))
+    return done.withColumn("value", F.coalesce(told, F.col("raw"))).drop("__ruled", "__text", "__json")
 
 
 def changes(cells: DataFrame) -> DataFrame:

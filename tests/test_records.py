@@ -351,6 +351,20 @@ def test_normalized_cells(spark):
     assert [r["before"] for r in resolve.changes(done).orderBy("ord").collect()] == ['" the  LAMP "', '"$5"', "5", '"a, b"']
 
 
+def test_rules_are_worked_out_once(spark):
+    from tessera.functions import text as X
+
+    rows = ['"[a"', '"{ a"', '"[A"', "5.00", "5", '"b', '"\\u0041"', '"\\"a"', '""', "true", None]
+    cells = spark.createDataFrame([("e", f, i, v) for i, v in enumerate(rows) for f in ("name", "price", "other")], "entity string, field string, ord long, value string")
+    done = resolve.normalize_cells(cells, {"name": lambda c: X.normalize_text(c, casing="upper"), "price": X.normalize_currency})
+    got = {f: [r["value"] for r in done.where(F.col("field") == f).orderBy("ord").collect()] for f in ("name", "price", "other")}
+    assert got["other"] == rows and got["price"] == [*rows[:3], "5.00", '"5.00"', '""', *rows[6:8], '"0.00"', "true", None]
+    assert got["name"] == ['"[A"', '"{ A"', '"[A"', "5.00", "5", '""', '"\\u0041"', '"\\"A"', '""', "true", None]
+    # A filter on the values does not repeat their rules.
+    plan = resolve.changes(done)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(") == 1 and plan.count("parseJson(") == 1
+
+
 def test_prompts():
     fields = (Field("name", required=True, description="What it is"), Field("price", "currency"), Field("size", "object", fields=(Field("w", "number"),)), Field("kind", "enum", enum_values=("a", "b")))
     assert evolve.describe_fields(fields).splitlines()[0] == "- name [string] (required): What it is" and "  - w [number]" in evolve.describe_fields(fields)
