@@ -280,7 +280,7 @@ def test_scan(spark):
 
 
 @pytest.mark.parametrize("window, few", [(1, 0), (7, 0), (7, 200_000), (40, 0), (40, 200_000)])
-def test_scan_against_all_runs(spark, monkeypatch, window, few):
+def test_scan_against_all_runs(spark, tmp_path, monkeypatch, window, few):
     monkeypatch.setattr(html_records, "FEW_CHARACTERS", few)
     rng = random.Random(window)
     text = lambda n: "".join(rng.choices("abcdé 😀", k=n))
@@ -291,7 +291,8 @@ def test_scan_against_all_runs(spark, monkeypatch, window, few):
         at, n = rng.randrange(len(prompt) + 1), window + rng.choice((-1, 0, 1))
         value = text(rng.choice((0, 3, 130, 300))) + prompt[at : at + n] + text(rng.choice((0, 5, 200)))
         rows.append((i, {"note": value, "size": value[:60]}, prompt))
-    flags = html_records.scan_output(spark.createDataFrame(rows, "id long, data map<string,string>, prompt string"), "data", "prompt", {"note": 60, "size": 9}, window)
+    spark.createDataFrame(rows, "id long, data map<string,string>, prompt string").write.parquet(f"{tmp_path}/records")
+    flags = html_records.scan_output(spark.read.parquet(f"{tmp_path}/records"), "data", "prompt", {"note": 60, "size": 9}, window)
     runs = lambda v: (v[i : i + window] for i in range(len(v) - window + 1))
     want = {(i, f, "prompt_echo") for i, data, prompt in rows for f, v in data.items() if any(r in (prompt or "") for r in runs(v or ""))}
     want |= {(0, "size", "field_name_leak")} | {(i, f, "cap_hit") for i, data, _ in rows for f, v in data.items() if v is not None and len(v) == {"note": 60, "size": 9}[f]}
